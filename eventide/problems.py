@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.operators import asof, intervals, timestamps
+from eventide.operators import asof, intervals, timestamps, units
 from eventide.runtime import read
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Assessments with the code status known at their time.
 
-    A stay filed under several patients belongs to none of them for sure; its
-    assessments get the status of each patient and keep the one of the
-    greatest (start, record) over all, which is the same rule over the union.
+    A stay filed under several patients belongs to none of them for sure, so
+    its assessments are no cases.
     """
     stays = (
         read(spark, d, "hospitalization")
         .where("hospitalization_id is not null and patient_id is not null")
-        .select("hospitalization_id", "patient_id")
-        .distinct()
+        .groupBy("hospitalization_id")
+        .agg(F.min("patient_id").alias("patient_id"), F.max("patient_id").alias("other"))
+        .where("patient_id = other")
+        .drop("other")
     )
     events = (
         read(spark, d, "patient_assessments")
@@ -46,6 +47,38 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return intervals.periods_and_gaps(rows, "hospitalization_id", "instant_us", "out_us")
 
 
+def _lab_values(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Numeric lab values with their unit key, and the common unit of each category."""
+    common = read(spark, d, "clif_lab_categories").select(F.col("lab_category").alias("quantity"), F.col("reference_unit").alias("unit"))
+    number, unit = units.read_quantity(F.col("lab_value"), F.col("reference_unit"), F.col("lab_name"))
+    rows = (
+        read(spark, d, "labs")
+        .where("lab_category is not null and lab_value is not null")
+        .select("lab_id", F.col("hospitalization_id").alias("entity"), F.col("lab_category").alias("quantity"), number.alias("v"), units.unit_key(unit).alias("key"))
+        .where("v > 0")
+    )
+    return rows, common
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lab values and pump flows that were delivered in a unit of another size, converted.
+
+    A flow has no unit column; the ranges of the two units in use, 0.2 to 12
+    L/min and 200 to 12,000 mL/min, do not meet, so its size tells the unit.
+    """
+    rows, common = _lab_values(spark, d)
+    placed, _ = units.to_common(rows, common)
+    labs = placed.where("abs(ln(factor)) > 0.02").select(F.lit("labs").alias("record_type"), F.col("lab_id").alias("record_id"), (F.col("v") * F.col("factor")).alias("x"))
+    flow = F.col("flow").cast("double") * F.lit(0.001)
+    flows = read(spark, d, "ecmo_mcs").select(F.lit("ecmo_mcs").alias("record_type"), F.col("ecmo_id").alias("record_id"), flow.alias("x")).where("x between 0.2 and 12")
+    return labs.unionByName(flows).where("record_id is not null").select("record_type", "record_id", units.two_digits_milli(F.col("x")).alias("value_milli"))
+
+
+def unit_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Every way a lab unit is written: declared, estimated and settled conversion."""
+    return units.source_graph(*_lab_values(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Texts of patient.death_dttm and adt.in_dttm that fix one instant."""
     deaths = timestamps.normalise(read(spark, d, "patient").select("patient_id", "hospital_id", "death_dttm"), "death_dttm", read(spark, d, "hospital_sites"))
@@ -58,4 +91,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_sources": unit_sources, "p7_found": p7_found}
