@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.operators import asof, intervals, timestamps, units
+from eventide.operators import asof, intervals, spikes, timestamps, units
 from eventide.runtime import read
 
 
@@ -37,6 +37,32 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return known.select("assessment_id", "code_status_category")
 
 
+#: What a circuit can show, L/min.
+CIRCUIT_LIMITS = {"flow": (0.0, 12.0), "sweep": (0.0, 30.0)}
+
+
+def p2_readings(spark: SparkSession, d: str) -> DataFrame:
+    """Implausible flow and sweep readings with the reason.
+
+    Flows of 200 and more, of either sign, are mL/min and compared in L/min.
+    """
+    ecmo = read(spark, d, "ecmo_mcs")
+    flow = F.col("flow").cast("double")
+    series = F.array(
+        F.struct(F.lit("flow").alias("field"), F.when(F.abs(flow) >= 200, flow / 1000).otherwise(flow).alias("v")),
+        F.struct(F.lit("sweep").alias("field"), F.col("sweep").cast("double").alias("v")),
+    )
+    rows = ecmo.select(
+        F.col("ecmo_id").alias("record_id"), F.col("hospitalization_id").alias("source"), F.unix_micros("recorded_dttm").alias("t"), F.inline(series)
+    )
+    return spikes.implausible(rows, CIRCUIT_LIMITS).select(F.col("record_id").alias("ecmo_id"), "field", "reason")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Implausible flow and sweep readings."""
+    return p2_readings(spark, d).where("ecmo_id is not null").select("ecmo_id", "field")
+
+
 def _adt_instants(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.normalise(read(spark, d, "adt").select("adt_id", "hospitalization_id", "hospital_id", "in_dttm", "out_dttm"), "in_dttm", read(spark, d, "hospital_sites"))
 
@@ -91,4 +117,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_sources": unit_sources, "p7_found": p7_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_readings": p2_readings, "p4_found": p4_found, "p5_found": p5_found, "p5_sources": unit_sources, "p7_found": p7_found}
