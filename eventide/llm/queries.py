@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import names
+from eventide.llm import names, splits
 from eventide.runtime import read
 
 #: Table, its key and its typed column of each list.
@@ -39,8 +39,36 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return mapped.where(F.col("canonical_id") == names.NO_ENTRY).groupBy("record_type", "name").agg(F.count("*").alias("n"))
 
 
+PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
+
+
+def _stay_ids() -> dict:
+    joined = F.col("hospitalization_joined_id")
+    return {"p": F.col("patient_id"), "h": F.col("hospitalization_id"), "j": F.when(~splits.is_placeholder(joined), joined)}
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of patients tied by a chain of hospitalization rows."""
+    stays = read(spark, d, "hospitalization").select("patient_id", "hospitalization_id", "hospitalization_joined_id")
+    labels = splits.components(stays.select(splits.nodes(_stay_ids()).alias("nodes")))
+    members = labels.where("node like 'p:%'").select("component", F.expr("substr(node, 3)").alias("patient"))
+    a, b = members.toDF("component", "patient_id_a"), members.toDF("component", "patient_id_b")
+    return a.join(b, "component").where("patient_id_a < patient_id_b").select("patient_id_a", "patient_id_b")
+
+
+def p6_splits(spark: SparkSession, d: str) -> DataFrame:
+    """Every hospitalization row with its split."""
+    stays = read(spark, d, "hospitalization").select("patient_id", "hospitalization_id", "hospitalization_joined_id")
+    return splits.assign(stays, _stay_ids(), PROPORTIONS)
+
+
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and components of each split."""
+    return splits.shares(p6_splits(spark, d))
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_unmatched": p3_unmatched}
+    return {"p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p3_found": p3_found, "p3_unmatched": p3_unmatched}
 
 
 def oracle_sql() -> dict:
