@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import names, splits
+from eventide.llm import names, splits, tokens
 from eventide.runtime import read
 
 #: Table, its key and its typed column of each list.
@@ -67,8 +67,13 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
     return splits.shares(p6_splits(spark, d))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokens.encode(read(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict:
-    return {"p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p3_found": p3_found, "p3_unmatched": p3_unmatched}
+    return {"p8_ids": p8_ids, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p3_found": p3_found, "p3_unmatched": p3_unmatched}
 
 
 def oracle_sql() -> dict:
