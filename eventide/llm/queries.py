@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import names, splits, tokens
-from eventide.runtime import read
+from eventide.llm import mix, names, quality, splits, tokens
+from eventide.runtime import checkpoint, read
 
 #: Table, its key and its typed column of each list.
 TYPED = {
@@ -72,8 +72,32 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(read(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Documents used in the mix, how often, and the share their source reaches."""
+    targets = read(spark, d, "mix_targets")
+    chosen = checkpoint(mix.select(read(spark, d, "documents").select("doc_id", "text", "source"), targets))
+    reached = mix.shares(chosen, targets).select("source", "target_share", "reached_share")
+    return chosen.join(reached, "source").select("doc_id", "source", "n_tokens", "copies", "target_share", "reached_share")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares asked for and reached by every target source."""
+    targets = read(spark, d, "mix_targets")
+    return mix.shares(checkpoint(mix.select(read(spark, d, "documents").select("doc_id", "text", "source"), targets)), targets)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are mostly lists, tables or junk."""
+    return p10_statistics(spark, d).where("not is_prose").select("doc_id")
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Quality statistics of every document."""
+    return quality.statistics(read(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict:
-    return {"p8_ids": p8_ids, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p3_found": p3_found, "p3_unmatched": p3_unmatched}
+    return {"p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics, "p8_ids": p8_ids, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p3_found": p3_found, "p3_unmatched": p3_unmatched}
 
 
 def oracle_sql() -> dict:

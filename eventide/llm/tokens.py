@@ -178,21 +178,31 @@ def encode(df: DataFrame, key: str, text: str, path: str | None = None, out: str
 
 
 def count(df: DataFrame, key: str, text: str, path: str | None = None, out: str = "n_tokens") -> DataFrame:
-    """(key, number of tokens) of rows with a unique ``key``; the ids themselves are never moved."""
+    """(key, number of tokens), one row per distinct key; rows of a key must have equal texts. The ids themselves are never moved."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     words = dictionary(rows, path or default_path())
     cut_rows = _replace(rows, words, count_only=True)
-    rare = cut_rows.select("key", F.explode("rare").alias("word")).join(words.select("word", F.size("ids").cast("bigint").alias("ids")), "word")
-    parts = cut_rows.select("key", "ids").unionByName(rare.select("key", "ids"))
+    open_rows = cut_rows.where(F.size("rare") > 0).groupBy("key").agg(F.first("ids").alias("ids"), F.first("rare").alias("rare"))
+    rare = open_rows.select("key", F.explode("rare").alias("word")).join(words.select("word", F.size("ids").cast("bigint").alias("ids")), "word")
+    parts = (
+        cut_rows.where(F.size("rare") == 0).groupBy("key").agg(F.first("ids").alias("ids"))
+        .unionByName(open_rows.select("key", "ids"))
+        .unionByName(rare.groupBy("key").agg(F.sum("ids").alias("ids")))
+    )
     return parts.groupBy("key").agg(F.sum("ids").alias(out)).withColumnRenamed("key", key)
 
 
+@functools.lru_cache(maxsize=4)
+def _token_bytes(path: str) -> dict[int, bytes]:
+    return {i: b for b, i in _vocabulary(path).items()}
+
+
 def decode(df: DataFrame, key: str, ids: str = "ids", path: str | None = None, out: str = "text") -> DataFrame:
     """(key, text) of rows of ids; null ids give null, ids outside the vocabulary are an error."""
     path = path or default_path()
 
     def join_bytes(lists: pd.Series) -> pd.Series:
-        table = {i: b for b, i in _vocabulary(path).items()}
+        table = _token_bytes(path)
         return pd.Series([None if x is None else b"".join(table[i] for i in x).decode("utf-8", "replace") for x in lists])
 
     return df.select(key, F.pandas_udf(join_bytes, "string")(ids).alias(out))
