@@ -42,11 +42,10 @@ def known_at(
 ) -> DataFrame:
     """``events`` with ``value`` as known at their time ``at``.
 
-    ``events`` and ``versions`` both have the column ``entity``.  The columns
-    of ``events`` must not be named like ``value``.
+    ``events`` and ``versions`` both have the column ``entity``; a column of
+    ``events`` named like ``value`` is replaced.
     """
-    if value in events.columns:
-        raise ValueError(f"events already has a column {value}")
+    events = events.drop(value)
     width = shard_seconds * 1_000_000
     usable = F.unix_micros(F.greatest(valid_from, known_from))
     version = F.struct(

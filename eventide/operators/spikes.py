@@ -25,7 +25,7 @@ each shard.  Spread and rates are per-series aggregates with map-side partial
 results.  No task sees a whole hot series and nothing is broadcast by hand.
 
 Defined results: null and NaN readings are skipped; readings without a source
-or a time can only be impossible; series too short to have ``SIDE``/2
+or a time can only be impossible; other columns are ignored; series too short to have ``SIDE``/2
 neighbours on both sides have no spikes; a repeated row is reported like its
 original; empty input gives no rows.
 """
@@ -131,7 +131,7 @@ def implausible(readings: DataFrame, limits: dict[str, tuple[float, float]]) ->
     ``t`` is a number that orders the series, ``v`` a double; ``limits`` gives
     the physical range of each field.
     """
-    real = readings.where("v is not null and not isnan(v)").withColumn("v", F.round("v", 4))
+    real = readings.select("record_id", "source", "field", "t", "v").where("v is not null and not isnan(v)").withColumn("v", F.round("v", 4))
     inside = F.lit(False)
     for field, (lo, hi) in limits.items():
         inside = inside | ((F.col("field") == field) & F.col("v").between(lo, hi))

@@ -121,4 +121,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    """SQL of the problems that are relational; the others are tested against brute force."""
+    return {
+        "p1_found": """WITH s AS (SELECT hospitalization_id, min(patient_id) AS patient_id FROM hospitalization WHERE hospitalization_id IS NOT NULL AND patient_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT patient_id) = 1),
+            e AS (SELECT assessment_id, recorded_dttm AS t, patient_id FROM patient_assessments JOIN s USING (hospitalization_id) WHERE recorded_dttm IS NOT NULL)
+            SELECT assessment_id, arg_max(code_status_category, (start_dttm, recorded_dttm, code_status_id)) AS code_status_category FROM e JOIN code_status c ON c.patient_id = e.patient_id AND c.start_dttm <= t AND c.recorded_dttm <= t
+            WHERE code_status_category IS NOT NULL GROUP BY 1""",
+    }
