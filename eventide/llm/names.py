@@ -22,7 +22,7 @@ other side being one row.
 Defined results: null names are no cases; empty or symbol-only names map to
 'none'; names equal to a canonical name letter for letter are skipped by
 ``map_rows``; ties go to the smaller id; repeated rows each get their result;
-lists without entries give 'none'.
+lists without entries give 'none'; a column named canonical_id is replaced.
 """
 
 from __future__ import annotations
@@ -194,6 +194,6 @@ def best_entries(names: DataFrame, entries: DataFrame, t: float = MIN_JACCARD) -
 def map_rows(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """``rows`` (with list_name and name) that are not written as a canonical name, plus canonical_id."""
     exact = entries.select("list_name", F.col("canonical_name").alias("name")).where("name is not null").distinct()
-    typed = rows.where("name is not null and list_name is not null").join(exact, ["list_name", "name"], "left_anti")
+    typed = rows.drop("canonical_id").where("name is not null and list_name is not null").join(exact, ["list_name", "name"], "left_anti")
     mapping = best_entries(typed.groupBy("list_name", "name").agg(F.lit(1).alias("one")).drop("one"), entries).select("list_name", "name", "canonical_id")
     return typed.join(mapping, ["list_name", "name"])
