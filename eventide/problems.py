@@ -94,7 +94,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """
     rows, common = _lab_values(spark, d)
     placed, _ = units.to_common(rows, common)
-    labs = placed.where("abs(ln(factor)) > 0.02").select(F.lit("labs").alias("record_type"), F.col("lab_id").alias("record_id"), (F.col("v") * F.col("factor")).alias("x"))
+    labs = placed.where("abs(ln(factor)) > 0.02 or offset <> 0").select(F.lit("labs").alias("record_type"), F.col("lab_id").alias("record_id"), (F.col("v") * F.col("factor") + F.col("offset")).alias("x"))
     flow = F.col("flow").cast("double") * F.lit(0.001)
     flows = read(spark, d, "ecmo_mcs").select(F.lit("ecmo_mcs").alias("record_type"), F.col("ecmo_id").alias("record_id"), flow.alias("x")).where("x between 0.2 and 12")
     return labs.unionByName(flows).where("record_id is not null").select("record_type", "record_id", units.two_digits_milli(F.col("x")).alias("value_milli"))
