@@ -29,3 +29,68 @@ def suppress(df: DataFrame, siblings: Sequence[str], cell: str, n: str, floor: i
     rank = F.row_number().over(part.orderBy(F.col("__h").cast("int"), F.when(F.col(n) > 0, 0).otherwise(1), n, cell))
     also = alone & ~F.col("__h") & (rank == 1)
     return small.withColumn("shown", F.when(F.col("__h") | also, f"<{floor}").otherwise(F.col(n).cast("string"))).drop("__h")
+
+
+def fixpoint(cells: dict, equations: Sequence[Sequence], floor: int = MIN_CELL, sticky: Sequence = ()) -> set:
+    """Cells to hide (driver side, on a released table's few cells): small and sticky ones, and more of every equation in which exactly one is hidden, until none is left.
+
+    ``equations`` list cells of which the others give away a single one.
+    """
+    out = {k for k, n in cells.items() if 0 < n < floor} | set(sticky)
+    while True:
+        more = set()
+        for eq in equations:
+            hid = [c for c in eq if c in out]
+            if len(hid) == 1 and len(eq) > 1:
+                more.add(min((c for c in eq if c not in out), key=lambda c: (cells[c] == 0, cells[c], str(c))))
+        if not more:
+            return out
+        out |= more
+
+
+def sign(payload: object, key: bytes) -> str:
+    import hashlib
+    import hmac
+
+    from eventide.sources.sinks import canonical_json
+
+    return hmac.new(key, canonical_json(payload).encode(), hashlib.sha256).hexdigest()
+
+
+def verify(payload: object, key: bytes, signature: str) -> bool:
+    import hmac
+
+    return hmac.compare_digest(sign(payload, key), signature)
+
+
+def append_log(path: str, entry: dict, key: bytes) -> str:
+    """Appends an entry that is signed together with the one before; returns its link."""
+    import json
+    from pathlib import Path
+
+    file = Path(path)
+    lines = file.read_text().splitlines() if file.exists() else []
+    before = json.loads(lines[-1])["link"] if lines else ""
+    link = sign([before, entry], key)
+    with file.open("a") as f:
+        f.write(json.dumps({"entry": entry, "link": link}, sort_keys=True) + "\n")
+    return link
+
+
+def verify_log(path: str, key: bytes) -> bool:
+    """Whether every entry of a log follows from the one before."""
+    import json
+    from pathlib import Path
+
+    before = ""
+    for line in Path(path).read_text().splitlines():
+        x = json.loads(line)
+        if not verify([before, x["entry"]], key, x["link"]):
+            return False
+        before = x["link"]
+    return True
+
+
+def differencing(released: Sequence[dict], new: dict, floor: int = MIN_CELL) -> list:
+    """Cells whose new count differs from an earlier release by a small number."""
+    return sorted({k for old in released for k, n in new.items() if k in old and 0 < abs(n - old[k]) < floor}, key=str)

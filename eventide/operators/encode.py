@@ -73,3 +73,53 @@ def next_tokens(events: DataFrame, entity: str, order: Sequence[str], token: str
 def count_matrix(events: DataFrame, entity: str, token: str) -> DataFrame:
     """Sparse entity by token counts."""
     return events.groupBy(entity, token).agg(F.count("*").alias("n"))
+
+
+def pack(lengths: DataFrame, key: str, length: str, capacity: int, groups: int) -> DataFrame:
+    """``lengths`` with ``pack``: sequences greedily packed, longest first, into rows of at most ``capacity`` positions.
+
+    Packing runs within ``groups`` hash groups, so no task sees all
+    sequences; a sequence longer than the capacity gets a pack of its own.
+    """
+    import heapq
+
+    import pandas as pd
+
+    kind = lengths.schema[key].dataType.simpleString()
+
+    def fit(batch: pd.DataFrame) -> pd.DataFrame:
+        rows = batch.sort_values([length, key], ascending=[False, True])
+        room: list[tuple[int, int]] = []  # most room first
+        packs, used = [], 0
+        for n in rows[length]:
+            if room and -room[0][0] >= n:
+                left, p = heapq.heappop(room)
+                heapq.heappush(room, (left + int(n), p))
+            else:
+                p, used = used, used + 1
+                heapq.heappush(room, (min(0, int(n) - capacity), p))
+            packs.append(p)
+        return pd.DataFrame({key: rows[key], length: rows[length], "group": rows["group"], "pack": packs})
+
+    grouped = lengths.select(key, length, F.pmod(F.xxhash64(key), F.lit(groups)).alias("group"))
+    return grouped.groupBy("group").applyInPandas(fit, f"{key} {kind}, {length} {lengths.schema[length].dataType.simpleString()}, group bigint, pack int")
+
+
+def header_length(tokens: Column, header: Sequence[int]) -> Column:
+    """Number of leading tokens that belong to the header set."""
+    first_other = F.array_position(F.transform(tokens, lambda t: t.isin(*header)), F.lit(False))
+    return F.when(first_other > 0, first_other - 1).otherwise(F.size(tokens)).cast("int")
+
+
+def outcome_token(tokens: Column, terminal: Sequence[int]) -> Column:
+    """The single terminal token of a sequence; null unless there is exactly one."""
+    hits = F.filter(tokens, lambda t: t.isin(*terminal))
+    return F.when(F.size(hits) == 1, F.get(hits, F.lit(0)))
+
+
+def pair_by_prompt(simulated: DataFrame, observed: DataFrame, prompt: str, sequence: str) -> DataFrame:
+    """Simulations with the observed sequences that start with their prompt: equality on the prompt's length and hash, then on the prompt."""
+    lengths = simulated.select(F.size(prompt).alias("n")).distinct()
+    heads = observed.join(lengths, F.size(sequence) >= F.col("n")).withColumn("__p", F.slice(sequence, F.lit(1), F.col("n")))
+    on = (F.size(simulated[prompt]) == heads["n"]) & (F.xxhash64(simulated[prompt]) == F.xxhash64(heads["__p"])) & (simulated[prompt] == heads["__p"])
+    return simulated.join(heads, on).drop("n", "__p")

@@ -46,3 +46,39 @@ def time_share(df: DataFrame, key: str, at: str, ties: Sequence[str], condition:
     w = Window.partitionBy(key).orderBy(at, *ties)
     spans = df.withColumn("__d", F.lead(at).over(w) - F.col(at)).where("__d is not null")
     return spans.groupBy(key).agg(F.sum(F.when(condition, F.col("__d")).otherwise(0)).alias("x"), F.sum("__d").alias("all")).where(F.col("all") > 0).select(key, F.round(F.col("x") / F.col("all"), 9).alias("share"))
+
+
+def at_anchors(anchors: DataFrame, readings: DataFrame, key: str, beyond: Column, *, horizon_min: int | None = None) -> DataFrame:
+    """Labels of many anchors per entity: anchors (key, anchor_min), readings (key, minute, ..).
+
+    prevalent: the last minute up to the anchor has a reading beyond;
+    positive: a strictly later minute (within the horizon) has one; negative:
+    there are later readings; censored: there are none.  Both sides are
+    united and ordered once per entity, so anchors never multiply readings.
+    """
+    minute = readings.where(F.col("minute").isNotNull()).groupBy(key, "minute").agg(F.max(F.coalesce(beyond, F.lit(False)).cast("int")).alias("hit"))
+    both = minute.select(key, F.col("minute").alias("m"), F.lit(0).alias("side"), "hit").unionByName(
+        anchors.select(key, F.col("anchor_min").alias("m"), F.lit(1).alias("side")).distinct(), allowMissingColumns=True
+    )
+    past = Window.partitionBy(key).orderBy("m", "side").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(key).orderBy("m").rangeBetween(1, horizon_min if horizon_min is not None else Window.unboundedFollowing)
+    seen = both.select(
+        key, "m", "side", F.last("hit", ignorenulls=True).over(past).alias("now"), F.min(F.when(F.col("hit") == 1, F.col("m"))).over(ahead).alias("next"), F.count("hit").over(ahead).alias("later")
+    )
+    status = F.when(F.col("now") == 1, "prevalent").when(F.col("next").isNotNull(), "positive").when(F.col("later") > 0, "negative").otherwise("censored")
+    return seen.where("side = 1").select(key, F.col("m").alias("anchor_min"), status.alias("status"), F.when(status == "positive", F.col("next") - F.col("m")).alias("after_min"))
+
+
+def sample_anchors(readings: DataFrame, key: str, per_entity: int, seed: int) -> DataFrame:
+    """(key, anchor_min): at most ``per_entity`` distinct minutes per entity, in order of a seeded SHA-256, so they depend on nothing else."""
+    rank = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key), F.col("minute").cast("string")), 256)
+    w = Window.partitionBy(key).orderBy(rank, "minute")
+    return readings.select(key, "minute").where("minute is not null").distinct().withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= per_entity).select(key, F.col("minute").alias("anchor_min"))
+
+
+def resolve_window(df: DataFrame, events: Sequence[str], followup: str, horizon: float) -> DataFrame:
+    """``df`` with ``outcome`` and ``at`` of a right-closed window: the earliest event within the horizon (in the order given on a tie), else 'event_free' at the horizon, else 'censored' at the end of follow-up."""
+    first = F.array_min(F.filter(F.array(*[F.struct(F.col(e).alias("t"), F.lit(i).alias("i"), F.lit(e).alias("e")) for i, e in enumerate(events)]), lambda x: x["t"] <= horizon))
+    reached = F.col(followup) >= horizon
+    out = df.withColumn("__f", first)
+    return out.withColumn("outcome", F.coalesce("__f.e", F.when(reached, "event_free").otherwise("censored"))).withColumn("at", F.coalesce("__f.t", F.when(reached, F.lit(float(horizon))).otherwise(F.col(followup)))).drop("__f")

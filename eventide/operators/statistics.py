@@ -166,3 +166,100 @@ def e_value(rr: Column) -> Column:
     """Strength of confounding that could explain a risk ratio away."""
     r = F.when(rr < 1, 1 / rr).otherwise(rr)
     return r + F.sqrt(r * (r - 1))
+
+
+def isotonic_ici(df: DataFrame, p: str = "p", y: str = "y") -> float:
+    """Integrated calibration index: mean distance of the scores to their isotonic calibration. Equal scores are pooled first."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import IsotonicRegression
+
+    pooled = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(p).alias("p")).agg(F.avg(F.col(y).cast("double")).alias("label"), F.count("*").cast("double").alias("w"))
+    rows = VectorAssembler(inputCols=["p"], outputCol="features").transform(pooled)
+    fitted = IsotonicRegression(labelCol="label", weightCol="w").fit(rows).transform(rows)
+    return fitted.agg(F.sum(F.abs(F.col("prediction") - F.col("p")) * F.col("w")) / F.sum("w")).first()[0]
+
+
+def fit_temperature(df: DataFrame, logit: str, y: str, rounds: int = 60) -> float:
+    """Temperature that minimises the log loss of logit / t, by golden section over an aggregated loss."""
+    rows = df.groupBy(F.col(logit).alias("z")).agg(F.sum(y).cast("double").alias("k"), F.count("*").cast("double").alias("n"))
+
+    def losses(ts: list[float]) -> list[float]:
+        one = lambda t: F.sum(F.col("n") * F.log1p(F.exp(F.col("z") / t)) - F.col("k") * F.col("z") / t)
+        return list(rows.agg(*[one(t) for t in ts]).first())
+
+    lo, hi = math.log(0.05), math.log(20.0)
+    for _ in range(6):  # eleven points a pass: six passes narrow it to 1e-4
+        xs = [lo + (hi - lo) * i / 10 for i in range(11)]
+        v = losses([math.exp(x) for x in xs])
+        i = min(range(11), key=v.__getitem__)
+        lo, hi = xs[max(0, i - 1)], xs[min(10, i + 1)]
+    return math.exp((lo + hi) / 2)
+
+
+def calibration_histogram(df: DataFrame, score: str, n_bins: int = 10) -> DataFrame:
+    """(bin, n, expected, chi2): histogram of scores that are uniform if calibrated, with each bin's part of the chi-square statistic."""
+    b = F.least(F.floor(F.col(score) * n_bins), F.lit(n_bins - 1))
+    counts = df.where(F.col(score).between(0, 1)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
+    every = df.sparkSession.range(n_bins).withColumnRenamed("id", "bin").join(counts, "bin", "left").na.fill(0, ["n"])
+    e = F.sum("n").over(Window.partitionBy()) / n_bins
+    return every.withColumn("expected", e).withColumn("chi2", F.pow(F.col("n") - F.col("expected"), F.lit(2.0)) / F.col("expected"))
+
+
+def clones(df: DataFrame, arm: str, at: str, arms: Sequence[str], grace: float) -> DataFrame:
+    """One row per entity and arm: ``follows`` and, for clones that leave their arm, ``censored_at``.
+
+    A clone follows its arm if the entity starts it within the grace period;
+    it is censored when another arm starts, or at the end of grace without any.
+    """
+    cloned = df.withColumn("clone_arm", F.explode(F.array(*[F.lit(a) for a in arms])))
+    within = F.coalesce(F.col(at) <= grace, F.lit(False))
+    follows = within & (F.col(arm) == F.col("clone_arm"))
+    return cloned.withColumn("follows", F.coalesce(follows, F.lit(False))).withColumn("censored_at", F.when(~F.col("follows"), F.when(within, F.col(at)).otherwise(F.lit(float(grace)))))
+
+
+def doubly_robust(df: DataFrame, outcome: str, follows: str, probability: str, prediction: str, groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, risk, se): augmented inverse probability risk from fitted columns, with the standard error of its scores."""
+    score = F.col(prediction) + F.when(F.col(follows) == 1, (F.col(outcome) - F.col(prediction)) / F.col(probability)).otherwise(0.0)
+    return df.groupBy(*groups).agg(F.avg(score).alias("risk"), (F.stddev_samp(score) / F.sqrt(F.count("*"))).alias("se"))
+
+
+def folds(entity: Column, k: int, seed: int = 0) -> Column:
+    """Fold of an entity, the same for all its rows."""
+    return F.pmod(F.xxhash64(F.lit(seed), entity), F.lit(k)).cast("int")
+
+
+def cluster_bootstrap(df: DataFrame, cluster: str, value: str, draws: int, seed: int = 0) -> DataFrame:
+    """(draw, mean): means over draws that resample clusters, by Poisson(1) weights from a hash of cluster and draw, so nothing is gathered or shipped."""
+    per = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col(cluster), F.col("draw")), F.lit(1 << 53)).cast("double") / float(1 << 53)
+    total, p, weight = 0.0, math.exp(-1), F.lit(0)
+    for k in range(8):  # inverse of the Poisson(1) distribution function
+        total += p / math.factorial(k)
+        weight = weight + F.when(u >= total, 1).otherwise(0)
+    return per.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", weight).groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("mean"))
+
+
+def cause_incidence(hazards: Column) -> Column:
+    """Cumulative failure 1 - prod(1 - h) along an array of hazards."""
+    return 1 - F.aggregate(hazards, F.lit(1.0), lambda a, h: a * (1 - h))
+
+
+def any_of(probabilities: Column) -> Column:
+    """Probability of at least one of independent events."""
+    return 1 - F.aggregate(probabilities, F.lit(1.0), lambda a, p: a * (1 - p))
+
+
+def all_of(probabilities: Column) -> Column:
+    """Probability of all independent events."""
+    return F.aggregate(probabilities, F.lit(1.0), lambda a, p: a * p)
+
+
+def set_recall(observed: Column, generated: Column) -> Column:
+    """Part of the distinct observed items that were generated; null without any."""
+    n = F.size(F.array_distinct(observed))
+    return F.when(n > 0, F.size(F.array_intersect(observed, generated)) / n)
+
+
+def jaccard_distance(a: Column, b: Column) -> Column:
+    n = F.size(F.array_union(a, b))
+    return F.when(n > 0, 1 - F.size(F.array_intersect(a, b)) / n).otherwise(0.0)
