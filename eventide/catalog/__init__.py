@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from eventide.catalog import relational, sequences, statistics
+from eventide.catalog import evidence, relational, sequences, statistics
 from eventide.catalog.registry import ORACLES, QUERIES
 
-__all__ = ["oracle_sql", "queries", "relational", "sequences", "statistics"]
+__all__ = ["evidence", "oracle_sql", "queries", "relational", "sequences", "statistics"]
 
 
 def queries() -> dict:

@@ -117,9 +117,18 @@ def outcome_token(tokens: Column, terminal: Sequence[int]) -> Column:
     return F.when(F.size(hits) == 1, F.get(hits, F.lit(0)))
 
 
+MAX_PROMPT_LENGTHS = 4096
+
+
 def pair_by_prompt(simulated: DataFrame, observed: DataFrame, prompt: str, sequence: str) -> DataFrame:
-    """Simulations with the observed sequences that start with their prompt: equality on the prompt's length and hash, then on the prompt."""
-    lengths = simulated.select(F.size(prompt).alias("n")).distinct()
-    heads = observed.join(lengths, F.size(sequence) >= F.col("n")).withColumn("__p", F.slice(sequence, F.lit(1), F.col("n")))
-    on = (F.size(simulated[prompt]) == heads["n"]) & (F.xxhash64(simulated[prompt]) == F.xxhash64(heads["__p"])) & (simulated[prompt] == heads["__p"])
-    return simulated.join(heads, on).drop("n", "__p")
+    """Simulations with the observed sequences that start with their prompt, joined on the prompt's hash, then on the prompt.
+
+    The distinct prompt lengths reach the driver, checked against MAX_PROMPT_LENGTHS.
+    """
+    lengths = [r[0] for r in simulated.select(F.size(prompt)).distinct().limit(MAX_PROMPT_LENGTHS + 1).collect()]
+    if len(lengths) > MAX_PROMPT_LENGTHS:
+        raise ValueError(f"more than {MAX_PROMPT_LENGTHS} distinct prompt lengths")
+    cuts = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.size(sequence))
+    heads = observed.withColumn("__n", F.explode(cuts)).withColumn("__p", F.slice(sequence, F.lit(1), F.col("__n"))).withColumn("__h", F.xxhash64("__p"))
+    named = simulated.withColumn("__h", F.xxhash64(prompt)).withColumn("__q", F.col(prompt))
+    return named.join(heads, "__h").where(F.col("__q") == F.col("__p")).drop("__h", "__n", "__p", "__q")
