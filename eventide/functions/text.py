@@ -94,3 +94,20 @@ def label(x: Column, mapping: Mapping[str, str], unknown: str = "unknown") -> Co
 def matches_any_prefix(code: Column, prefixes: Sequence[str]) -> Column:
     """Whether a code, without dots and blanks and in upper case, starts with one of ``prefixes``."""
     return F.regexp_replace(F.upper(code), "[^A-Z0-9]", "").rlike("^(?:" + "|".join(prefixes) + ")")
+
+
+def split_sequence(x: Column, spaced: Sequence[str]) -> Column:
+    """Tokens of a space-joined sequence, where the tokens in ``spaced`` hold spaces themselves; the longest one wins at every place."""
+    if not spaced:
+        return F.split(F.trim(x), r"\s+")
+    escape = lambda t: "".join(c if c.isalnum() or c == "_" else "\\" + c for c in t)
+    names = "|".join(escape(t) for t in sorted(spaced, key=len, reverse=True))
+    return F.regexp_extract_all(x, F.lit(rf"((?<!\S)(?:{names})(?!\S)|\S+)"), 1)
+
+
+def describe_token(token: Column, unit: Column, lo: Column, hi: Column) -> Column:
+    """Readable text of a binned or categorical token."""
+    s = split_token(token)
+    span = F.when(lo.isNull(), F.format_string("< %s", hi.cast("string"))).when(hi.isNull(), F.format_string(">= %s", lo.cast("string"))).otherwise(F.format_string("%s to %s", lo.cast("string"), hi.cast("string")))
+    what = F.regexp_replace(s["concept"], "_", " ")
+    return F.when(s["kind"] == "bin", F.concat_ws(" ", what, span, unit)).when(s["kind"] == "category", F.concat_ws(" ", what, F.lit("is"), s["detail"])).otherwise(what)
