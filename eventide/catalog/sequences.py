@@ -235,9 +235,9 @@ def enc_01(spark: SparkSession, d: str) -> DataFrame:
         SELECT h, CAST(st // 8 AS INTEGER) AS continuation_index, CAST(st AS INTEGER) AS source_start, CAST(least(st + 8, len(a)) AS INTEGER) AS source_end, st > 0 AS continues_from_previous, st + 8 < len(a) AS continues_to_next, array_to_string(a[st + 1 : st + 8], ',') AS ids FROM w""",
 )
 def enc_02(spark: SparkSession, d: str) -> DataFrame:
-    none = F.array().cast("array<bigint>")
-    w = encode.windows(encode.frame(_sequences(spark, d).select("h", "token"), none, none), ["token"], 8)
-    return w.select("h", "continuation_index", "source_start", "source_end", "continues_from_previous", "continues_to_next", F.array_join(F.transform("token", lambda x: x.cast("string")), ",").alias("ids"))
+    t = _tokens(spark, d)
+    w = encode.encode_windows(t, encode.vocabulary(t, "token", "h", 3), "h", ["at", "i"], [], 8, framed=True)
+    return w.withColumn("ids", F.array_join(F.transform("token", lambda x: x.cast("string")), ",")).drop("token")
 
 
 @query("enc_03_stitched", f"WITH {_TOKENS}, {_VOCAB} SELECT h, string_agg(CAST(coalesce(v.id, 3) AS VARCHAR), ',' ORDER BY tm, i) AS ids FROM t LEFT JOIN v ON v.token = t.token GROUP BY 1")

@@ -32,6 +32,31 @@ def encode(events: DataFrame, vocab: DataFrame, entity: str, order: Sequence[str
     return packed.select(entity, F.col("a.token_id").alias("token"), *[F.col(f"a.{c}").alias(c) for c in payload], F.size("a").cast("bigint").alias("n_events"))
 
 
+def encode_windows(events: DataFrame, vocab: DataFrame, entity: str, order: Sequence[str], payload: Sequence[str], width: int, framed: bool = False) -> DataFrame:
+    """Windows of at most ``width`` tokens of each entity, ``framed`` between <bos> and <eos>, without ever building a whole sequence.
+
+    Events are numbered in their total order (a sort that spills), and only
+    the events of one window are collected, so an entity with a third of all
+    events gives many bounded rows.  Payload columns are null at the frame.
+    """
+    known = events.join(vocab.withColumnRenamed("token", "__token"), events["token"] == F.col("__token"), "left")
+    body = known.select(F.col(entity).alias("__e"), F.lit(0).alias("__r"), total_order(*order).alias("__o"), F.coalesce("id", F.lit(SPECIALS.index("<unk>")).cast("bigint")).alias("token"), *payload)
+    if framed:
+        ends = F.explode(F.array(F.struct(F.lit(-1).alias("r"), F.lit(1).cast("bigint").alias("t")), F.struct(F.lit(1).alias("r"), F.lit(2).cast("bigint").alias("t")))).alias("x")
+        marks = events.select(F.col(entity).alias("__e")).distinct().select("__e", ends).select("__e", F.col("x.r").alias("__r"), F.col("x.t").alias("token"))
+        body = body.unionByName(marks, allowMissingColumns=True)
+    w = Window.partitionBy("__e")
+    placed = body.withColumn("__i", F.row_number().over(w.orderBy("__r", "__o")) - 1).withColumn("__next", F.lead("__r").over(w.orderBy("__r", "__o")).isNotNull())
+    item = F.struct("__i", "token", *payload)
+    packed = placed.groupBy("__e", F.floor(F.col("__i") / width).cast("int").alias("continuation_index")).agg(F.array_sort(F.collect_list(item)).alias("a"), F.max_by("__next", "__i").alias("__more"))
+    start = F.col("continuation_index") * width
+    return packed.select(
+        F.col("__e").alias(entity), "continuation_index", start.cast("int").alias("source_start"), (start + F.size("a")).cast("int").alias("source_end"),
+        (F.col("continuation_index") > 0).alias("continues_from_previous"), F.col("__more").alias("continues_to_next"),
+        F.col("a.token").alias("token"), *[F.col(f"a.{c}").alias(c) for c in payload],
+    )
+
+
 def frame(sequences: DataFrame, head: Column, tail: Column, out: str = "token") -> DataFrame:
     """Sequences between ``<bos> head`` and ``tail <eos>`` (arrays of ids)."""
     bos, eos = F.array(F.lit(1).cast("bigint")), F.array(F.lit(2).cast("bigint"))

@@ -13,6 +13,7 @@ from eventide.sources import tables
 
 N_BINS = 10
 CATEGORY_FLOOR = 3
+MAX_TOKENS = 8192
 
 
 def windowed_events(spark: SparkSession, folder: str, hours: int = 24) -> DataFrame:
@@ -35,9 +36,9 @@ def tokenised(events: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def encoded_stays(spark: SparkSession, folder: str, hours: int = 24) -> DataFrame:
-    """One row per stay: parallel arrays token, pos_min and value in the total event order."""
+    """Windows of at most MAX_TOKENS events per stay: parallel arrays token, pos_min and value in the total event order."""
     events = windowed_events(spark, folder, hours)
     edges = bins.quantile_edges(events.select("concept", "value"), "concept", "value", N_BINS)
     tokens = tokenised(events, edges.select("concept", bins.segments_from_edges(F.col("edges")).alias("segments")))
     vocab = encode.vocabulary(tokens, "token", "hosp_id", CATEGORY_FLOOR)
-    return encode.encode(tokens, vocab, "hosp_id", ["dttm", "source", "concept", "value", "cat_value"], ["pos_min", "value"])
+    return encode.encode_windows(tokens, vocab, "hosp_id", ["dttm", "source", "concept", "value", "cat_value"], ["pos_min", "value"], MAX_TOKENS)

@@ -51,6 +51,19 @@ def test_pack(spark):
     assert sum(sum(v) for v in fill.values()) / (64 * len(fill)) > 0.85
 
 
+def test_encode_windows_equals_whole_sequences(spark):
+    rows = [("a", i % 7, f"t{i % 5}", float(i)) for i in range(23)] + [("b", 1, "t1", 0.0), ("c", 2, "new", None)]
+    ev = spark.createDataFrame(rows, "h string, at int, token string, v double")
+    vocab = encode.vocabulary(ev.where("token <> 'new'"), "token", "h")
+    whole = encode.encode(ev, vocab, "h", ["at", "token", "v"], ["v"])
+    want = {(r.h, r.continuation_index): (r.token, r.v, r.source_start, r.source_end, r.continues_to_next) for r in encode.windows(whole, ["token", "v"], 5).collect()}
+    got = {(r.h, r.continuation_index): (r.token, r.v, r.source_start, r.source_end, r.continues_to_next) for r in encode.encode_windows(ev, vocab, "h", ["at", "token", "v"], ["v"], 5).collect()}
+    assert got == want and len(got) == 7
+    framed = {(r.h, r.continuation_index): r.token for r in encode.encode_windows(ev, vocab, "h", ["at"], [], 9, framed=True).collect()}
+    assert framed["c", 0] == [1, 3, 2] and len(framed["a", 2]) == 7
+    assert encode.encode_windows(ev.limit(0), vocab, "h", ["at"], [], 5, framed=True).count() == 0
+
+
 def test_suppression_and_logs(tmp_path):
     cells = {"a": 4, "b": 20, "c": 30, "t": 54}
     assert disclosure.fixpoint(cells, [("a", "b", "c", "t")]) == {"a", "b"}
