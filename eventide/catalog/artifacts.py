@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eventide.catalog.evidence import _scratch
 from eventide.catalog.registry import query
 from eventide.catalog.sequences import _MIN, _TOKENS, _VOCAB, _creatinine, _tokens
 from eventide.functions import numbers as N
 from eventide.functions import text as T
 from eventide.operators import bins, encode, joins, labels, windows
-from eventide.runtime import read
+from eventide.runtime import read, scratch
 from eventide.sources import sinks, tables
 
 
@@ -35,7 +34,7 @@ def src_10(spark: SparkSession, d: str) -> DataFrame:
 @query("snk_01_partitioned_write", "SELECT location_category AS part, COUNT(*) AS n FROM adt WHERE location_category IS NOT NULL GROUP BY 1")
 def snk_01(spark: SparkSession, d: str) -> DataFrame:
     """Rows of each written partition."""
-    path = _scratch(spark) + "/parts"
+    path = scratch(spark) + "/parts"
     sinks.write_shards(read(spark, d, "adt").where("location_category is not null").select("adt_id", "hospitalization_id", F.col("location_category").alias("part")), path, "part", ["hospitalization_id", "adt_id"])
     return spark.read.parquet(path).groupBy("part").agg(F.count("*").alias("n"))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,26 +10,14 @@ from eventide.catalog.sequences import _MIN, _TOKENS, _VOCAB, _creatinine, _sequ
 from eventide.catalog.statistics import _ARMS, _SCORES, _arms, _scores
 from eventide.operators import bins, doses, encode, labels
 from eventide.operators import statistics as S
-from eventide.runtime import read
+from eventide.runtime import read, scratch
 from eventide.sources import sinks
 
 
-def _scratch(spark: SparkSession) -> str:
-    """Folder for tables written and read again: under the cluster's shared folder, a temporary one on a local master only."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared}/eventide-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="eventide-scratch-")
-
-
 @query("src_08_csv", "SELECT canonical_id, list_name, canonical_name FROM canonical_names")
 def src_08(spark: SparkSession, d: str) -> DataFrame:
     """A table written as CSV and read with a declared schema."""
-    path = _scratch(spark) + "/csv"
+    path = scratch(spark) + "/csv"
     read(spark, d, "canonical_names").select("canonical_id", "list_name", "canonical_name").write.option("header", True).csv(path)
     return sinks.read_csv(spark, path, "canonical_id string, list_name string, canonical_name string")
 
@@ -39,7 +25,7 @@ def src_08(spark: SparkSession, d: str) -> DataFrame:
 @query("src_11_partition_read", "SELECT lab_id, lab_value_numeric FROM labs WHERE lab_category = 'sodium'")
 def src_11(spark: SparkSession, d: str) -> DataFrame:
     """Labs written by category, of which one category is read."""
-    path = _scratch(spark) + "/shards"
+    path = scratch(spark) + "/shards"
     sinks.write_shards(read(spark, d, "labs").select("lab_id", "hospitalization_id", "lab_category", "lab_value_numeric"), path, "lab_category", ["hospitalization_id", "lab_id"])
     return sinks.read_shard(spark, path, "lab_category", "sodium", ["lab_id", "lab_value_numeric"])
 

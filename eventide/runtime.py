@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,6 +33,16 @@ def _ensure_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files written and read again: under the cluster's shared folder, a temporary one on a local master only."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared}/eventide-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="eventide-scratch-")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

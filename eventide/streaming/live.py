@@ -6,8 +6,6 @@ watermark are dropped, never inserted afterwards.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from eventide.runtime import read
+from eventide.runtime import read, scratch
 
 
 def open_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -46,11 +44,24 @@ def state_changes(events: DataFrame, key: str, order: str, state: str) -> DataFr
 
 
 def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Result of a stream over all that is there now; for finite inputs and tests."""
-    name = "live_" + uuid.uuid4().hex
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp(prefix="eventide-stream-")).trigger(availableNow=True).start()
+    """Result of a stream over all that is there now, written batch by batch and read back.
+
+    A batch overwrites its own folder, so a repeated batch changes nothing;
+    in complete mode the last batch is the result.
+    """
+    folder = scratch(stream.sparkSession)
+    last: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        last.append(number)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    if not last:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    spark = stream.sparkSession
+    return spark.read.parquet(f"{folder}/out/batch={max(last)}") if mode == "complete" else spark.read.parquet(f"{folder}/out").drop("batch")
