@@ -6,17 +6,19 @@ that simply sum (characters, words, letters, symbols, lines, function words),
 and is judged prose or not from its length in words, share of function words,
 repeats, symbols, and comma gaps; the characters of both kinds sum too.
 
-Huge texts are cut into chunks of CHUNK characters.  A chunk is summed up to
-the segments at its two ends, which stay as text of at most EDGE characters
-each; merging two chunks joins the texts at the seam, counts them as what they
-are, and adds the rest.  Merging is associative, so chunks go up a tree of
-FAN-wide groups, and no task ever sees more than FAN chunk summaries.  Texts
-of one chunk, nearly all, need no shuffle.
+Huge texts are cut into chunks of CHUNK characters.  A chunk carries the word
+and the line left open at its two ends, in a few characters, however long they
+are; a word or line counts when it closes, so all counts but the characters of
+prose and other text are those of the whole text.  For those two, a chunk is
+judged up to the segments at its ends, which stay as text of at most EDGE
+characters each and are judged at the seam.  Merging is associative, so chunks
+go up a tree of FAN-wide groups, and no task ever sees more than FAN chunk
+summaries.  Texts of one chunk, nearly all, need no shuffle.
 
 Defined results: null, empty and blank texts have zero counts, null ratios and
 no verdict; texts without a line break have one line; repeated rows each get
 their row; a run of more than EDGE characters without any boundary may be
-judged in two parts.
+judged in two parts, cut between words where it has any.
 """
 
 from __future__ import annotations
@@ -49,6 +51,10 @@ FUNCTION_WORDS = frozenset(
     """.split()
 )
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_LETTERS = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
+_OPEN = re.compile(rf"['’-]?(?:{_LETTERS})?['’-]?")
+_LINE_END = re.compile(r"\r\n|[\n\r  \x0b\x0c\x85]")
+_LINE_START = re.compile(rf"(?:{_LINE_END.pattern})(?=\S)")
 _SENTENCE_END = re.compile(r"(?<=[.!?;。！？])[ \t ]+(?=\S)|(?<=[。！？])(?=\S)")
 _BULLET = re.compile(r"\s*(?:[-*•>+]|\[.?\]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s")
 _PAIR = re.compile(r"[^:]{1,60}:\s*\S{0,12}\s*$")
@@ -56,6 +62,7 @@ _BROKEN = re.compile(r"ï¿½|�|Ã.|Â|â€.|ð|¤")
 _ENDS = ".!?:;。！？…\"'”’)"
 COUNTS = ("n_chars", "n_words", "n_word_chars", "n_common", "n_symbols", "n_digits", "n_lines", "n_lines_punct", "n_prose_chars", "n_other_chars")
 _FIELDS = [*COUNTS]
+_LONG = max(map(len, FUNCTION_WORDS)) + 1  # a word of so many characters is no function word
 
 
 def prose_score(text: str, before: str) -> float | None:
@@ -112,10 +119,8 @@ def _sentences(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
-def measure(text: str) -> list[int]:
-    """COUNTS of a piece of text that starts and ends at a boundary."""
-    words = _WORD.findall(text)
-    lines = [x for x in re.split(r"\r\n|[\n\r  \x0b\x0c\x85]", text) if x.strip()]
+def _judged(text: str) -> list[int]:
+    """Characters of prose and of other text."""
     prose = other = 0
     before = ""
     for line in segments(text):
@@ -132,44 +137,95 @@ def measure(text: str) -> list[int]:
                 prose, other = (prose + len(s), other) if kind else (prose, other + len(s))
             if v is not None:
                 known = [v]
-    return [
-        len(text), len(words), sum(map(len, words)), sum(w.lower() in FUNCTION_WORDS for w in words),
-        sum(not (c.isalnum() or c.isspace()) for c in text), sum(map(str.isdigit, text)),
-        len(lines), sum(x.rstrip()[-1] in _ENDS for x in lines), prose, other,
-    ]
+    return [prose, other]
+
+
+def _characters(text: str) -> list[int]:
+    return [sum(not (c.isalnum() or c.isspace()) for c in text), sum(map(str.isdigit, text))]
+
+
+def _word_counts(words: list[str]) -> list[int]:
+    return [len(words), sum(map(len, words)), sum(w.lower() in FUNCTION_WORDS for w in words)]
+
+
+def _line_counts(lines: list[str]) -> list[int]:
+    solid = [x for x in map(str.rstrip, lines) if x]
+    return [len(solid), sum(x[-1] in _ENDS for x in solid)]
+
+
+def measure(text: str) -> list[int]:
+    """COUNTS of a whole text."""
+    return [len(text), *_word_counts(_WORD.findall(text)), *_characters(text), *_line_counts(_LINE_END.split(text)), *_judged(text)]
+
+
+def _shorten(word: str) -> tuple[str, int]:
+    """An open word, with its joining marks, as at most _LONG letters; the number of letters left out."""
+    found = _WORD.search(word)
+    surplus = len(found.group()) - _LONG if found else 0
+    return (word[: found.start()] + "x" * _LONG + word[found.end() :], surplus) if surplus > 0 else (word, 0)
+
+
+def _closed_words(text: str) -> tuple[list[int], str]:
+    """Counts of the words that nothing before or after can change, and the open ones at both ends, a space between them."""
+    head = _OPEN.match(text).group()
+    if len(head) == len(text):
+        kept, surplus = _shorten(head)
+        return [0, surplus, 0], kept
+    rest = text[len(head) :]
+    found = list(_WORD.finditer(rest))
+    tail = ""
+    if found and rest[found[-1].end() :] in ("", "'", "’", "-"):
+        tail = rest[found.pop().start() :]
+    (head, a), (tail, b) = _shorten(head), _shorten(tail)
+    n, chars, common = _word_counts([m.group() for m in found])
+    return [n, chars + a + b, common], f"{head} {tail}"
+
+
+def _closed_lines(text: str) -> tuple[list[int], str]:
+    """Counts of the lines between the first and last line end, and the last solid characters of the open lines."""
+    first, *rest = _LINE_END.split(text)
+    if not rest:
+        return [0, 0], first.rstrip()[-1:]
+    return _line_counts(rest[:-1]), first.rstrip()[-1:] + "\n" + rest[-1].rstrip()[-1:]
 
 
 def _edges(text: str) -> tuple[str, str, str]:
     """Start and end of a chunk up to its outermost boundaries, and what lies between."""
-    head = re.search(r"\n(?=\S)", text[:EDGE]) or _SENTENCE_END.search(text[:EDGE])
-    a = head.end() if head else min(EDGE, len(text))
+    start = text[:EDGE]
+    head = _LINE_START.search(start) or _SENTENCE_END.search(start)
+    a = head.end() if head else len(start)
+    if not head and len(text) > EDGE:
+        a = max((m.end() for m in re.finditer(r"\s", start)), default=a)
     tail = text[max(a, len(text) - EDGE) :]
-    found = [m.end() for m in re.finditer(r"\n(?=\S)", tail)] or [m.end() for m in _SENTENCE_END.finditer(tail)]
+    found = [m.end() for m in _LINE_START.finditer(tail)] or [m.end() for m in _SENTENCE_END.finditer(tail)] or [m.end() for m in re.finditer(r"\s", tail)][:1]
     b = len(text) - len(tail) + (found[-1] if found else 0)
     return text[:a], text[a:b], text[b:]
 
 
-def summarise(text: str) -> tuple[str, list[int], str]:
-    """Chunk summary: open text at the start, counts, open text at the end."""
+def summarise(text: str) -> tuple[str, list[int], str, str, str]:
+    """Chunk summary: unjudged text at the start, counts, unjudged text at the end, open words, open lines."""
     head, middle, tail = _edges(text)
-    return head, measure(middle) if middle else [0] * len(COUNTS), tail
+    words, open_words = _closed_words(text)
+    lines, open_lines = _closed_lines(text)
+    return head, [len(text), *words, *_characters(text), *lines, *_judged(middle)], tail, open_words, open_lines
 
 
 def merge(a: tuple, b: tuple) -> tuple:
     """Summary of two adjacent chunks."""
-    seam = measure(a[2] + b[0]) if a[2] + b[0] else [0] * len(COUNTS)
-    return a[0], [x + y + z for x, y, z in zip(a[1], seam, b[1])], b[2]
+    words, open_words = _closed_words(a[3] + b[3])
+    lines, open_lines = _closed_lines(a[4] + b[4])
+    seam = [0, *words, 0, 0, *lines, *_judged(a[2] + b[0])]
+    return a[0], [x + y + z for x, y, z in zip(a[1], seam, b[1])], b[2], open_words, open_lines
 
 
 def close(s: tuple) -> list[int]:
     """Counts of a whole text from its summary."""
-    total = list(s[1])
-    for part in (s[0], s[2]):
-        if part:
-            total = [x + y for x, y in zip(total, measure(part))]
-    return total
+    judged = [x + y for x, y in zip(_judged(s[0]), _judged(s[2]))]
+    ends = [0, *_word_counts(_WORD.findall(s[3])), 0, 0, *_line_counts(_LINE_END.split(s[4])), *judged]
+    return [x + y for x, y in zip(s[1], ends)]
 
 
+_OPENS = ["tail", "words", "lines"]
 _COUNT_SCHEMA = ", ".join(f"{c} bigint" for c in COUNTS)
 
 
@@ -190,22 +246,22 @@ def _chunk_counts(df: DataFrame, key_type: str) -> DataFrame:
         .groupBy("key", "h", "k")
         .agg(F.first("part").alias("part"), F.count("*").alias("n"))
     )
-    schema = f"key {key_type}, h bigint, k int, n bigint, head string, {_COUNT_SCHEMA}, tail string"
+    schema = f"key {key_type}, h bigint, k int, n bigint, head string, {_COUNT_SCHEMA}, tail string, words string, lines string"
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             s = [summarise(t) for t in b["part"]]
             counts = pd.DataFrame([x[1] for x in s], columns=_FIELDS)
-            yield pd.concat([b[["key", "h", "k", "n"]].reset_index(drop=True), pd.DataFrame({"head": [x[0] for x in s]}), counts, pd.DataFrame({"tail": [x[2] for x in s]})], axis=1)
+            yield pd.concat([b[["key", "h", "k", "n"]].reset_index(drop=True), pd.DataFrame({"head": [x[0] for x in s]}), counts, pd.DataFrame([x[2:] for x in s], columns=_OPENS)], axis=1)
 
     def up(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values("k")
         total = None
         for r in g.itertuples(index=False):
-            s = (r.head, [int(getattr(r, c)) for c in COUNTS], r.tail)
+            s = (r.head, [int(getattr(r, c)) for c in COUNTS], r.tail, r.words, r.lines)
             total = s if total is None else merge(total, s)
-        row = [g["key"].iloc[0], g["h"].iloc[0], int(g["k"].iloc[0]) // FAN, g["n"].iloc[0], total[0], *total[1], total[2]]
-        return pd.DataFrame([row], columns=["key", "h", "k", "n", "head", *COUNTS, "tail"])
+        row = [g["key"].iloc[0], g["h"].iloc[0], int(g["k"].iloc[0]) // FAN, g["n"].iloc[0], total[0], *total[1], *total[2:]]
+        return pd.DataFrame([row], columns=["key", "h", "k", "n", "head", *COUNTS, *_OPENS])
 
     level = chunks.mapInPandas(first, schema)
     for _ in range(LEVELS):
@@ -213,7 +269,7 @@ def _chunk_counts(df: DataFrame, key_type: str) -> DataFrame:
 
     def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [close((r.head, [int(getattr(r, c)) for c in COUNTS], r.tail)) for r in b.itertuples(index=False)]
+            rows = [close((r.head, [int(getattr(r, c)) for c in COUNTS], r.tail, r.words, r.lines)) for r in b.itertuples(index=False)]
             out = pd.DataFrame(rows, columns=_FIELDS)
             out.insert(0, "key", b["key"].to_numpy())
             out["n"] = b["n"].to_numpy()

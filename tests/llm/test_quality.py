@@ -53,3 +53,28 @@ def test_long_texts_take_the_tree(spark):
     assert sorted(r.doc_id for r in rows) == [1, 1, 2]
     for r in rows:
         assert r.n_chars == len(text if r.doc_id == 1 else LIST) and r.is_prose == (r.doc_id == 1)
+
+
+def test_cuts_change_no_count(monkeypatch):
+    rnd = random.Random(5)
+    pieces = ["the", "a", "don't", "well-known", "--", "-", "'", "’", " ", "  ", "\n", "\r", "\r\n", "\u2028", "\x85", "7", ".", "x" * 40, "été", "İ"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(200)) for _ in range(60)]
+    texts += ["word " * 900, "The bed was moved. " * 300, "first\rsecond.\r" * 200, "z" * 3000, "the-" * 900, "-" * 3000, " " * 2000 + "a."]
+    for chunk, edge in ((1, 1), (7, 3), (64, 16), (700, 300)):
+        monkeypatch.setattr(quality, "CHUNK", chunk)
+        monkeypatch.setattr(quality, "EDGE", edge)
+        for t in texts:
+            total, *rest = [quality.summarise(t[i : i + chunk]) for i in range(0, len(t), chunk)]
+            for p in rest:
+                total = quality.merge(total, p)
+            assert quality.close(total)[:8] == quality.measure(t)[:8], (chunk, t[:60])
+            assert len(total[3]) < 40 and len(total[4]) <= 3
+
+
+def test_long_lines_through_spark(spark):
+    texts = ["word " * 18_000, "one line of prose without an end " * 6_000, "first line\rsecond line.\r" * 6_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in quality.statistics(df, "doc_id", "text").collect()}
+    for i, t in enumerate(texts):
+        assert [rows[i][c] for c in quality.COUNTS[:8]] == quality.measure(t)[:8]
+    assert rows[0].n_words == 18_000 and rows[0].n_lines == rows[1].n_lines == 1 and rows[2].n_lines == 12_000
