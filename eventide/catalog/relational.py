@@ -180,12 +180,25 @@ def prj_11(spark: SparkSession, d: str) -> DataFrame:
        WHERE NOT (month(wall) = 11 AND day(wall) <= 7 AND hour(wall) IN (0, 1, 2))""",
 )
 def prj_12(spark: SparkSession, d: str) -> DataFrame:
-    """The discharge read as if it were a wall-clock time; the hours that zones repeat are left out, as engines choose differently there."""
+    """The discharge read as if it were a wall-clock time; the hours that zones repeat are left out for the SQL's sake, prj_12_to_utc_all has all."""
     rows = read(spark, d, "hospitalization").where("discharge_dttm is not null").join(read(spark, d, "hospital_sites").select("hospital_id", "timezone"), "hospital_id")
     rows = rows.where(~((F.month("discharge_dttm") == 11) & (F.dayofmonth("discharge_dttm") <= 7) & F.hour("discharge_dttm").isin(0, 1, 2)))
     return rows.select("hospitalization_id", "hospital_id", F.unix_micros(N.to_utc(F.col("discharge_dttm"), F.col("timezone"))).alias("utc_us")).distinct()
 
 
+@query(
+    "prj_12_to_utc_all",
+    """WITH l AS (SELECT hospitalization_id, h.hospital_id, timezone AS z, discharge_dttm AT TIME ZONE 'UTC' AS wall FROM hospitalization h JOIN hospital_sites s USING (hospital_id) WHERE discharge_dttm IS NOT NULL),
+            c AS (SELECT *, (wall AT TIME ZONE z) - to_minutes(k * 30) AS u FROM l, (SELECT unnest(range(0, 5)) AS k))
+       SELECT hospitalization_id, hospital_id, epoch_us(min(u) FILTER (u AT TIME ZONE z = wall)) AS utc_us FROM c GROUP BY hospitalization_id, hospital_id, z, wall""",
+)
+def prj_12_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every discharge read as if it were a wall-clock time: the earlier instant of a repeated hour, null in a skipped one."""
+    rows = read(spark, d, "hospitalization").where("discharge_dttm is not null").join(read(spark, d, "hospital_sites").select("hospital_id", "timezone"), "hospital_id")
+    rows = rows.select("hospitalization_id", "hospital_id", "timezone", "discharge_dttm").distinct()
+    return rows.select("hospitalization_id", "hospital_id", F.unix_micros(N.to_utc(F.col("discharge_dttm"), F.col("timezone"))).alias("utc_us"))
+
+
 @query("prj_13_censor_open", "SELECT hospitalization_id, epoch_us(COALESCE(discharge_dttm, TIMESTAMPTZ '2026-01-01 00:00:00+00')) AS end_us FROM hospitalization")
 def prj_13(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "hospitalization").select("hospitalization_id", F.unix_micros(F.coalesce("discharge_dttm", F.expr("timestamp'2026-01-01 00:00:00'"))).alias("end_us"))
