@@ -165,6 +165,18 @@ def lab_03(spark: SparkSession, d: str) -> DataFrame:
     return labels.at_anchors(anchors, rows.select("h", F.col("m").alias("minute"), "v"), "h", F.col("v") > 2, horizon_min=10080)
 
 
+@query(
+    "lab_03_all_anchors",
+    f"""WITH r AS {_READ}, a AS (SELECT DISTINCT h, m + 600 AS anchor_min FROM {_MIN}),
+            p AS (SELECT a.h, anchor_min, max_by(hit, minute) FILTER (minute <= anchor_min) AS now, min(minute) FILTER (minute > anchor_min AND minute <= anchor_min + 10080 AND hit = 1) AS nx, COUNT(*) FILTER (minute > anchor_min AND minute <= anchor_min + 10080) AS later FROM a JOIN r ON r.h = a.h GROUP BY 1, 2)
+       SELECT h, anchor_min, CASE WHEN now = 1 THEN 'prevalent' WHEN nx IS NOT NULL THEN 'positive' WHEN later > 0 THEN 'negative' ELSE 'censored' END AS status, CASE WHEN coalesce(now, 0) <> 1 AND nx IS NOT NULL THEN nx - anchor_min END AS after_min FROM p""",
+)
+def lab_03_all(spark: SparkSession, d: str) -> DataFrame:
+    """An anchor after every reading; lab_03_many_anchors takes those its SQL takes, one reading in three."""
+    rows = _creatinine(spark, d)
+    return labels.at_anchors(rows.select("h", (F.col("m") + 600).alias("anchor_min")), rows.select("h", F.col("m").alias("minute"), "v"), "h", F.col("v") > 2, horizon_min=10080)
+
+
 @query("lab_07_anchor_sample", f"SELECT h, m AS anchor_min FROM (SELECT DISTINCT h, m FROM {_MIN}) QUALIFY row_number() OVER (PARTITION BY h ORDER BY sha256('3:' || h || ':' || CAST(m AS VARCHAR)), m) <= 2")
 def lab_07(spark: SparkSession, d: str) -> DataFrame:
     return labels.sample_anchors(_creatinine(spark, d).select("h", F.col("m").alias("minute")), "h", 2, 3)
