@@ -220,6 +220,43 @@ def gen_01(spark: SparkSession, d: str) -> DataFrame:
     return encode.pair_by_prompt(sims, s, "prompt", "token").select("sim", "h")
 
 
+_PROMPTS = f"{_TOKENS}, {_VOCAB}, s AS (SELECT h, list(coalesce(v.id, 3) ORDER BY tm, i) AS a FROM t LEFT JOIN v ON v.token = t.token GROUP BY 1), p AS (SELECT h, array_to_string(a[1:3], ',') AS prompt FROM s WHERE len(a) >= 3)"
+
+
+def _prompts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every stay as a simulation and as observed; gen_01_prompt_pairs simulates those its SQL takes, ids that end in 0."""
+    s = _sequences(spark, d).select("h", "token")
+    return s.where("size(token) >= 3").select(F.col("h").alias("sim"), F.slice("token", 1, 3).alias("prompt")), s
+
+
+_ids = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+@query("gen_01_prompt_classes", f"WITH {_PROMPTS}, n AS (SELECT prompt, COUNT(*) AS observed FROM p GROUP BY 1) SELECT p.prompt, COUNT(*) AS simulations, any_value(observed) AS observed FROM p JOIN n ON n.prompt = p.prompt GROUP BY 1")
+def gen_01_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts with their numbers of simulations and of observed stays, of which every one pairs with every other."""
+    sims, s = _prompts(spark, d)
+    return encode.prompt_classes(sims, s, "prompt", "token").withColumn("prompt", _ids("prompt"))
+
+
+@query("gen_01_prompt_members", f"WITH {_PROMPTS} SELECT prompt, h FROM p")
+def gen_01_members(spark: SparkSession, d: str) -> DataFrame:
+    """The prompt class of each stay."""
+    sims, s = _prompts(spark, d)
+    return encode.prompt_members(sims, s, "prompt", "token", "h").withColumn("prompt", _ids("prompt"))
+
+
+@query(
+    "gen_02_observed_outcome",
+    f"""WITH {_TOKENS}, {_VOCAB}, e AS (SELECT h, coalesce(v.id, 3) AS id, epoch_us(tm) // 60000000 AS m, row_number() OVER (PARTITION BY h ORDER BY tm, i) AS k, min(epoch_us(tm) // 60000000) OVER (PARTITION BY h) + 720 AS a FROM t LEFT JOIN v ON v.token = t.token),
+            g AS (SELECT h, max(m) FILTER (m <= a) AS now, max(k) FILTER (m <= a) AS last, COUNT(*) FILTER (id IN (5, 6, 7)) AS n, min(k) FILTER (id IN (5, 6, 7)) AS hit, min(id) FILTER (id IN (5, 6, 7)) AS outcome, min(m) FILTER (id IN (5, 6, 7)) AS m FROM e GROUP BY 1)
+       SELECT h, CASE WHEN n = 1 AND hit > last THEN outcome END AS outcome, CASE WHEN n = 1 AND hit > last THEN m - now END AS after_min FROM g""",
+)
+def gen_02(spark: SparkSession, d: str) -> DataFrame:
+    out = encode.observed_outcome(F.col("token"), F.col("at_min"), [5, 6, 7], 720)
+    return _sequences(spark, d).withColumn("o", out).select("h", F.col("o.token").alias("outcome"), F.col("o.after_min").alias("after_min"))
+
+
 @query("sta_05_ici")
 def sta_05(spark: SparkSession, d: str) -> DataFrame:
     """Integrated calibration index by isotonic regression (no SQL: pool adjacent violators)."""

@@ -145,8 +145,8 @@ def outcome_token(tokens: Column, terminal: Sequence[int]) -> Column:
 MAX_PROMPT_LENGTHS = 4096
 
 
-def pair_by_prompt(simulated: DataFrame, observed: DataFrame, prompt: str, sequence: str) -> DataFrame:
-    """Simulations with the observed sequences that start with their prompt, joined on the prompt's hash, then on the prompt.
+def _heads(simulated: DataFrame, observed: DataFrame, prompt: str, sequence: str) -> DataFrame:
+    """``observed`` once for every prompt length that its sequence reaches, with its start ``__p`` of that length and the start's hash.
 
     The distinct prompt lengths reach the driver, checked against MAX_PROMPT_LENGTHS.
     """
@@ -154,6 +154,35 @@ def pair_by_prompt(simulated: DataFrame, observed: DataFrame, prompt: str, seque
     if len(lengths) > MAX_PROMPT_LENGTHS:
         raise ValueError(f"more than {MAX_PROMPT_LENGTHS} distinct prompt lengths")
     cuts = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.size(sequence))
-    heads = observed.withColumn("__n", F.explode(cuts)).withColumn("__p", F.slice(sequence, F.lit(1), F.col("__n"))).withColumn("__h", F.xxhash64("__p"))
+    return observed.withColumn("__n", F.explode(cuts)).withColumn("__p", F.slice(sequence, F.lit(1), F.col("__n"))).withColumn("__h", F.xxhash64("__p"))
+
+
+def pair_by_prompt(simulated: DataFrame, observed: DataFrame, prompt: str, sequence: str) -> DataFrame:
+    """Simulations with the observed sequences that start with their prompt, joined on the prompt's hash, then on the prompt."""
+    heads = _heads(simulated, observed, prompt, sequence)
     named = simulated.withColumn("__h", F.xxhash64(prompt)).withColumn("__q", F.col(prompt))
     return named.join(heads, "__h").where(F.col("__q") == F.col("__p")).drop("__h", "__n", "__p", "__q")
+
+
+def prompt_classes(simulated: DataFrame, observed: DataFrame, prompt: str, sequence: str) -> DataFrame:
+    """(prompt, simulations, observed): a row per distinct prompt; the pairs of pair_by_prompt, counted and never expanded."""
+    sims = simulated.where(F.col(prompt).isNotNull()).groupBy(F.col(prompt).alias("prompt")).agg(F.count("*").alias("simulations"))
+    seen = _heads(simulated, observed, prompt, sequence).groupBy(F.col("__p").alias("prompt")).agg(F.count("*").alias("observed"))
+    return sims.join(seen, "prompt", "left").select("prompt", "simulations", F.coalesce("observed", F.lit(0)).alias("observed"))
+
+
+def prompt_members(simulated: DataFrame, observed: DataFrame, prompt: str, sequence: str, key: str) -> DataFrame:
+    """(prompt, key) of the observed sequences of each prompt class."""
+    heads = _heads(simulated, observed, prompt, sequence).select(F.col("__p").alias("prompt"), key)
+    return heads.join(simulated.select(F.col(prompt).alias("prompt")).distinct(), "prompt", "left_semi")
+
+
+def observed_outcome(tokens: Column, minutes: Column, terminal: Sequence[int], anchor: int) -> Column:
+    """(token, after_min): the single terminal token of a sequence and the minutes to it from the last token up to ``anchor`` minutes after the first.
+
+    Null unless there is exactly one terminal token, after that token.
+    """
+    last = F.size(F.filter(minutes, lambda m: m <= F.get(minutes, F.lit(0)) + anchor)) - 1
+    hits = F.filter(F.transform(tokens, lambda t, i: F.when(t.isin(*terminal), i)), lambda i: i.isNotNull())
+    at = F.get(hits, F.lit(0))
+    return F.when((F.size(hits) == 1) & (at > last), F.struct(F.get(tokens, at).alias("token"), (F.get(minutes, at) - F.get(minutes, last)).alias("after_min")))
