@@ -10,9 +10,10 @@ Three kinds of readings are reported:
   excursion of up to three readings disagrees with both.  The residual is
   divided by the series' own spread (from the median step between readings).
   The cutoff is set by peaks over threshold: a generalised Pareto tail is
-  fitted to the scaled residuals of all series of the quantity by quantiles
-  up to 95 %, which the spikes hardly move, and cut at a fixed risk per
-  reading;
+  fitted to the scaled residuals of each series by quantiles up to 95 % and
+  cut at a fixed risk per reading.  The spikes of a short series move its own
+  quantiles, so these are drawn towards the median series of the quantity, in
+  which every series counts once, however many readings it has;
 * stuck: stretches of one exact value that a series with this rate of
   repeats (the stretch itself left out) would show less often than a fixed
   risk.
@@ -43,6 +44,8 @@ RISK_SPIKE = 1e-4
 RISK_STUCK = 1e-3
 MIN_STUCK = 6
 MIN_OTHERS = 10
+SHRINK = 1 / RISK_SPIKE  # readings at which a series' own tail counts as much as the quantity's; in fewer, no reading is expected beyond the cutoff
+_RANKS = [0.8, 0.9, 0.95]
 _KEY = ["source", "field"]
 
 
@@ -91,17 +94,23 @@ def _neighbours(readings: DataFrame) -> DataFrame:
     return rows.select("source", "field", "shard", "hot", "t", "v", "off", "step", F.sum(fresh).over(part.rowsBetween(Window.unboundedPreceding, 0)).alias("stretch"))
 
 
-def tail_cutoff(scaled: DataFrame, risk: float = RISK_SPIKE) -> DataFrame:
-    """(field, cut): generalised Pareto cutoff of the column ``z`` per field.
+def tail_cutoff(series: DataFrame, risk: float = RISK_SPIKE) -> DataFrame:
+    """``series`` with ``cut``: generalised Pareto cutoff of the scaled residuals of each of the rows (source, field, n, q, varies).
 
-    The tail over the 90 % quantile has its scale from the 80 and 95 %
-    quantiles and shape 0 (exponential): shapes estimated from quantiles swing
-    widely on readings rounded to few digits, and measurement noise falls off
-    no slower than that.
+    ``q`` has the series' quantiles at _RANKS.  The tail over the 90 % quantile
+    has its scale from the 80 and 95 % quantiles and shape 0 (exponential):
+    shapes estimated from quantiles swing widely on readings rounded to few
+    digits, and measurement noise falls off no slower than that.  The
+    quantiles of n readings weigh n against SHRINK of the field's, which are
+    medians over its series; series that do not vary have the field's.
     """
-    q = scaled.groupBy("field").agg(F.percentile_approx("z", [0.8, 0.9, 0.95], 10000).alias("q"))
-    beta = (F.col("q")[2] - F.col("q")[0]) / F.log(F.lit(0.2 / 0.05))
-    return q.select("field", F.greatest(F.lit(5.0), F.col("q")[1] + beta * F.log(F.lit(0.1 / risk))).alias("cut"))
+    ranks = range(len(_RANKS))
+    typical = series.where("varies").groupBy("field").agg(F.array(*[F.percentile_approx(F.col("q")[i], 0.5, 10000) for i in ranks]).alias("f"))
+    own = F.when(F.col("varies"), F.col("n") / (F.col("n") + SHRINK)).otherwise(0.0)
+    q = [F.col("q")[i] * own + F.col("f")[i] * (1 - own) for i in ranks]
+    beta = (q[2] - q[0]) / F.log(F.lit(0.2 / 0.05))
+    cut = F.greatest(F.lit(5.0), q[1] + beta * F.log(F.lit(0.1 / risk)))
+    return series.join(F.broadcast(typical), "field", "left").withColumn("cut", cut).drop("f")  # one row per field
 
 
 def _stuck(rows: DataFrame) -> DataFrame:
@@ -143,11 +152,10 @@ def implausible(readings: DataFrame, limits: dict[str, tuple[float, float]]) ->
 
     # five quantiles of the step, over what noise of deviation 1 has there, stand rounding to few digits better than the median alone
     steps = F.aggregate(F.percentile_approx("step", [0.3, 0.4, 0.5, 0.6, 0.7], 10000), F.lit(0.0), lambda a, x: a + x) / 4.896
-    spread = rows.groupBy(*_KEY).agg(steps.alias("m"), F.percentile_approx("v", 0.5, 1000).alias("level"))
+    spread = rows.groupBy(*_KEY).agg(steps.alias("m"), F.percentile_approx("v", 0.5, 1000).alias("level"), F.percentile_approx("off", _RANKS, 10000).alias("off_q"), F.count("*").alias("n"))
     scale = F.when(F.col("m") > 0, F.greatest(F.col("m"), F.abs("level") * 0.001)).otherwise(F.greatest(F.abs("level") * 0.02, F.lit(1e-9)))
-    scaled = rows.join(spread, _KEY).select("source", "field", "t", "v", (F.col("off") / scale).alias("z"), (F.col("m") > 0).alias("varies"))
-    cuts = tail_cutoff(scaled.where("varies"))
-    far = scaled.join(F.broadcast(cuts), "field", "left").where(F.col("z") > F.coalesce("cut", F.lit(5.0)))  # one row per field
+    series = spread.withColumn("scale", scale).select(*_KEY, "n", "scale", F.transform("off_q", lambda x: x / F.col("scale")).alias("q"), F.coalesce(F.col("m") > 0, F.lit(False)).alias("varies"))
+    far = rows.join(tail_cutoff(series).select(*_KEY, "scale", "cut"), _KEY).where(F.col("off") / F.col("scale") > F.col("cut"))
 
     stuck = _stuck(rows)
     frozen = rows.join(stuck, ["source", "field", "v"]).where(F.col("t").between(F.col("t0"), F.col("t1")))

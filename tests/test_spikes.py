@@ -58,3 +58,20 @@ def test_constant_series_repeats_and_nulls(spark):
     once = run(spark, rows)
     assert run(spark, twice) == once | {(i + 500_000, r) for i, r in once}
     assert run(spark, []) == set()
+
+
+def test_hot_run_leaves_other_runs_alone(spark):
+    rows, _ = series()
+    alone = run(spark, rows)
+    rnd = random.Random(8)
+    hot = [(10**6 + i, "hot", "flow", i, round(4 + rnd.gauss(0, 0.4 if rnd.random() < 0.25 else 0.03), 3)) for i in range(len(rows) // 2)]
+    both = run(spark, rows + hot)
+    assert {x for x in both if x[0] < 10**6} == alone
+
+
+def test_a_restless_run_has_its_own_cutoff(spark):
+    rows, _ = series()
+    rnd = random.Random(9)
+    restless = [(10**6 + i, "restless", "flow", i, round(4 + rnd.gauss(0, 0.4 if rnd.random() < 0.25 else 0.03), 3)) for i in range(20_000)]
+    cases = [x for x in run(spark, rows + restless) if x[0] >= 10**6]
+    assert len(cases) < 0.01 * len(restless)
