@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -43,6 +44,27 @@ def scratch(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="eventide-scratch-")
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session is gone; its owner clears the shared folder
+        pass
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back, so that several readers each read only their columns.
+
+    Later plans never run the work again, and a lost executor loses nothing.
+    The folder goes when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    folder = scratch(spark)
+    df.write.mode("overwrite").parquet(folder)
+    atexit.register(_remove, spark, folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
