@@ -12,10 +12,13 @@ copies, until one of them is integral.  A partition is streamed through with a
 single open text per (source, bucket), so memory is constant; the open texts
 left over are combined in a tree of wider and wider buckets until one per
 source remains, which is rounded by its probability.  The size of a source is
-thus met up to one text.
+thus met up to one text.  The tree is the same at every size: LEAVES buckets a
+source, then FAN times fewer a level, so which texts are drawn depends only on
+the texts and the seed.
 
-Random numbers are hashes of the text and a seed: lost executors recompute the
-same selection.
+Every text is cut into tokens once, where it lies; only hashes, sizes and keys
+are shuffled.  Random numbers are hashes of the text and a seed: lost
+executors recompute the same selection.
 
 Defined results: texts are distinct by content, and an exact copy counts as
 the same text: it is kept once, under the copy with the smallest key among
@@ -37,8 +40,8 @@ from pyspark.sql import functions as F
 from eventide.llm import tokens
 from eventide.runtime import checkpoint
 
-BUCKET_TEXTS = 50_000
-FAN = 1024
+LEAVES = 1 << 16
+FAN = 256
 MAX_SOURCES = 100_000
 
 
@@ -47,9 +50,9 @@ def _pool(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str,
     listed = targets.where("target_share > 0 and max_repeats >= 1").select(F.col("source").alias("__s"), F.col("max_repeats").alias("cap"))
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\S"))
     usable = rows.join(listed, F.col(source) == F.col("__s")).select(F.sha2(text, 256).alias("hash"), F.col(key).alias("key"), F.col("__s").alias("source"), "cap", F.col(text).alias("text"))
-    sizes = tokens.count(usable, "hash", "text", path, out="size")
-    owners = usable.groupBy("hash").agg(F.min(F.struct("key", "source")).alias("o"), F.min("cap").alias("cap"))
-    return owners.join(sizes, "hash").where("size > 0").select("hash", "o.key", "o.source", F.col("cap").cast("bigint").alias("cap"), F.col("size").cast("bigint").alias("size"))
+    sized = tokens.count(usable, "text", path, out="size")
+    owners = sized.groupBy("hash").agg(F.min(F.struct("key", "source")).alias("o"), F.min("cap").cast("bigint").alias("cap"), F.max("size").alias("size"))
+    return owners.where("size > 0").select("hash", "o.key", "o.source", "cap", "size")
 
 
 def rates(capacity: dict[str, int], shares: dict[str, float]) -> dict[str, float]:
@@ -104,15 +107,14 @@ def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _ITEM = "source string, bucket bigint, hash string, size bigint, p double, u double"
 
 
-def pivotal(items: DataFrame, n_items: int, seed: int) -> DataFrame:
+def pivotal(items: DataFrame, seed: int) -> DataFrame:
     """(hash, up) of fractional items (source, hash, size, p)."""
-    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(1, -(-n_items // BUCKET_TEXTS))
     uniform = lambda level: F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "hash"), F.lit(1 << 53)).cast("double") / float(1 << 53)
-    level, done = 0, None
-    open_rows = items.select("source", F.pmod(F.xxhash64("hash"), F.lit(buckets)).alias("bucket"), "hash", "size", "p", uniform(0).alias("u"))
+    bucket = lambda n: F.pmod(F.xxhash64("hash"), F.lit(n)).alias("bucket")
+    level, buckets, done = 0, LEAVES, None
+    open_rows = items.select("source", bucket(buckets), "hash", "size", "p", uniform(0).alias("u"))
     while True:
-        ordered = open_rows.repartition(max(1, min(parts, buckets)), "source", "bucket").sortWithinPartitions("source", "bucket", "size", "hash")
+        ordered = open_rows.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "size", "hash")
         rounded = checkpoint(ordered.mapInPandas(_stream, _ITEM))
         ended = rounded.where("p <= 0 or p >= 1").select("hash", (F.col("p") >= 1).cast("int").alias("up"))
         done = ended if done is None else done.unionByName(ended)
@@ -122,7 +124,7 @@ def pivotal(items: DataFrame, n_items: int, seed: int) -> DataFrame:
             last = left.select("hash", (uniform(level) < F.col("p")).cast("int").alias("up"))
             return done.unionByName(last)
         buckets = -(-buckets // FAN)
-        open_rows = left.select("source", F.pmod(F.xxhash64("hash"), F.lit(buckets)).alias("bucket"), "hash", "size", "p", uniform(level).alias("u"))
+        open_rows = left.select("source", bucket(buckets), "hash", "size", "p", uniform(level).alias("u"))
 
 
 def select(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, path: str | None = None) -> DataFrame:
@@ -135,7 +137,7 @@ def select(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: st
     goals = {r["source"]: r["target_share"] for r in targets.where("source is not null").limit(MAX_SOURCES + 1).collect()}
     if len(goals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    totals = pool.groupBy("source").agg(F.sum(F.col("cap") * F.col("size")).alias("c"), F.count("*").alias("n")).collect()
+    totals = pool.groupBy("source").agg(F.sum(F.col("cap") * F.col("size")).alias("c")).collect()
     rate = rates({r["source"]: r["c"] for r in totals}, goals)
     spark = docs.sparkSession
     plan = spark.createDataFrame([(s, float(x)) for s, x in rate.items()], "source string, rate double")
@@ -143,7 +145,7 @@ def select(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: st
     whole = F.floor(F.col("q") + 1e-9)
     part = F.col("q") - whole
     planned = wanted.withColumn("base", whole).withColumn("p", F.when(part > 1e-9, part).otherwise(0.0))
-    ups = pivotal(planned.where("p > 0").select("source", "hash", "size", "p"), sum(r["n"] for r in totals), seed)
+    ups = pivotal(planned.where("p > 0").select("source", "hash", "size", "p"), seed)
     mixed = planned.join(ups, "hash", "left").withColumn("copies", (F.col("base") + F.coalesce("up", F.lit(0))).cast("bigint"))
     return mixed.where("copies >= 1").select(F.col("key").alias(key), F.col("source").alias(source), F.col("size").alias("n_tokens"), "copies")
 

@@ -3,46 +3,52 @@
 Byte-level BPE never merges across pre-tokens ("words"), so a corpus needs
 each distinct word encoded once:
 
-1. every text is cut into words, counted within the batch, and the counts are
-   aggregated globally (the distinct-word shuffle);
-2. each distinct word is encoded once; the dictionary is checkpointed;
-3. texts are cut again and words replaced by their ids.  Words follow Zipf's
-   law, so the HOT_WORDS most frequent of at most HOT_CHARS characters (a
-   bound on count and size, about 20 MB whatever the corpus) are broadcast and
-   cover nearly all positions; only the remaining, rare words are exploded
-   with their positions, joined to the dictionary by word, and put back into
-   their text by position.  The frequent words, the hot keys of that join,
-   never enter it.
-
-Decoding looks ids up in the token-byte table, which the vocabulary bounds.
+1. one pass cuts every text into words and writes them, a block of some
+   BLOCK_WORDS positions at a time: the block's distinct words, numbered, and
+   per text the numbers of its words in order of position;
+2. the blocks' word lists are exploded with their numbers; the distinct words
+   of the corpus are shuffled, and each is encoded once;
+3. the ids are joined back by word and brought to their block, where texts are
+   reassembled by position.
+
+Scale: a word crosses the network once per block and not once per occurrence,
+so the most frequent word is no hot key; a text's positions travel as one
+array of small numbers.  A block is bounded but for a single text longer than
+it.  Nothing is collected or broadcast by hand, and no text is cut twice.
+
+Decoding explodes ids with their positions, joins the token-byte table, whose
+size is that of the vocabulary file, and puts the bytes back by position.
 
 Defined results: null, empty texts give an empty list; blank texts their
 white-space tokens; repeated rows each get their row; texts of any length are
 encoded whole; special-token strings in a text are ordinary text; an empty
 table gives no rows; a text that is no valid Unicode cannot occur in a string
-column.
+column; of the caller's columns only the key is kept, so no name can clash.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-from collections import Counter
-from collections.abc import Iterator
+import re
+import unicodedata
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-import regex
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.runtime import checkpoint
+from eventide.runtime import stage
 
-HOT_WORDS = 65_536
-HOT_CHARS = 48
+BLOCK_WORDS = 1 << 20
+# Below this code point the character classes of all Unicode versions agree.
+_STABLE_END = 0x530
 # The pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# Below this code point the character classes of all Unicode versions agree.
-_STABLE = regex.compile(r"[\x00-ԩ]*+")
 
 
 def default_path() -> str:
@@ -64,145 +70,156 @@ def _encoder(path: str):
     return tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=_vocabulary(path), special_tokens={})
 
 
+def _ranges(kind: str) -> str:
+    """Character-class text of the stable code points of a general category."""
+    return "".join(re.escape(chr(c)) for c in range(_STABLE_END) if unicodedata.category(chr(c))[0] == kind)
+
+
 @functools.lru_cache(maxsize=1)
 def _cutters():
+    """Words of a stable text, whether a text is stable, and the tokenizer's own cutter for the others."""
     from tokenizers import pre_tokenizers
 
-    return regex.compile(PATTERN), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+    letter, number, space = _ranges("L"), _ranges("N"), r"\t-\r \x85\xa0"
+    named = {r"\p{L}": f"[{letter}]", r"\p{N}": f"[{number}]", r"[^\s\p{L}\p{N}]": f"[^{space}{letter}{number}]", r"\S": f"[^{space}]", r"\s": f"[{space}]"}
+    plain = re.sub(r"\[\^\\s\\p\{L\}\\p\{N\}\]|\\p\{[LN]\}|\\[sS]", lambda m: named[m.group()], PATTERN)
+    return re.compile(plain).findall, re.compile(f"[\\x00-{chr(_STABLE_END - 1)}]*+").fullmatch, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
 
 
 def cut(text: str) -> list[str]:
     """Words of a text; their concatenation is the text."""
-    pattern, exact = _cutters()
-    if _STABLE.fullmatch(text):
-        return pattern.findall(text)
+    words, stable, exact = _cutters()
+    if stable(text):
+        return words(text)
     # newer letters: the tokenizer's own classes decide
     return [text[a:b] for _, (a, b) in exact.pre_tokenize_str(text)]
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        seen: Counter = Counter()
-        for text in batch["text"]:
-            if text:
-                seen.update(cut(text))
-        if seen:
-            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+class _Numbers(dict):
+    """Numbers its keys in order of first use."""
 
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
 
-def dictionary(texts: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids) of every distinct word of the column ``text``, checkpointed."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _cut_batches(carry: Sequence[str], block_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            kept = batch.select(list(carry))
+            texts = batch.column("text").to_pylist()
+            start = 0
+            while start < len(texts):
+                numbers, flat, ends = _Numbers(), array("i"), [0]
+                for text in texts[start:]:
+                    if text:
+                        flat.extend(map(numbers.__getitem__, cut(text)))
+                    ends.append(len(flat))
+                    if len(flat) >= block_words:
+                        break
+                n = len(ends) - 1
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
+                words = pa.array([list(numbers)], pa.list_(pa.string()))
+                columns = [pa.concat_arrays([kept.column(c).slice(start, n), pa.nulls(1, kept.column(c).type)]) for c in carry]
+                columns += [pa.array([block] * (n + 1), pa.int64()), pa.concat_arrays([pa.nulls(n, words.type), words]), pa.concat_arrays([lists, pa.nulls(1, lists.type)])]
+                yield pa.RecordBatch.from_arrays(columns, [*carry, "__block", "__words", "__at"])
+                block += 1
+                start += n
+
+    return run
+
+
+def _blocks(rows: DataFrame, carry: Sequence[str]) -> DataFrame:
+    """Staged table: per text its carried columns, __block and __at (numbers of its words); per block one row with __words."""
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return stage(rows.select(*carry, "text").mapInArrow(_cut_batches(carry, BLOCK_WORDS), f"{kinds}, __block bigint, __words array<string>, __at array<int>"))
+
+
+def _coded(blocks: DataFrame, path: str) -> DataFrame:
+    """(__b, __k, __ids): the ids of every word of every block; each distinct word of the corpus is encoded once."""
+
+    def encode_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = _encoder(path)
         for batch in batches:
-            batch["ids"] = [bpe.encode_ordinary(w) for w in batch["word"]]
-            yield batch
+            yield pd.DataFrame({"__word": batch["__word"], "__ids": [bpe.encode_ordinary(w) for w in batch["__word"]]})
 
-    words = texts.select("text").mapInPandas(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return checkpoint(words.mapInPandas(encode, "word string, n bigint, ids array<int>"))
+    words = blocks.where("__words is not null").select("__block", F.posexplode("__words").alias("__k", "__word"))
+    distinct = words.groupBy("__word").agg(F.lit(1).alias("one")).select("__word")
+    return words.join(distinct.mapInPandas(encode_words, "__word string, __ids array<int>"), "__word").select(F.col("__block").alias("__b"), "__k", "__ids")
 
 
-def _replace(texts: DataFrame, words: DataFrame, count_only: bool) -> DataFrame:
-    """Per row of ``texts`` (key, text): ids or their number, with the rare words left out and listed."""
-    spark = texts.sparkSession
-    top = words.where(F.length("word") <= HOT_CHARS).orderBy(F.desc("n"), "word").limit(HOT_WORDS).select("word", "ids").collect()
-    hot = spark.sparkContext.broadcast({r["word"]: (len(r["ids"]) if count_only else list(r["ids"])) for r in top})
+def _by_number(coded: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(number of ids of each word, all their ids) of a block in order of word number."""
+    lists = coded.sort_by("__k").column("__ids").combine_chunks()
+    return np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
 
-    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = hot.value.get
-        for batch in batches:
-            ids_of, rare_of = [], []
-            for text in batch["text"]:
-                rare: list[str] = []
-                if count_only:
-                    ids: list[int] | int = 0
-                    for w in cut(text) if text else ():
-                        n = get(w)
-                        if n is None:
-                            rare.append(w)
-                        else:
-                            ids += n
-                else:
-                    ids = []
-                    for w in cut(text) if text else ():
-                        got = get(w)
-                        if got is None:
-                            rare.append(w)
-                            ids.append(-1)
-                        else:
-                            ids += got
-                ids_of.append(ids)
-                rare_of.append(rare)
-            yield pd.DataFrame({"key": batch["key"], "ids": ids_of, "rare": rare_of})
-
-    kind = "bigint" if count_only else "array<int>"
-    key = texts.schema["key"].dataType.simpleString()
-    return texts.select("key", "text").mapInPandas(look_up, f"key {key}, ids {kind}, rare array<string>")
-
-
-def _splice_all(templates: pd.Series, parts: pd.Series) -> pd.Series:
-    out = []
-    for ids, rare in zip(templates, parts):
-        pieces = {int(p["k"]): p["ids"] for p in rare}
-        new: list[int] = []
-        k = 0
-        for i in ids:
-            if i < 0:
-                new.extend(pieces[k])
-                k += 1
-            else:
-                new.append(i)
-        out.append(new)
-    return pd.Series(out)
+
+def _positions(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers of all texts of a block, where each text ends)."""
+    lists = table.column("__at").combine_chunks()
+    return lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+
+
+def _reassemble(rows: DataFrame, carry: Sequence[str], path: str, out: str, kind: str, fill: Callable[[pa.Table, pa.Table], pa.Array]) -> DataFrame:
+    """Carried columns and ``out`` of every text, ``fill`` making a block's values from its texts and its coded words."""
+    blocks = _blocks(rows, carry)
+    texts = blocks.where("__words is null").select(*carry, "__block", "__at")
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.table([*[left.column(c) for c in carry], fill(left, right)], names=[*carry, out])
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry) + f", {out} {kind}"
+    return texts.groupBy("__block").cogroup(_coded(blocks, path).groupBy("__b")).applyInArrow(one, schema)
+
+
+def _fill_ids(texts: pa.Table, coded: pa.Table) -> pa.Array:
+    at, ends = _positions(texts)
+    lengths, ids = _by_number(coded) if coded.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+    n = lengths[at]
+    stop = np.cumsum(n, dtype=np.int64)
+    # each output place: its word's first id, plus how far into the word it is
+    first = (np.cumsum(lengths, dtype=np.int64) - lengths)[at]
+    values = ids[np.repeat(first - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
+    offsets = np.concatenate([[0], stop])[ends]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+
+
+def _fill_counts(texts: pa.Table, coded: pa.Table) -> pa.Array:
+    at, ends = _positions(texts)
+    lengths = _by_number(coded)[0] if coded.num_rows else np.zeros(0, np.int64)
+    stop = np.concatenate([[0], np.cumsum(lengths[at], dtype=np.int64)])
+    return pa.array(np.diff(stop[ends]), pa.int64())
 
 
 def encode(df: DataFrame, key: str, text: str, path: str | None = None, out: str = "ids") -> DataFrame:
     """(key, ids) of every row of ``df``."""
-    path = path or default_path()
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    words = dictionary(rows, path)
-    cut_rows = _replace(rows, words, count_only=False)
-    whole = cut_rows.where(F.size("rare") == 0).select("key", "ids")
-    # equal rows share one group: (key, template, rare words) fixes the text
-    open_rows = cut_rows.where(F.size("rare") > 0).withColumn("h", F.xxhash64("ids", "rare"))
-    asked = open_rows.select("key", "h", F.posexplode("rare").alias("k", "word"))
-    found = asked.join(words.select("word", F.col("ids").alias("part")), "word").select("key", "h", F.struct("k", F.col("part").alias("ids")).alias("p"))
-    templates = open_rows.select("key", "h", F.struct(F.lit(-1).alias("k"), "ids").alias("p"))
-    group = found.unionByName(templates).groupBy("key", "h").agg(
-        F.collect_set(F.when(F.col("p.k") >= 0, F.col("p"))).alias("parts"), F.first(F.when(F.col("p.k") < 0, F.col("p.ids")), ignorenulls=True).alias("ids"), F.count(F.when(F.col("p.k") < 0, 1)).alias("n")
-    )
-    splice = F.pandas_udf(_splice_all, "array<int>")
-    filled = group.select("key", F.explode(F.array_repeat(splice("ids", "parts"), F.col("n").cast("int"))).alias("ids"))
-    return whole.unionByName(filled).select(F.col("key").alias(key), F.col("ids").alias(out))
-
-
-def count(df: DataFrame, key: str, text: str, path: str | None = None, out: str = "n_tokens") -> DataFrame:
-    """(key, number of tokens), one row per distinct key; rows of a key must have equal texts. The ids themselves are never moved."""
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    words = dictionary(rows, path or default_path())
-    cut_rows = _replace(rows, words, count_only=True)
-    open_rows = cut_rows.where(F.size("rare") > 0).groupBy("key").agg(F.first("ids").alias("ids"), F.first("rare").alias("rare"))
-    rare = open_rows.select("key", F.explode("rare").alias("word")).join(words.select("word", F.size("ids").cast("bigint").alias("ids")), "word")
-    parts = (
-        cut_rows.where(F.size("rare") == 0).groupBy("key").agg(F.first("ids").alias("ids"))
-        .unionByName(open_rows.select("key", "ids"))
-        .unionByName(rare.groupBy("key").agg(F.sum("ids").alias("ids")))
-    )
-    return parts.groupBy("key").agg(F.sum("ids").alias(out)).withColumnRenamed("key", key)
+    return _reassemble(rows, ["key"], path or default_path(), "__out", "array<int>", _fill_ids).select(F.col("key").alias(key), F.col("__out").alias(out))
 
 
-@functools.lru_cache(maxsize=4)
-def _token_bytes(path: str) -> dict[int, bytes]:
-    return {i: b for b, i in _vocabulary(path).items()}
+def count(df: DataFrame, text: str, path: str | None = None, out: str = "n_tokens") -> DataFrame:
+    """The columns of ``df`` but ``text``, which ``out`` replaces: the number of its tokens. No ids move to the texts, only their numbers."""
+    carry = [c for c in df.columns if c not in (text, out)]
+    rows = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text).alias("text"))
+    counted = _reassemble(rows, [f"c{i}" for i in range(len(carry))], path or default_path(), "__out", "bigint", _fill_counts)
+    return counted.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], F.col("__out").alias(out))
 
 
-def decode(df: DataFrame, key: str, ids: str = "ids", path: str | None = None, out: str = "text") -> DataFrame:
-    """(key, text) of rows of ids; null ids give null, ids outside the vocabulary are an error."""
-    path = path or default_path()
+def token_bytes(spark, path: str | None = None) -> DataFrame:
+    """(token, hex): the bytes of every token of a vocabulary file, as hexadecimal digits."""
+    return spark.createDataFrame([(i, b.hex()) for b, i in _vocabulary(path or default_path()).items()], "token int, hex string")
 
-    def join_bytes(lists: pd.Series) -> pd.Series:
-        table = _token_bytes(path)
-        return pd.Series([None if x is None else b"".join(table[i] for i in x).decode("utf-8", "replace") for x in lists])
 
-    return df.select(key, F.pandas_udf(join_bytes, "string")(ids).alias(out))
+def decode(df: DataFrame, key: str, ids: str = "ids", path: str | None = None, out: str = "text") -> DataFrame:
+    """(key, text) of rows of ids, equal rows each theirs; null ids give null, ids outside the vocabulary are an error."""
+    table = token_bytes(df.sparkSession, path)
+    rows = df.groupBy(F.col(key).alias("key"), F.col(ids).alias("ids")).agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("ids"))
+    # one row more than there are tokens holds rows without any
+    asked = rows.select("key", "h", "n", F.size("ids").alias("size"), F.posexplode_outer("ids").alias("at", "token"))
+    found = asked.join(table, "token", "left")
+    whole = found.groupBy("key", "h", "n", "size").agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("at", "hex")))).alias("p"))
+    ordered = F.array_join(F.transform("p", lambda x: x["hex"]), "")
+    complete = F.when(F.exists("p", lambda x: x["hex"].isNull()), F.raise_error(F.lit("id outside the vocabulary")).cast("string")).otherwise(ordered)
+    text = F.when(F.col("size") >= 0, F.make_valid_utf8(F.unhex(complete).cast("string")))
+    return whole.select("key", text.alias("text"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")).select(F.col("key").alias(key), F.col("text").alias(out))

@@ -18,7 +18,7 @@ def targets(spark, rows):
 
 
 def test_shares_and_caps(spark, monkeypatch):
-    monkeypatch.setattr(mix, "BUCKET_TEXTS", 7)  # several buckets and levels
+    monkeypatch.setattr(mix, "LEAVES", 50)  # several buckets and levels
     monkeypatch.setattr(mix, "FAN", 3)
     t = targets(spark, [("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.15, 6), ("never", 0.05, 3)])
     chosen = mix.select(docs(spark), t)
