@@ -1,291 +1,599 @@
 """Per-document text quality statistics and a prose rule (problem 10).
 
-A text is cut into segments that never split a word or a line: wrapped lines
-are joined, and lines are cut at sentence ends.  Every segment adds to counts
-that simply sum (characters, words, letters, symbols, lines, function words),
-and is judged prose or not from its length in words, share of function words,
-repeats, symbols, and comma gaps; the characters of both kinds sum too.
-
-Huge texts are cut into chunks of CHUNK characters.  A chunk carries the word
-and the line left open at its two ends, in a few characters, however long they
-are; a word or line counts when it closes, so all counts but the characters of
-prose and other text are those of the whole text.  For those two, a chunk is
-judged up to the segments at its ends, which stay as text of at most EDGE
-characters each and are judged at the seam.  Merging is associative, so chunks
-go up a tree of FAN-wide groups, and no task ever sees more than FAN chunk
-summaries.  Texts of one chunk, nearly all, need no shuffle.
+A text is cut into *segments*: lines, of which those wrapped by hand are joined
+again, cut at sentence ends.  Every segment is judged prose or not from its
+counts (words, share of common words, repeats, symbols, comma gaps); segments
+too short to tell follow their neighbours on the line.  The verdict of the
+text weighs the characters of both kinds.
+
+Common words are learned from the corpus: per language, the words that most
+documents use in segments shaped like sentences and that are at home there
+rather than in the other segments.  Of the segments of 12 words or more that
+are prose in the test corpus, 99 % have under 43 % of repeats and over 33 % of
+common words (99.9 %: 31 %), half have 21 % and 64 %; of the others half have
+79 % of repeats.  The limits of ``verdicts`` lie outside these.
+
+Every text goes the same way, whatever its length.  It is cut into chunks of
+CHUNK characters; each chunk is measured with HALO characters of its
+neighbours in view, so all that is decided locally (words, boundaries, wrapped
+lines, repeats) is decided as in the whole text.  What a chunk cannot decide
+stays open in its summary: the line and the segment reaching over each end, as
+counts, and the segments whose verdict hangs on a neighbour over the end.
+Summaries merge associatively, FAN at a time in a tree of LEVELS levels, and
+give exactly the counts of the whole text; a text of one chunk is a tree of
+one leaf.  A task's work is bounded by what it reads, as no text is shuffled;
+only summaries are.
 
 Defined results: null, empty and blank texts have zero counts, null ratios and
 no verdict; texts without a line break have one line; repeated rows each get
-their row; a run of more than EDGE characters without any boundary may be
-judged in two parts, cut between words where it has any.
+their row; of the caller's columns only the key is kept.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 65_536
-EDGE = 4_096
-FAN = 32
-LEVELS = 3  # FAN ** LEVELS chunks hold the longest string Spark can have
+from eventide.runtime import stage
 
-# Frequent function words of English, Spanish, German and French.
-FUNCTION_WORDS = frozenset(
-    """
-    a about after again all although an and any are as at be because been before both but by can could did do does for from had has have he her
-    here his i if in into is it its may more most no not of on only or our over she should since so some than that the their them then there these
-    they this those though to under until was we were what when where whether which while who will with without would you
-    al como con cuando de del desde donde el ella en era es esa ese esta está estaba este fue ha había hasta hay la las le les lo los más mi muy ni
-    nos o para pero por porque que se ser si sin sobre su sus también tan tiene todo un una uno unos y ya
-    aber als am auch auf aus bei bis das dass dem den der des die durch ein eine einem einen einer er es für hat hatte ihr im ist kann kein keine
-    man mit nach nicht noch nur ob oder sehr sein sich sie sind so und unter vom von vor war waren warum weil wenn werden wie wir wird wurde wurden zu
-    zum zur
-    au aux avec avant ce cela ces cet cette chez d dans des du elle elles en est et était été il ils je l leur mais me même n ne nous on ont ou où
-    par pas plus pour qu qui sa sans ses son sont sur une vous
-    """.split()
-)
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_LETTERS = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
-_OPEN = re.compile(rf"['’-]?(?:{_LETTERS})?['’-]?")
-_LINE_END = re.compile(r"\r\n|[\n\r  \x0b\x0c\x85]")
-_LINE_START = re.compile(rf"(?:{_LINE_END.pattern})(?=\S)")
-_SENTENCE_END = re.compile(r"(?<=[.!?;。！？])[ \t ]+(?=\S)|(?<=[。！？])(?=\S)")
-_BULLET = re.compile(r"\s*(?:[-*•>+]|\[.?\]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)])\s")
-_PAIR = re.compile(r"[^:]{1,60}:\s*\S{0,12}\s*$")
-_BROKEN = re.compile(r"ï¿½|�|Ã.|Â|â€.|ð|¤")
-_ENDS = ".!?:;。！？…\"'”’)"
+CHUNK = 4096
+HALO = 320
+FAN = 128
+LEVELS = 3  # FAN ** LEVELS chunks hold the longest string Spark can have
+COMMON_WORDS = 100  # per language
+AT_HOME = 2  # a common word is used by so many times more documents in sentences than elsewhere
+SUPPORT = 0.02  # and by this part of the documents that use the language's most common word
+MAX_LANGUAGES = 10_000
 COUNTS = ("n_chars", "n_words", "n_word_chars", "n_common", "n_symbols", "n_digits", "n_lines", "n_lines_punct", "n_prose_chars", "n_other_chars")
-_FIELDS = [*COUNTS]
-_LONG = max(map(len, FUNCTION_WORDS)) + 1  # a word of so many characters is no function word
-
-
-def prose_score(text: str, before: str) -> float | None:
-    """Positive for prose, negative for lists, tables and junk; None for segments too short to tell."""
-    body = text.strip()
-    words = [w.lower() for w in _WORD.findall(body)]
-    n, solid = len(words), len("".join(body.split()))
-    if not solid:
-        return None
-    letters = sum(map(str.isalpha, body))
-    if letters and sum(ch.isalpha() and ord(ch) >= 0x370 for ch in body) > 0.5 * letters:  # scripts written by other rules
-        return 2.0 if letters >= 6 and letters > 0.6 * solid else -1.0
-    if sum(map(len, _BROKEN.findall(body))) > 0.12 * solid:
-        return -6.0
-    if letters < 0.55 * solid:
-        return -4.0
-    if sum(len(t) for t in body.split() if len(t) > 30) > 0.3 * solid:  # encoded bytes
-        return -5.0
-    if n >= 6 and len(set(words)) < 0.4 * n or 2 <= n < 7 and body == before:
-        return -5.0
-    common = sum(all(p in FUNCTION_WORDS for p in re.split("['’-]", w)) or w in FUNCTION_WORDS or w.split("'")[0] in FUNCTION_WORDS for w in words)
-    share = common / max(n, 1)
-    if n >= 6 and n / (1 + body.count(",")) < 3.5 and body.count(",") >= 3 and share < 0.3:
-        return -4.0
-    if n >= 7:
-        score = -4.0 if share < 0.1 else (share - 0.2) * 15
-        return score + min(2.0, (n - 7) * 0.3) - 1.5 * bool(_BULLET.match(body))
-    if _BULLET.match(body) or _PAIR.match(body):
-        return -2.0
-    return None
-
-
-def _paragraph(lines: list[str]) -> bool:
-    """Whether the line to follow ``lines`` goes on with the same sentence."""
-    last = lines[-1].rstrip()
-    return len(last) >= 38 and last[-1] not in _ENDS + "|," and not _BULLET.match(lines[0])
-
-
-def segments(text: str) -> Iterator[list[str]]:
-    """Lists of sentences, one list per unwrapped line; joined, they are the text."""
-    group: list[str] = []
-    for line in re.split(r"(?<=\n)|(?<=\r)(?!\n)|(?<=[  \x0b\x0c\x85])", text):
-        if group and not (_paragraph(group) and line.strip() and not _BULLET.match(line) and line[:1] not in "|\t"):
-            yield _sentences("".join(group))
-            group = []
-        if line:
-            group.append(line)
-    if group:
-        yield _sentences("".join(group))
-
-
-def _sentences(text: str) -> list[str]:
-    cuts = [0, *(m.end() for m in _SENTENCE_END.finditer(text)), len(text)]
-    return [text[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
-
-
-def _judged(text: str) -> list[int]:
-    """Characters of prose and of other text."""
-    prose = other = 0
-    before = ""
-    for line in segments(text):
-        verdicts = []
-        for s in line:
-            score = prose_score(s, before)
-            verdicts.append(None if score is None else score > 0)
-            before = s.strip() or before
-        known = [v for v in verdicts if v is not None]
-        # short sentences follow their neighbours on the line; alone they are list items
-        for s, v in zip(line, verdicts):
-            kind = v if v is not None else (known[0] if known else False)
-            if s.strip():
-                prose, other = (prose + len(s), other) if kind else (prose, other + len(s))
-            if v is not None:
-                known = [v]
-    return [prose, other]
-
-
-def _characters(text: str) -> list[int]:
-    return [sum(not (c.isalnum() or c.isspace()) for c in text), sum(map(str.isdigit, text))]
-
-
-def _word_counts(words: list[str]) -> list[int]:
-    return [len(words), sum(map(len, words)), sum(w.lower() in FUNCTION_WORDS for w in words)]
-
-
-def _line_counts(lines: list[str]) -> list[int]:
-    solid = [x for x in map(str.rstrip, lines) if x]
-    return [len(solid), sum(x[-1] in _ENDS for x in solid)]
-
-
-def measure(text: str) -> list[int]:
-    """COUNTS of a whole text."""
-    return [len(text), *_word_counts(_WORD.findall(text)), *_characters(text), *_line_counts(_LINE_END.split(text)), *_judged(text)]
-
-
-def _shorten(word: str) -> tuple[str, int]:
-    """An open word, with its joining marks, as at most _LONG letters; the number of letters left out."""
-    found = _WORD.search(word)
-    surplus = len(found.group()) - _LONG if found else 0
-    return (word[: found.start()] + "x" * _LONG + word[found.end() :], surplus) if surplus > 0 else (word, 0)
-
-
-def _closed_words(text: str) -> tuple[list[int], str]:
-    """Counts of the words that nothing before or after can change, and the open ones at both ends, a space between them."""
-    head = _OPEN.match(text).group()
-    if len(head) == len(text):
-        kept, surplus = _shorten(head)
-        return [0, surplus, 0], kept
-    rest = text[len(head) :]
-    found = list(_WORD.finditer(rest))
-    tail = ""
-    if found and rest[found[-1].end() :] in ("", "'", "’", "-"):
-        tail = rest[found.pop().start() :]
-    (head, a), (tail, b) = _shorten(head), _shorten(tail)
-    n, chars, common = _word_counts([m.group() for m in found])
-    return [n, chars + a + b, common], f"{head} {tail}"
-
-
-def _closed_lines(text: str) -> tuple[list[int], str]:
-    """Counts of the lines between the first and last line end, and the last solid characters of the open lines."""
-    first, *rest = _LINE_END.split(text)
-    if not rest:
-        return [0, 0], first.rstrip()[-1:]
-    return _line_counts(rest[:-1]), first.rstrip()[-1:] + "\n" + rest[-1].rstrip()[-1:]
-
-
-def _edges(text: str) -> tuple[str, str, str]:
-    """Start and end of a chunk up to its outermost boundaries, and what lies between."""
-    start = text[:EDGE]
-    head = _LINE_START.search(start) or _SENTENCE_END.search(start)
-    a = head.end() if head else len(start)
-    if not head and len(text) > EDGE:
-        a = max((m.end() for m in re.finditer(r"\s", start)), default=a)
-    tail = text[max(a, len(text) - EDGE) :]
-    found = [m.end() for m in _LINE_START.finditer(tail)] or [m.end() for m in _SENTENCE_END.finditer(tail)] or [m.end() for m in re.finditer(r"\s", tail)][:1]
-    b = len(text) - len(tail) + (found[-1] if found else 0)
-    return text[:a], text[a:b], text[b:]
-
-
-def summarise(text: str) -> tuple[str, list[int], str, str, str]:
-    """Chunk summary: unjudged text at the start, counts, unjudged text at the end, open words, open lines."""
-    head, middle, tail = _edges(text)
-    words, open_words = _closed_words(text)
-    lines, open_lines = _closed_lines(text)
-    return head, [len(text), *words, *_characters(text), *lines, *_judged(middle)], tail, open_words, open_lines
-
-
-def merge(a: tuple, b: tuple) -> tuple:
-    """Summary of two adjacent chunks."""
-    words, open_words = _closed_words(a[3] + b[3])
-    lines, open_lines = _closed_lines(a[4] + b[4])
-    seam = [0, *words, 0, 0, *lines, *_judged(a[2] + b[0])]
-    return a[0], [x + y + z for x, y, z in zip(a[1], seam, b[1])], b[2], open_words, open_lines
 
-
-def close(s: tuple) -> list[int]:
-    """Counts of a whole text from its summary."""
-    judged = [x + y for x, y in zip(_judged(s[0]), _judged(s[2]))]
-    ends = [0, *_word_counts(_WORD.findall(s[3])), 0, 0, *_line_counts(_LINE_END.split(s[4])), *judged]
-    return [x + y for x, y in zip(s[1], ends)]
+# Characters by what they do.
+_LINE_ENDS = "\n\r\x0b\x0c\x85\u2028\u2029"
+_STOPS = ".!?;。！？"
+_WIDE_STOPS = "。！？"
+_CLOSERS = ".!?:;。！？…\"'”’)"
+_NO_WRAP = _CLOSERS + "|,"
+_JOINERS = "'’-"
+_BULLETS = "-*•>+"
+_BLANKS = " \t\u3000"
+_PAIR = re.compile(r"\s*[^:\s][^:]{0,59}:\s*\S{0,12}\s*")
+# How far a local decision looks; all sums of them stay within HALO.
+WRAPPED = (38, 160)  # solid lengths of a line that may be wrapped
+_TRAIL, _LEAD, _SHORT, _BACK, _LONG_TOKEN, _LONG_WORD = 64, 32, 96, 192, 30, 24
+
+
+class _Classes:
+    """Character classes by code point, looked up once per character."""
+
+    NAMES = ("alpha", "alnum", "digit", "decimal", "space")
+
+    def __init__(self) -> None:
+        self.known = np.zeros(0x110000, bool)
+        self.flags = np.zeros(0x110000, np.uint8)
+        self.lower = np.arange(0x110000, dtype=np.uint32)
+
+    def learn(self, codes: np.ndarray) -> None:
+        seen = np.zeros(0x110000, bool)
+        seen[codes] = True
+        for c in np.flatnonzero(seen & ~self.known):
+            ch = chr(c)
+            self.flags[c] = sum(bool(getattr(ch, "is" + n)()) << i for i, n in enumerate(self.NAMES))
+            self.lower[c] = ord(ch.lower()[0])
+        self.known |= seen
+
+    def of(self, codes: np.ndarray) -> dict[str, np.ndarray]:
+        flags = self.flags[codes]
+        return {n: (flags >> i & 1).astype(bool) for i, n in enumerate(self.NAMES)}
+
+
+@functools.lru_cache(maxsize=1)
+def _classes() -> _Classes:
+    return _Classes()
+
+
+@functools.lru_cache(maxsize=16)
+def _table(chars: str) -> np.ndarray:
+    out = np.zeros(0x110000, bool)
+    out[[ord(c) for c in chars]] = True
+    return out
+
+
+def _among(codes: np.ndarray, chars: str) -> np.ndarray:
+    return _table(chars)[codes]
+
+
+def _shift(a: np.ndarray, by: int) -> np.ndarray:
+    """``a[i - by]`` at i; the first value (or the last) stands at the ends."""
+    if by == 0:
+        return a
+    out = np.empty_like(a)
+    if by > 0:
+        out[by:], out[:by] = a[:-by], a[0]
+    else:
+        out[:by], out[by:] = a[-by:], a[-1]
+    return out
+
+
+def _sums(a: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(a) + 1, np.int64)
+    np.cumsum(a, out=out[1:])
+    return out
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class _Page:
+    """Chunks with their halos, laid out one after the other, and what each character is."""
+
+    def __init__(self, chunks: list[tuple[str, int, int]]) -> None:
+        """``chunks``: (text, start, end) of each chunk in its text."""
+        parts, self.start, self.end, self.base = [], [], [], []
+        at = 0
+        for text, a, b in chunks:
+            lo = max(0, a - HALO)
+            piece = text[lo : b + HALO]
+            parts.append(piece)
+            at += 2
+            self.base.append(at - 2)
+            self.start.append(at + a - lo)
+            self.end.append(at + b - lo)
+            at += len(piece)
+        # blank lines keep the pieces apart, as the ends of a text do
+        self.text = "\n\n" + "\n\n".join(parts) + "\n\n"
+        self.start, self.end, self.base = np.array(self.start), np.array(self.end), np.array(self.base)
+        c = self.c = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        classes = _classes()
+        classes.learn(c)
+        self.kind = classes.of(c)
+        self.solid = ~self.kind["space"]
+        n = len(c)
+        index = np.arange(n)
+        self.line_end = _among(c, _LINE_ENDS)
+        joined = (c == 10) & (_shift(c, 1) == 13)  # the \n of a \r\n
+        self.first_end = self.line_end & ~joined
+        after = _shift(self.line_end, 1) & ~joined
+        after[0] = True
+        self.line_start = after
+        self.last_solid = np.maximum.accumulate(np.where(self.solid, index, -1))
+        self.last_start = np.maximum.accumulate(np.where(after, index, 0))
+        ahead = np.where(self.solid, index, n)
+        self.next_solid = np.minimum.accumulate(ahead[::-1])[::-1]
+        self._words(classes)
+        self._boundaries(index)
+
+    def _words(self, classes: _Classes) -> None:
+        c = self.c
+        letter = self.kind["alnum"] & ~self.kind["decimal"]
+        inner = _among(c, _JOINERS) & _shift(letter, 1) & _shift(letter, -1)
+        self.word_char = letter | inner
+        self.word = self.word_char & ~_shift(self.word_char, 1)
+        run = letter & ~_shift(letter, 1)
+        run_end = letter & ~_shift(letter, -1)
+        starts, ends = np.flatnonzero(run), np.flatnonzero(run_end) + 1
+        first = self.word[starts]  # the first letters of a word, up to its first joiner, stand for it
+        starts, ends = starts[first], ends[first]
+        low = classes.lower[c].astype(np.uint64)
+        total = np.zeros(len(c) + 1, np.uint64)
+        np.cumsum(low * _powers(_BASE, len(c))[:-1], out=total[1:])
+        self.word_at = starts
+        # words too long to see whole from a chunk are told apart by nothing
+        long = ends - starts > _LONG_WORD
+        self.word_hash = np.where(long, np.uint64(0), (total[ends] - total[starts]) * _powers(_BASE_INVERSE, len(c))[starts])
+        order = np.lexsort((starts, self.word_hash))
+        h, at = self.word_hash[order], starts[order]
+        piece = np.searchsorted(self.base, at, "right")
+        again = np.zeros(len(order), bool)
+        again[1:] = (h[1:] == h[:-1]) & (h[1:] != 0) & (at[1:] - at[:-1] <= _BACK) & (piece[1:] == piece[:-1])
+        self.repeat = np.zeros(len(c), bool)
+        self.repeat[at[again]] = True
+
+    def _bullet(self, at: np.ndarray) -> np.ndarray:
+        """Whether a list mark starts at these places, after some blanks."""
+        last = len(self.c) - 1
+        p = self.next_solid[at]
+        ok = p - at <= _LEAD
+        ch = lambda k: self.c[np.minimum(p + k, last)]
+        is_ = lambda k, name: self.kind[name][np.minimum(p + k, last)]
+        mark = _among(ch(0), _BULLETS) & is_(1, "space")
+        box = (ch(0) == ord("[")) & (((ch(1) == ord("]")) & is_(2, "space")) | ((ch(2) == ord("]")) & is_(3, "space")))
+        p = np.minimum(p + (ch(0) == ord("(")), last)
+        close = lambda k: _among(ch(k), ".)") & is_(k + 1, "space")
+        digits = is_(0, "decimal")
+        number = digits & (close(1) | (is_(1, "decimal") & (close(2) | (is_(2, "decimal") & close(3)))))
+        lettered = is_(0, "alpha") & (ch(0) < 128) & close(1)
+        return ok & (mark | box | number | lettered)
+
+    def _boundaries(self, index: np.ndarray) -> None:
+        c = self.c
+        starts = np.flatnonzero(self.line_start)
+        bullets = np.zeros(len(c), bool)
+        bullets[starts] = self._bullet(starts)
+        at = starts[starts > 1]
+        e = at - 1 - ((c[at - 1] == 10) & (c[at - 2] == 13))  # where the line end before it begins
+        q = self.last_solid[e]
+        ls = self.last_start[e]
+        size = q - ls + 1
+        wrapped = (e - q <= _TRAIL) & (size >= WRAPPED[0]) & (size <= WRAPPED[1]) & ~_among(c[np.maximum(q, 0)], _NO_WRAP) & ~bullets[ls]
+        lead = self.next_solid[at]
+        nxt = np.minimum(lead, len(c) - 1)
+        solid_line = (lead - at <= _LEAD) & (self.last_start[nxt] == at)
+        soft = wrapped & solid_line & ~bullets[at] & ~_among(c[at], "|\t")
+        self.group = self.line_start.copy()
+        self.group[at[soft]] = False
+        p1, p2 = _shift(c, 1), _shift(c, 2)
+        sentence = (_among(p1, _BLANKS) & _among(p2, _STOPS)) | (_among(p1, _WIDE_STOPS) & self.solid)
+        self.boundary = self.group | (sentence & ~self.line_start)
+        self.at = np.flatnonzero(self.boundary)
+        self.bullet = np.zeros(len(c), bool)
+        self.bullet[self.at] = self._bullet(self.at)
+
+    def columns(self, common: np.ndarray) -> list[np.ndarray]:
+        """STATS of every character."""
+        c = self.c
+        broken = _among(c, "�Âð¤")
+        for pattern, more in (("Ã", 1), ("â€", 2), ("ï¿½", 2)):
+            hit = c == ord(pattern[0])
+            for k, ch in enumerate(pattern[1:], 1):
+                hit = hit & (_shift(c, -k) == ord(ch))
+            for k in range(more + 1):
+                broken = broken | _shift(hit, k)
+        token = self.solid & ~_shift(self.solid, 1)
+        token_end = np.flatnonzero(self.solid & ~_shift(self.solid, -1)) + 1
+        begin = np.flatnonzero(token)
+        n = token_end - begin
+        change = np.zeros(len(c) + 1, np.int64)
+        change[begin[n > _LONG_TOKEN]] += 1
+        change[token_end[n > _LONG_TOKEN]] -= 1
+        known = np.zeros(len(c), bool)
+        if len(common):
+            place = np.minimum(np.searchsorted(common, self.word_hash), len(common) - 1)
+            known[self.word_at[(common[place] == self.word_hash) & (self.word_hash != 0)]] = True
+        self.known = known
+        alpha = self.kind["alpha"]
+        pair = np.zeros(len(c), bool)
+        ends = np.append(self.at[1:], len(c))
+        words, colons = _sums(self.word), _sums(c == ord(":"))
+        for i in np.flatnonzero((ends - self.at <= _SHORT) & (colons[ends] > colons[self.at]) & (words[ends] - words[self.at] < 7)):
+            pair[self.at[i]] = bool(_PAIR.fullmatch(self.text, self.at[i], ends[i]))
+        return [np.ones(len(c), bool), self.solid, alpha, alpha & (c >= 0x370), broken & self.solid, np.cumsum(change)[:-1] > 0, self.word, known, c == ord(","), self.repeat, self.bullet, pair]
+
+
+#: What a segment is judged by; all add up over its parts.
+STATS = ("chars", "solid", "letters", "other_letters", "broken", "long", "words", "common", "commas", "repeats", "bullet", "pair")
+_N = len(STATS)
+
+
+def verdicts(s: np.ndarray) -> np.ndarray:
+    """1 prose, 0 not, -1 too short to tell, of rows of STATS."""
+    chars, solid, letters, foreign, broken, long, n, common, commas, repeats, bullet, pair = s.astype(np.float64).T
+    share = common / np.maximum(n, 1)
+    told = share > np.where(bullet > 0, 0.32, 0.22)
+    listed = (n >= 6) & (n < 3.5 * (1 + commas)) & (commas >= 3) & (share < 0.4)
+    repeated = (n >= 6) & (repeats > 0.45 * n) | (n >= 2) & (n < 7) & (repeats >= n)
+    junk = (broken > 0.12 * solid) | (letters < 0.55 * solid) | (long > 0.3 * solid) | repeated | listed
+    short = np.where((bullet > 0) | (pair > 0), 0, -1)
+    out = np.where(junk, 0, np.where(n >= 7, told, short))
+    other_script = (letters > 0) & (foreign > 0.5 * letters)  # scripts written by other rules
+    out = np.where(other_script, (letters >= 6) & (letters > 0.6 * solid), out)
+    return np.where(solid == 0, -1, out).astype(np.int64)
+
+
+# A part of a line's segments: characters before its first verdict, of prose, of other, its first and last verdict.
+_EMPTY = (0, 0, 0, -1, -1)
+
+
+def _join(a: tuple, b: tuple) -> tuple:
+    if a[3] < 0:
+        return (a[0] + b[0], a[1] + b[1], a[2] + b[2], b[3], b[4])
+    prose, other = a[1] + b[1], a[2] + b[2]
+    if a[4] == 1:
+        prose += b[0]
+    else:
+        other += b[0]
+    return (a[0], prose, other, a[3], b[4] if b[3] >= 0 else a[4])
+
+
+def _shut(a: tuple) -> tuple[int, int]:
+    """Characters of prose and of other text of a whole line."""
+    return (a[1] + a[0], a[2]) if a[3] == 1 else (a[1], a[2] + a[0])
+
+
+def _item(verdict: int, chars: int) -> tuple:
+    return (chars, 0, 0, -1, -1) if verdict < 0 else (0, chars * verdict, chars * (1 - verdict), verdict, verdict)
+
+
+# A sequence of segments: whether a line starts in it, the part before that, both sums of whole lines, the part after.
+_NOTHING = (0, *_EMPTY, 0, 0, *_EMPTY)
+
+
+def _chain(a: tuple, b: tuple) -> tuple:
+    if not b[0]:
+        return (0, *_join(a[1:6], b[1:6]), 0, 0, *_EMPTY) if not a[0] else (*a[:8], *_join(a[8:], b[1:6]))
+    if not a[0]:
+        return (1, *_join(a[1:6], b[1:6]), *b[6:])
+    prose, other = _shut(_join(a[8:], b[1:6]))
+    return (*a[:6], a[6] + prose + b[6], a[7] + other + b[7], *b[8:])
+
+
+def _sequence(kinds: list[int], chars: list[int], groups: list[bool]) -> tuple:
+    """Chain of closed segments."""
+    before, now, started, prose, other = _EMPTY, _EMPTY, 0, 0, 0
+    for v, n, g in zip(kinds, chars, groups):
+        if g:
+            if started:
+                x, y = _shut(now)
+                prose, other = prose + x, other + y
+            else:
+                before, started = now, 1
+            now = _EMPTY
+        now = _join(now, _item(v, n))
+    return (1, *before, prose, other, *now) if started else (0, *now, 0, 0, *_EMPTY)
+
+
+# A summary: COUNTS but the last two; open lines at both ends (0 blank, 1 solid, 2 closed by punctuation) and whether a line
+# ends between; whether a segment starts, the STATS before and after, whether a line starts with the last; the sequence.
+_LINES, _CUT, _HEAD = 8, 11, 12
+_TAIL, _TAIL_LINE, _SEQ = _HEAD + _N, _HEAD + 2 * _N, _HEAD + 2 * _N + 1
+
+
+def _seen(s: np.ndarray) -> tuple[list[int], list[int]]:
+    """Verdicts of segments and the characters they speak for."""
+    return verdicts(s).tolist(), np.where(s[:, 1] > 0, s[:, 0], 0).tolist()
+
+
+def summaries(chunks: list[tuple[str, int, int]], common: np.ndarray) -> list[list[int]]:
+    """Summary of every chunk (text, start, end)."""
+    if not chunks:
+        return []
+    page = _Page(chunks)
+    columns = page.columns(common)
+    inside = np.zeros(len(page.c) + 1, np.int64)
+    inside[page.start] += 1
+    inside[page.end] -= 1
+    inside = np.cumsum(inside)[:-1] > 0
+    cuts = np.unique(np.concatenate([page.start, page.end, np.flatnonzero(page.boundary & inside)]))
+    stats = np.stack([np.diff(_sums(x)[cuts]) for x in columns], 1)
+    where, upto = np.searchsorted(cuts, page.start), np.searchsorted(cuts, page.end)
+    opened = page.boundary[np.minimum(cuts, len(page.c) - 1)]
+    group = page.group[np.minimum(cuts, len(page.c) - 1)].tolist()
+    kinds, chars = _seen(stats)
+    symbol = ~page.kind["alnum"] & page.solid
+    total = [_sums(x) for x in (np.ones(len(page.c), bool), page.word, page.word_char, page.known, symbol, page.kind["digit"])]
+    totals = np.stack([t[page.end] - t[page.start] for t in total], 1).tolist()
+    lines = _line_states(page)
+    out = []
+    for j, (a, b) in enumerate(zip(where.tolist(), upto.tolist())):
+        first = a if opened[a] else a + 1  # the segment over the start is open unless one starts there
+        head = stats[a].tolist() if first > a else [0] * _N
+        if first >= b:
+            state = [0, *head, *[0] * _N, 0, *_NOTHING]
+        else:
+            state = [1, *head, *stats[b - 1].tolist(), int(group[b - 1]), *_sequence(kinds[first : b - 1], chars[first : b - 1], group[first : b - 1])]
+        out.append([*totals[j], *lines[j], *state])
+    return out
+
+
+def _line_states(page: _Page) -> list[list[int]]:
+    """Per chunk: solid lines that both start and end in it, those closed by punctuation, the open lines' states."""
+    ends = np.flatnonzero(page.first_end)
+    closed = _among(page.c, _CLOSERS)
+    out = []
+    lo, hi = np.searchsorted(ends, page.start), np.searchsorted(ends, page.end)
+    q = page.last_solid[np.maximum(ends - 1, 0)]
+    solid = np.zeros(len(ends), bool)
+    solid[1:] = q[1:] > ends[:-1]
+    good = solid & closed[np.maximum(q, 0)]
+    n_solid, n_good = _sums(solid), _sums(good)
+
+    def state(upto: int, since: int) -> int:
+        x = page.last_solid[upto - 1]
+        return 0 if x < since else 1 + int(closed[x])
+
+    for a, b, i, k in zip(page.start.tolist(), page.end.tolist(), lo.tolist(), hi.tolist()):
+        if i == k:
+            out.append([0, 0, state(b, a), 0, 0])
+        else:
+            first = state(int(ends[i]), a) if ends[i] > a else 0
+            out.append([int(n_solid[k] - n_solid[i + 1]), int(n_good[k] - n_good[i + 1]), first, 1, state(b, int(ends[k - 1]))])
+    return out
+
+
+def merge(a: list[int], b: list[int]) -> list[int]:
+    """Summary of two adjacent chunks."""
+    out = [x + y for x, y in zip(a[:_LINES], b[:_LINES])]
+    (ah, ac, at), (bh, bc, bt) = a[_LINES:_CUT], b[_LINES:_CUT]
+    if ac and bc:
+        line = bh or at
+        out[6] += int(line > 0)
+        out[7] += int(line == 2)
+    out += [ah if ac else bh or ah, int(ac or bc), (bt if bc else bh or at) if ac or bc else 0] if ac else [bh or ah, bc, bt]
+    bhead, btail = b[_HEAD:_TAIL], b[_TAIL:_TAIL_LINE]
+    plus = lambda x, y: [p + q for p, q in zip(x, y)]
+    if not a[_CUT]:
+        return [*out, b[_CUT], *plus(a[_HEAD:_TAIL], bhead), *b[_TAIL:]]
+    over = plus(a[_TAIL:_TAIL_LINE], bhead)
+    if not b[_CUT]:
+        return [*out, *a[_CUT:_TAIL], *over, *a[_TAIL_LINE:]]
+    return [*out, *a[_CUT:_TAIL], *btail, b[_TAIL_LINE], *_chain(_chain(tuple(a[_SEQ:]), _single(over, a[_TAIL_LINE])), tuple(b[_SEQ:]))]
+
+
+def _single(stats: list[int], starts_line: int) -> tuple:
+    kinds, chars = _seen(np.array([stats]))
+    return _sequence(kinds, chars, [bool(starts_line)])
+
+
+def close(s: list[int]) -> list[int]:
+    """COUNTS of a whole text from its summary."""
+    lines = [x for x in ((s[_LINES], s[_LINES + 2]) if s[_LINES + 1] else (s[_LINES],)) if x]
+    seq = _chain(tuple(s[_SEQ:]), _single(s[_TAIL:_TAIL_LINE], s[_TAIL_LINE])) if s[_CUT] else _NOTHING
+    before, after = _shut(seq[1:6]), _shut(seq[8:])
+    return [*s[:6], s[6] + len(lines), s[7] + lines.count(2), before[0] + seq[6] + after[0], before[1] + seq[7] + after[1]]
+
+
+def _chunks(text: str) -> list[tuple[str, int, int]]:
+    return [(text, a, min(a + CHUNK, len(text))) for a in range(0, len(text), CHUNK)]
+
+
+def measure(text: str, common: np.ndarray) -> list[int]:
+    """COUNTS of one text."""
+    if not text.strip():
+        return [0] * len(COUNTS)
+    return close(functools.reduce(merge, summaries(_chunks(text), common)))
+
+
+_PAGE_CHARS = 1 << 22
+
+
+def _pages(texts: list) -> Iterator[tuple[int, list[tuple[str, int, int]], list[int]]]:
+    """(first row, chunks, number of chunks per row) of some neighbouring texts at a time; blank texts have none."""
+    first, chunks, sizes, chars = 0, [], [], 0
+    for i, t in enumerate(texts):
+        own = _chunks(t) if t and not t.isspace() else []
+        chunks += own
+        sizes.append(len(own))
+        chars += len(t) if own else 0
+        if chars >= _PAGE_CHARS:
+            yield first, chunks, sizes
+            first, chunks, sizes, chars = i + 1, [], [], 0
+    if sizes:
+        yield first, chunks, sizes
+
+
+def _measured(common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key, id, k, state) of chunks; texts of at most one chunk are closed: k is null and the state has COUNTS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            keys, texts = batch.column("key"), batch.column("text").to_pylist()
+            for first, chunks, sizes in _pages(texts):
+                found = summaries(chunks, common)
+                rows, ks, states, at = [], [], [], 0
+                for i, n in enumerate(sizes):
+                    own = found[at : at + n]
+                    at += n
+                    if n > 1:
+                        rows += [first + i] * n
+                        ks += range(n)
+                        states += own
+                    else:
+                        rows.append(first + i)
+                        ks.append(None)
+                        states.append(close(own[0]) if own else [0] * len(COUNTS))
+                place = np.array(rows, np.int64)
+                columns = [keys.take(pa.array(place)), pa.array(place + number), pa.array(ks, pa.int64()), pa.array(states, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "id", "k", "state"])
+            number += len(texts)
+
+    return run
+
+
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Merges rows (key, id, k, state), sorted, whose id and k div FAN agree."""
+    held = None
+    for batch in batches:
+        out = []
+        for key, number, k, state in zip(batch["key"], batch["id"], batch["k"], batch["state"]):
+            k, state = k // FAN, [int(x) for x in state]
+            if held is not None and held[1] == number and held[2] == k:
+                held = (key, number, k, merge(held[3], state))
+            else:
+                if held is not None:
+                    out.append(held)
+                held = (key, number, k, state)
+        yield pd.DataFrame(out, columns=["key", "id", "k", "state"])
+    if held is not None:
+        yield pd.DataFrame([held], columns=["key", "id", "k", "state"])
+
+
+def _closed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"key": batch["key"], "state": [close([int(x) for x in s]) for s in batch["state"]]})
 
 
-_OPENS = ["tail", "words", "lines"]
-_COUNT_SCHEMA = ", ".join(f"{c} bigint" for c in COUNTS)
+def sentence_like(s: np.ndarray, page: _Page, cuts: np.ndarray) -> np.ndarray:
+    """Whether segments look like sentences by their shape alone: eight words or more, mostly letters, few repeats and commas, a stop at the end."""
+    chars, solid, letters, _, broken, long, n, _, commas, repeats, bullet, _ = s.T
+    last = page.c[np.maximum(page.last_solid[np.minimum(cuts[1:], len(page.c)) - 1], 0)]
+    return (n >= 8) & (letters > 0.7 * solid) & (broken == 0) & (long == 0) & (repeats < 0.4 * n) & (n > 4 * commas) & (bullet == 0) & _among(last, _STOPS)
 
 
-def _small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _word_uses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(lang, word, inside, outside): documents of a batch that use a word in sentence-like and in other segments."""
     for batch in batches:
-        rows = [measure(t) if isinstance(t, str) and t.strip() else [0] * len(COUNTS) for t in batch["text"]]
-        out = pd.DataFrame(rows, columns=_FIELDS)
-        out.insert(0, "key", batch["key"].to_numpy())
-        yield out
-
-
-def _chunk_counts(df: DataFrame, key_type: str) -> DataFrame:
-    """(key, counts) of the texts longer than a chunk."""
-    chunks = (
-        df.withColumn("h", F.xxhash64("text"))
-        .select("key", "h", "text", F.explode(F.sequence(F.lit(0), F.expr(f"int((length(text) - 1) div {CHUNK})"))).alias("k"))
-        .select("key", "h", "k", F.substring("text", F.col("k") * CHUNK + 1, F.lit(CHUNK)).alias("part"))
-        .groupBy("key", "h", "k")
-        .agg(F.first("part").alias("part"), F.count("*").alias("n"))
-    )
-    schema = f"key {key_type}, h bigint, k int, n bigint, head string, {_COUNT_SCHEMA}, tail string, words string, lines string"
-
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = [summarise(t) for t in b["part"]]
-            counts = pd.DataFrame([x[1] for x in s], columns=_FIELDS)
-            yield pd.concat([b[["key", "h", "k", "n"]].reset_index(drop=True), pd.DataFrame({"head": [x[0] for x in s]}), counts, pd.DataFrame([x[2:] for x in s], columns=_OPENS)], axis=1)
-
-    def up(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("k")
-        total = None
-        for r in g.itertuples(index=False):
-            s = (r.head, [int(getattr(r, c)) for c in COUNTS], r.tail, r.words, r.lines)
-            total = s if total is None else merge(total, s)
-        row = [g["key"].iloc[0], g["h"].iloc[0], int(g["k"].iloc[0]) // FAN, g["n"].iloc[0], total[0], *total[1], *total[2:]]
-        return pd.DataFrame([row], columns=["key", "h", "k", "n", "head", *COUNTS, *_OPENS])
-
-    level = chunks.mapInPandas(first, schema)
-    for _ in range(LEVELS):
-        level = level.groupBy("key", "h", F.expr(f"k div {FAN}").alias("g")).applyInPandas(up, schema)
-
-    def last(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [close((r.head, [int(getattr(r, c)) for c in COUNTS], r.tail, r.words, r.lines)) for r in b.itertuples(index=False)]
-            out = pd.DataFrame(rows, columns=_FIELDS)
-            out.insert(0, "key", b["key"].to_numpy())
-            out["n"] = b["n"].to_numpy()
-            yield out
+        langs = batch["lang"].tolist()
+        names = {x: i for i, x in enumerate(dict.fromkeys(langs))}
+        for first, chunks, sizes in _pages(batch["text"].tolist()):
+            if not chunks:
+                continue
+            page = _Page(chunks)
+            stats_of = page.columns(np.zeros(0, np.uint64))
+            cuts = np.append(page.at, len(page.c))
+            like = sentence_like(np.stack([np.diff(_sums(x)[cuts]) for x in stats_of], 1), page, cuts)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            piece = np.searchsorted(page.base, page.word_at, "right") - 1
+            core = (page.word_at >= page.start[piece]) & (page.word_at < page.end[piece]) & (page.word_hash != 0)
+            inside = like[np.searchsorted(page.at, page.word_at, "right") - 1]
+            rows = np.rec.fromarrays([doc[piece[core]], page.word_hash[core], inside[core]])
+            rows = np.unique(rows)
+            lang = np.array([names[langs[first + d]] for d in range(len(sizes))])[rows.f0]
+            table = pd.DataFrame({"lang": lang, "word": rows.f1.view(np.int64), "inside": rows.f2.astype(np.int64), "outside": (~rows.f2).astype(np.int64)}).groupby(["lang", "word"], sort=False, as_index=False).sum()
+            back = list(names)
+            table["lang"] = [back[i] for i in table["lang"]]
+            yield table
+
+
+def common_words(df: DataFrame, text: str, lang: str | None) -> DataFrame:
+    """(lang, word, inside, outside): hashes of at most COMMON_WORDS words of each language, from all documents.
+
+    Words are ranked by the documents that use them in sentence-like segments;
+    those not AT_HOME there, and rare ones under SUPPORT or of one document, are
+    none.  Documents without a language make one of their own.
+    """
+    rows = df.select((F.col(lang) if lang else F.lit(None).cast("string")).alias("lang"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    uses = rows.mapInPandas(_word_uses, "lang string, word bigint, inside bigint, outside bigint")
+    total = stage(uses.groupBy("lang", "word").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).where(f"inside >= 2 and inside > {AT_HOME} * outside"))
+    most = total.groupBy(F.col("lang").alias("__l")).agg(F.max("inside").alias("__m"))
+    # few words are in so many documents, so the rank runs over a short list
+    frequent = total.join(most, F.col("lang").eqNullSafe(F.col("__l"))).where(F.col("inside") >= SUPPORT * F.col("__m"))
+    ranked = frequent.withColumn("__r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("inside"), "word")))
+    return ranked.where(F.col("__r") <= COMMON_WORDS).select("lang", "word", "inside", "outside")
 
-    ended = level.mapInPandas(last, f"key {key_type}, {_COUNT_SCHEMA}, n bigint")
-    return ended.select("key", *COUNTS, F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")).drop("i")
 
+def statistics(df: DataFrame, key: str, text: str, lang: str | None = None) -> DataFrame:
+    """One row per row of ``df``: key, COUNTS, ratios, and ``is_prose`` (null for texts without characters).
 
-def statistics(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per row of ``df``: key, COUNTS, ratios, and ``is_prose`` (null for texts without characters)."""
+    The common words reach the driver: COMMON_WORDS for each of at most
+    MAX_LANGUAGES languages, checked.
+    """
+    words = common_words(df, text, lang).select("word").distinct().limit(COMMON_WORDS * MAX_LANGUAGES + 1).toPandas()["word"]
+    if len(words) > COMMON_WORDS * MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    common = np.sort(words.to_numpy(np.int64).view(np.uint64))
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    key_type = rows.schema["key"].dataType.simpleString()
-    is_long = F.coalesce(F.length("text"), F.lit(0)) > CHUNK
-    small = rows.where(~is_long).mapInPandas(_small, f"key {key_type}, {_COUNT_SCHEMA}")
-    counts = small.unionByName(_chunk_counts(rows.where(is_long), key_type))
+    kind = rows.schema["key"].dataType.simpleString()
+    schema = f"key {kind}, id bigint, k bigint, state array<bigint>"
+    measured = stage(rows.mapInArrow(_measured(common), schema))
+    level = measured.where("k is not null")
+    for _ in range(LEVELS):
+        level = level.repartition("id", F.expr(f"k div {FAN}")).sortWithinPartitions("id", "k").mapInPandas(_merged, schema)
+    ended = level.mapInPandas(_closed, f"key {kind}, state array<bigint>")
+    counts = measured.where("k is null").select("key", "state").unionByName(ended).select("key", *[F.col("state")[i].alias(c) for i, c in enumerate(COUNTS)])
     judged = F.col("n_prose_chars") + F.col("n_other_chars")
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
     return counts.select(

@@ -102,7 +102,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Quality statistics of every document."""
-    return quality.statistics(read(spark, d, "documents"), "doc_id", "text")
+    return quality.statistics(read(spark, d, "documents"), "doc_id", "text", "lang")
 
 
 def queries() -> dict:
