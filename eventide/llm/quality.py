@@ -70,27 +70,29 @@ _TRAIL, _LEAD, _SHORT, _BACK, _LONG_TOKEN, _LONG_WORD = 64, 32, 96, 192, 30, 24
 
 
 class _Classes:
-    """Character classes by code point, looked up once per character."""
+    """What every code point is, one bit a class, looked up once per character."""
 
     NAMES = ("alpha", "alnum", "digit", "decimal", "space")
+    SETS = {"line_end": _LINE_ENDS, "stop": _STOPS, "wide_stop": _WIDE_STOPS, "closer": _CLOSERS, "no_wrap": _NO_WRAP, "joiner": _JOINERS, "bullet": _BULLETS, "blank": _BLANKS, "broken": "\ufffd\xc2\xf0\xa4", "bracket": ".)"}
 
     def __init__(self) -> None:
         self.known = np.zeros(0x110000, bool)
-        self.flags = np.zeros(0x110000, np.uint8)
+        self.flags = np.zeros(0x110000, np.uint16)
         self.lower = np.arange(0x110000, dtype=np.uint32)
+        for i, chars in enumerate(self.SETS.values(), len(self.NAMES)):
+            self.flags[[ord(c) for c in chars]] |= 1 << i
 
     def learn(self, codes: np.ndarray) -> None:
         seen = np.zeros(0x110000, bool)
         seen[codes] = True
         for c in np.flatnonzero(seen & ~self.known):
             ch = chr(c)
-            self.flags[c] = sum(bool(getattr(ch, "is" + n)()) << i for i, n in enumerate(self.NAMES))
+            self.flags[c] |= sum(bool(getattr(ch, "is" + n)()) << i for i, n in enumerate(self.NAMES))
             self.lower[c] = ord(ch.lower()[0])
         self.known |= seen
 
-    def of(self, codes: np.ndarray) -> dict[str, np.ndarray]:
-        flags = self.flags[codes]
-        return {n: (flags >> i & 1).astype(bool) for i, n in enumerate(self.NAMES)}
+
+_BIT = {n: np.uint16(1 << i) for i, n in enumerate([*_Classes.NAMES, *_Classes.SETS])}
 
 
 @functools.lru_cache(maxsize=1)
@@ -98,17 +100,6 @@ def _classes() -> _Classes:
     return _Classes()
 
 
-@functools.lru_cache(maxsize=16)
-def _table(chars: str) -> np.ndarray:
-    out = np.zeros(0x110000, bool)
-    out[[ord(c) for c in chars]] = True
-    return out
-
-
-def _among(codes: np.ndarray, chars: str) -> np.ndarray:
-    return _table(chars)[codes]
-
-
 def _shift(a: np.ndarray, by: int) -> np.ndarray:
     """``a[i - by]`` at i; the first value (or the last) stands at the ends."""
     if by == 0:
@@ -127,16 +118,33 @@ def _sums(a: np.ndarray) -> np.ndarray:
     return out
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASE = 0x9E3779B97F4A7C15
+_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n + 1, base, np.uint64)
+@functools.lru_cache(maxsize=2)
+def _long_powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    return _long_powers(base, 1 << (n - 1).bit_length())[:n]
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.diff(x, prepend=x[:1] - 1))
+    return x[first], np.diff(first, append=len(x))
+
+
+def _at(x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many of ``x`` lie between the cuts, for an ``x`` with few hits."""
+    return np.diff(np.searchsorted(np.flatnonzero(x), cuts))
+
+
 class _Page:
     """Chunks with their halos, laid out one after the other, and what each character is."""
 
@@ -159,27 +167,30 @@ class _Page:
         c = self.c = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
         classes = _classes()
         classes.learn(c)
-        self.kind = classes.of(c)
-        self.solid = ~self.kind["space"]
+        self.flags = classes.flags[c]
+        self.solid = ~self.is_("space")
         n = len(c)
-        index = np.arange(n)
-        self.line_end = _among(c, _LINE_ENDS)
+        index = np.arange(n, dtype=np.int32)
+        self.line_end = self.is_("line_end")
         joined = (c == 10) & (_shift(c, 1) == 13)  # the \n of a \r\n
         self.first_end = self.line_end & ~joined
         after = _shift(self.line_end, 1) & ~joined
         after[0] = True
         self.line_start = after
-        self.last_solid = np.maximum.accumulate(np.where(self.solid, index, -1))
-        self.last_start = np.maximum.accumulate(np.where(after, index, 0))
-        ahead = np.where(self.solid, index, n)
+        self.last_solid = np.maximum.accumulate(np.where(self.solid, index, np.int32(-1)))
+        self.last_start = np.maximum.accumulate(np.where(after, index, np.int32(0)))
+        ahead = np.where(self.solid, index, np.int32(n))
         self.next_solid = np.minimum.accumulate(ahead[::-1])[::-1]
         self._words(classes)
         self._boundaries(index)
 
+    def is_(self, name: str, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return self.flags[at] & _BIT[name] != 0
+
     def _words(self, classes: _Classes) -> None:
         c = self.c
-        letter = self.kind["alnum"] & ~self.kind["decimal"]
-        inner = _among(c, _JOINERS) & _shift(letter, 1) & _shift(letter, -1)
+        letter = self.flags & (_BIT["alnum"] | _BIT["decimal"]) == _BIT["alnum"]
+        inner = self.is_("joiner") & _shift(letter, 1) & _shift(letter, -1)
         self.word_char = letter | inner
         self.word = self.word_char & ~_shift(self.word_char, 1)
         run = letter & ~_shift(letter, 1)
@@ -189,18 +200,19 @@ class _Page:
         starts, ends = starts[first], ends[first]
         low = classes.lower[c].astype(np.uint64)
         total = np.zeros(len(c) + 1, np.uint64)
-        np.cumsum(low * _powers(_BASE, len(c))[:-1], out=total[1:])
+        np.cumsum(low * _powers(_BASE, len(c)), out=total[1:])
         self.word_at = starts
         # words too long to see whole from a chunk are told apart by nothing
         long = ends - starts > _LONG_WORD
         self.word_hash = np.where(long, np.uint64(0), (total[ends] - total[starts]) * _powers(_BASE_INVERSE, len(c))[starts])
-        order = np.lexsort((starts, self.word_hash))
-        h, at = self.word_hash[order], starts[order]
-        piece = np.searchsorted(self.base, at, "right")
-        again = np.zeros(len(order), bool)
-        again[1:] = (h[1:] == h[:-1]) & (h[1:] != 0) & (at[1:] - at[:-1] <= _BACK) & (piece[1:] == piece[:-1])
-        self.repeat = np.zeros(len(c), bool)
-        self.repeat[at[again]] = True
+        # the upper bits of the hash before the number of the word: one sort brings equal words together in order
+        bits = max(1, len(starts) - 1).bit_length()
+        low_bits = np.uint64((1 << bits) - 1)
+        keys = np.sort(self.word_hash & ~low_bits | np.arange(len(starts), dtype=np.uint64))
+        h, at = keys & ~low_bits, starts[(keys & low_bits).astype(np.int64)]
+        near = np.flatnonzero((h[1:] == h[:-1]) & (h[1:] != 0) & (at[1:] - at[:-1] <= _BACK)) + 1
+        same = np.searchsorted(self.base, at[near], "right") == np.searchsorted(self.base, at[near - 1], "right")
+        self.repeat_at = np.sort(at[near[same]])
 
     def _bullet(self, at: np.ndarray) -> np.ndarray:
         """Whether a list mark starts at these places, after some blanks."""
@@ -208,11 +220,11 @@ class _Page:
         p = self.next_solid[at]
         ok = p - at <= _LEAD
         ch = lambda k: self.c[np.minimum(p + k, last)]
-        is_ = lambda k, name: self.kind[name][np.minimum(p + k, last)]
-        mark = _among(ch(0), _BULLETS) & is_(1, "space")
+        is_ = lambda k, name: self.is_(name, np.minimum(p + k, last))
+        mark = is_(0, "bullet") & is_(1, "space")
         box = (ch(0) == ord("[")) & (((ch(1) == ord("]")) & is_(2, "space")) | ((ch(2) == ord("]")) & is_(3, "space")))
         p = np.minimum(p + (ch(0) == ord("(")), last)
-        close = lambda k: _among(ch(k), ".)") & is_(k + 1, "space")
+        close = lambda k: is_(k, "bracket") & is_(k + 1, "space")
         digits = is_(0, "decimal")
         number = digits & (close(1) | (is_(1, "decimal") & (close(2) | (is_(2, "decimal") & close(3)))))
         lettered = is_(0, "alpha") & (ch(0) < 128) & close(1)
@@ -228,50 +240,52 @@ class _Page:
         q = self.last_solid[e]
         ls = self.last_start[e]
         size = q - ls + 1
-        wrapped = (e - q <= _TRAIL) & (size >= WRAPPED[0]) & (size <= WRAPPED[1]) & ~_among(c[np.maximum(q, 0)], _NO_WRAP) & ~bullets[ls]
+        wrapped = (e - q <= _TRAIL) & (size >= WRAPPED[0]) & (size <= WRAPPED[1]) & ~self.is_("no_wrap", np.maximum(q, 0)) & ~bullets[ls]
         lead = self.next_solid[at]
         nxt = np.minimum(lead, len(c) - 1)
         solid_line = (lead - at <= _LEAD) & (self.last_start[nxt] == at)
-        soft = wrapped & solid_line & ~bullets[at] & ~_among(c[at], "|\t")
+        soft = wrapped & solid_line & ~bullets[at] & (c[at] != ord("|")) & (c[at] != 9)
         self.group = self.line_start.copy()
         self.group[at[soft]] = False
-        p1, p2 = _shift(c, 1), _shift(c, 2)
-        sentence = (_among(p1, _BLANKS) & _among(p2, _STOPS)) | (_among(p1, _WIDE_STOPS) & self.solid)
-        self.boundary = self.group | (sentence & ~self.line_start)
+        stops = np.flatnonzero(self.is_("stop"))
+        stops = stops[stops < len(c) - 2]
+        self.boundary = self.group.copy()
+        for i in (stops[self.is_("blank", stops + 1)] + 2, (wide := stops[self.is_("wide_stop", stops)] + 1)[self.solid[wide]]):
+            self.boundary[i[~self.line_start[i]]] = True
         self.at = np.flatnonzero(self.boundary)
-        self.bullet = np.zeros(len(c), bool)
-        self.bullet[self.at] = self._bullet(self.at)
+        self.bullet = self._bullet(self.at)
 
-    def columns(self, common: np.ndarray) -> list[np.ndarray]:
-        """STATS of every character."""
+    def counts(self, cuts: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """STATS between the cuts, and what else the counts need: rows of STATS, word characters, symbols, digits."""
         c = self.c
-        broken = _among(c, "�Âð¤")
-        for pattern, more in (("Ã", 1), ("â€", 2), ("ï¿½", 2)):
-            hit = c == ord(pattern[0])
+        broken = self.is_("broken")
+        for pattern, more in (("\xc3", 1), ("\xe2\u20ac", 2), ("\xef\xbf\xbd", 2)):
+            hit = np.flatnonzero(c == ord(pattern[0]))
             for k, ch in enumerate(pattern[1:], 1):
-                hit = hit & (_shift(c, -k) == ord(ch))
+                hit = hit[c[np.minimum(hit + k, len(c) - 1)] == ord(ch)]
             for k in range(more + 1):
-                broken = broken | _shift(hit, k)
-        token = self.solid & ~_shift(self.solid, 1)
-        token_end = np.flatnonzero(self.solid & ~_shift(self.solid, -1)) + 1
-        begin = np.flatnonzero(token)
-        n = token_end - begin
-        change = np.zeros(len(c) + 1, np.int64)
-        change[begin[n > _LONG_TOKEN]] += 1
-        change[token_end[n > _LONG_TOKEN]] -= 1
-        known = np.zeros(len(c), bool)
+                broken[np.minimum(hit + k, len(c) - 1)] = True
+        begin = np.flatnonzero(self.solid & ~_shift(self.solid, 1))
+        n = np.flatnonzero(self.solid & ~_shift(self.solid, -1)) + 1 - begin
+        long = np.zeros(len(c), bool)
+        for a, k in zip(begin[n > _LONG_TOKEN].tolist(), n[n > _LONG_TOKEN].tolist()):
+            long[a : a + k] = True
+        known = np.zeros(0, np.int64)
         if len(common):
             place = np.minimum(np.searchsorted(common, self.word_hash), len(common) - 1)
-            known[self.word_at[(common[place] == self.word_hash) & (self.word_hash != 0)]] = True
-        self.known = known
-        alpha = self.kind["alpha"]
-        pair = np.zeros(len(c), bool)
+            known = self.word_at[(common[place] == self.word_hash) & (self.word_hash != 0)]
+        alpha = self.is_("alpha")
         ends = np.append(self.at[1:], len(c))
-        words, colons = _sums(self.word), _sums(c == ord(":"))
-        for i in np.flatnonzero((ends - self.at <= _SHORT) & (colons[ends] > colons[self.at]) & (words[ends] - words[self.at] < 7)):
-            pair[self.at[i]] = bool(_PAIR.fullmatch(self.text, self.at[i], ends[i]))
-        return [np.ones(len(c), bool), self.solid, alpha, alpha & (c >= 0x370), broken & self.solid, np.cumsum(change)[:-1] > 0, self.word, known, c == ord(","), self.repeat, self.bullet, pair]
-
+        few = np.flatnonzero((ends - self.at <= _SHORT) & (np.searchsorted(self.word_at, ends) - np.searchsorted(self.word_at, self.at) < 7))
+        colons = np.flatnonzero(c == ord(":"))
+        few = few[np.searchsorted(colons, ends[few]) > np.searchsorted(colons, self.at[few])]
+        pair = self.at[[i for i in few.tolist() if _PAIR.fullmatch(self.text, self.at[i], ends[i])]]
+        within = lambda places: np.diff(np.searchsorted(places, cuts))
+        dense = lambda x: np.diff(_sums(x)[cuts])
+        return np.stack([
+            np.diff(cuts), dense(self.solid), dense(alpha), _at(alpha & (c >= 0x370), cuts), _at(broken & self.solid, cuts), _at(long, cuts), within(self.word_at), within(known),
+            _at(c == ord(","), cuts), within(self.repeat_at), within(self.at[self.bullet]), within(pair), dense(self.word_char), _at(~self.is_("alnum") & self.solid, cuts), _at(self.is_("digit"), cuts),
+        ], 1)
 
 #: What a segment is judged by; all add up over its parts.
 STATS = ("chars", "solid", "letters", "other_letters", "broken", "long", "words", "common", "commas", "repeats", "bullet", "pair")
@@ -356,42 +370,41 @@ def _seen(s: np.ndarray) -> tuple[list[int], list[int]]:
     return verdicts(s).tolist(), np.where(s[:, 1] > 0, s[:, 0], 0).tolist()
 
 
-def summaries(chunks: list[tuple[str, int, int]], common: np.ndarray) -> list[list[int]]:
-    """Summary of every chunk (text, start, end)."""
+def summaries(chunks: list[tuple[str, int, int]], common: np.ndarray) -> tuple[list[list[int]], list[int]]:
+    """Summary of every chunk (text, start, end), and the verdict on its last segment if nothing follows."""
     if not chunks:
-        return []
+        return [], []
     page = _Page(chunks)
-    columns = page.columns(common)
-    inside = np.zeros(len(page.c) + 1, np.int64)
+    inside = np.zeros(len(page.c) + 1, np.int8)
     inside[page.start] += 1
     inside[page.end] -= 1
-    inside = np.cumsum(inside)[:-1] > 0
-    cuts = np.unique(np.concatenate([page.start, page.end, np.flatnonzero(page.boundary & inside)]))
-    stats = np.stack([np.diff(_sums(x)[cuts]) for x in columns], 1)
+    here = page.at[np.cumsum(inside[:-1], dtype=np.int8)[page.at] > 0]
+    cuts = np.unique(np.concatenate([page.start, page.end, here]))
+    every = page.counts(cuts, common)
+    stats = every[:, :_N]
     where, upto = np.searchsorted(cuts, page.start), np.searchsorted(cuts, page.end)
     opened = page.boundary[np.minimum(cuts, len(page.c) - 1)]
     group = page.group[np.minimum(cuts, len(page.c) - 1)].tolist()
     kinds, chars = _seen(stats)
-    symbol = ~page.kind["alnum"] & page.solid
-    total = [_sums(x) for x in (np.ones(len(page.c), bool), page.word, page.word_char, page.known, symbol, page.kind["digit"])]
-    totals = np.stack([t[page.end] - t[page.start] for t in total], 1).tolist()
+    totals = np.add.reduceat(every[:, [0, 6, 12, 7, 13, 14]], np.stack([where, upto], 1).ravel()[:-1], axis=0)[::2].tolist()
     lines = _line_states(page)
+    rows = stats.tolist()
     out = []
     for j, (a, b) in enumerate(zip(where.tolist(), upto.tolist())):
         first = a if opened[a] else a + 1  # the segment over the start is open unless one starts there
-        head = stats[a].tolist() if first > a else [0] * _N
+        head = rows[a] if first > a else [0] * _N
         if first >= b:
             state = [0, *head, *[0] * _N, 0, *_NOTHING]
         else:
-            state = [1, *head, *stats[b - 1].tolist(), int(group[b - 1]), *_sequence(kinds[first : b - 1], chars[first : b - 1], group[first : b - 1])]
+            state = [1, *head, *rows[b - 1], int(group[b - 1]), *_sequence(kinds[first : b - 1], chars[first : b - 1], group[first : b - 1])]
         out.append([*totals[j], *lines[j], *state])
-    return out
+    return out, [kinds[b - 1] for b in upto.tolist()]
 
 
 def _line_states(page: _Page) -> list[list[int]]:
     """Per chunk: solid lines that both start and end in it, those closed by punctuation, the open lines' states."""
     ends = np.flatnonzero(page.first_end)
-    closed = _among(page.c, _CLOSERS)
+    closed = page.is_("closer")
     out = []
     lo, hi = np.searchsorted(ends, page.start), np.searchsorted(ends, page.end)
     q = page.last_solid[np.maximum(ends - 1, 0)]
@@ -437,10 +450,11 @@ def _single(stats: list[int], starts_line: int) -> tuple:
     return _sequence(kinds, chars, [bool(starts_line)])
 
 
-def close(s: list[int]) -> list[int]:
-    """COUNTS of a whole text from its summary."""
+def close(s: list[int], verdict: int | None = None) -> list[int]:
+    """COUNTS of a whole text from its summary; ``verdict`` is that on its last segment, where it is known."""
     lines = [x for x in ((s[_LINES], s[_LINES + 2]) if s[_LINES + 1] else (s[_LINES],)) if x]
-    seq = _chain(tuple(s[_SEQ:]), _single(s[_TAIL:_TAIL_LINE], s[_TAIL_LINE])) if s[_CUT] else _NOTHING
+    last = _single(s[_TAIL:_TAIL_LINE], s[_TAIL_LINE]) if verdict is None else _sequence([verdict], [s[_TAIL] if s[_TAIL + 1] else 0], [bool(s[_TAIL_LINE])])
+    seq = _chain(tuple(s[_SEQ:]), last)
     before, after = _shut(seq[1:6]), _shut(seq[8:])
     return [*s[:6], s[6] + len(lines), s[7] + lines.count(2), before[0] + seq[6] + after[0], before[1] + seq[7] + after[1]]
 
@@ -453,10 +467,10 @@ def measure(text: str, common: np.ndarray) -> list[int]:
     """COUNTS of one text."""
     if not text.strip():
         return [0] * len(COUNTS)
-    return close(functools.reduce(merge, summaries(_chunks(text), common)))
+    return close(functools.reduce(merge, summaries(_chunks(text), common)[0]))
 
 
-_PAGE_CHARS = 1 << 22
+_PAGE_CHARS = 1 << 19  # small enough for the processor's cache
 
 
 def _pages(texts: list) -> Iterator[tuple[int, list[tuple[str, int, int]], list[int]]]:
@@ -482,10 +496,10 @@ def _measured(common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterat
         for batch in batches:
             keys, texts = batch.column("key"), batch.column("text").to_pylist()
             for first, chunks, sizes in _pages(texts):
-                found = summaries(chunks, common)
+                found, last = summaries(chunks, common)
                 rows, ks, states, at = [], [], [], 0
                 for i, n in enumerate(sizes):
-                    own = found[at : at + n]
+                    own, verdict = found[at : at + n], last[at] if n else None
                     at += n
                     if n > 1:
                         rows += [first + i] * n
@@ -494,7 +508,7 @@ def _measured(common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                     else:
                         rows.append(first + i)
                         ks.append(None)
-                        states.append(close(own[0]) if own else [0] * len(COUNTS))
+                        states.append(close(own[0], verdict) if own else [0] * len(COUNTS))
                 place = np.array(rows, np.int64)
                 columns = [keys.take(pa.array(place)), pa.array(place + number), pa.array(ks, pa.int64()), pa.array(states, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "id", "k", "state"])
@@ -528,9 +542,9 @@ def _closed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def sentence_like(s: np.ndarray, page: _Page, cuts: np.ndarray) -> np.ndarray:
     """Whether segments look like sentences by their shape alone: eight words or more, mostly letters, few repeats and commas, a stop at the end."""
-    chars, solid, letters, _, broken, long, n, _, commas, repeats, bullet, _ = s.T
-    last = page.c[np.maximum(page.last_solid[np.minimum(cuts[1:], len(page.c)) - 1], 0)]
-    return (n >= 8) & (letters > 0.7 * solid) & (broken == 0) & (long == 0) & (repeats < 0.4 * n) & (n > 4 * commas) & (bullet == 0) & _among(last, _STOPS)
+    chars, solid, letters, _, broken, long, n, _, commas, repeats, bullet, _ = s[:, :_N].T
+    last = np.maximum(page.last_solid[np.minimum(cuts[1:], len(page.c)) - 1], 0)
+    return (n >= 8) & (letters > 0.7 * solid) & (broken == 0) & (long == 0) & (repeats < 0.4 * n) & (n > 4 * commas) & (bullet == 0) & page.is_("stop", last)
 
 
 def _word_uses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -542,19 +556,19 @@ def _word_uses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not chunks:
                 continue
             page = _Page(chunks)
-            stats_of = page.columns(np.zeros(0, np.uint64))
             cuts = np.append(page.at, len(page.c))
-            like = sentence_like(np.stack([np.diff(_sums(x)[cuts]) for x in stats_of], 1), page, cuts)
+            like = sentence_like(page.counts(cuts, np.zeros(0, np.uint64)), page, cuts)
             doc = np.repeat(np.arange(len(sizes)), sizes)
             piece = np.searchsorted(page.base, page.word_at, "right") - 1
             core = (page.word_at >= page.start[piece]) & (page.word_at < page.end[piece]) & (page.word_hash != 0)
-            inside = like[np.searchsorted(page.at, page.word_at, "right") - 1]
-            rows = np.rec.fromarrays([doc[piece[core]], page.word_hash[core], inside[core]])
-            rows = np.unique(rows)
-            lang = np.array([names[langs[first + d]] for d in range(len(sizes))])[rows.f0]
-            table = pd.DataFrame({"lang": lang, "word": rows.f1.view(np.int64), "inside": rows.f2.astype(np.int64), "outside": (~rows.f2).astype(np.int64)}).groupby(["lang", "word"], sort=False, as_index=False).sum()
-            back = list(names)
-            table["lang"] = [back[i] for i in table["lang"]]
+            inside = like[np.searchsorted(page.at, page.word_at[core], "right") - 1]
+            word, distinct = pd.factorize(page.word_hash[core])
+            # every word of a document once inside and once outside, then per language
+            used, _ = _distinct((word * len(sizes) + doc[piece[core]]) * 2 + inside)
+            lang = np.array([names[langs[first + d]] for d in range(len(sizes))])[used // 2 % len(sizes)]
+            groups, n = _distinct((used // 2 // len(sizes) * len(names) + lang) * 2 + used % 2)
+            back, side = list(names), groups % 2
+            table = pd.DataFrame({"lang": [back[i] for i in (groups // 2 % len(names)).tolist()], "word": distinct[groups // 2 // len(names)].view(np.int64), "inside": n * side, "outside": n * (1 - side)})
             yield table
 
 

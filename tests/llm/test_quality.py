@@ -60,7 +60,7 @@ def test_chunks_give_the_whole(monkeypatch, chunk):
     assert whole == [quality.measure(t, COMMON) for t in texts]
     monkeypatch.setattr(quality, "CHUNK", chunk)
     for t, w in zip(texts, whole):
-        parts = quality.summaries(quality._chunks(t), COMMON)
+        parts, _ = quality.summaries(quality._chunks(t), COMMON)
         left = functools.reduce(quality.merge, parts)
         right = functools.reduce(lambda b, a: quality.merge(a, b), parts[::-1])
         assert left == right
