@@ -2,22 +2,25 @@
 
 A prefix-filter set-similarity join.  Every distinct name and every accepted
 form of an entry becomes a set of features: the character pairs of its letters
-and of its consonants, after folding case, accents, look-alike digits and the
-wrappings people add ("now", "bed 3", "per MD").  Features are ordered from
-rare to common over all names; two sets of Jaccard similarity t or more must
-share one of their first |x| - ceil(t |x|) + 1 features, so only these are
-joined.  Pairs pass a length filter and a positional filter before their
-Jaccard similarity is computed exactly.  A pair that is alone close to the best
-and similar enough stands; otherwise the close pair with the least edit
-distance (over word rotations, consonants only, and cut-off ends) is kept, and
-a name that is far from all its pairs has none.
+and of its consonants, after folding case, accents, look-alike digits, doubled
+letters, numbers and remarks in brackets.  Features are ordered from rare to
+common over all names; two sets of Jaccard similarity t or more must share one
+of their first |x| - ceil(t |x|) + 1 features, so only these are joined.  Pairs
+pass a length filter and a positional filter, their Jaccard similarity is
+computed exactly, and the most similar entry is kept; a name that is less than
+t similar to all entries has none.
+
+What people write around a name ("now", "per md", "bed") is learned from the
+names: words at an end of names, alone or in twos, that at least MIN_RESTS
+different names have whose rest is a name of the list or typed by itself.
 
 Scale: rows are reduced to distinct names with map-side partial counts before
 any feature is made, so a name that fills a third of the rows costs one row.
 A feature is one of at most 2 * 36^2 strings per list, which bounds both the
-frequency table and a set's size however long a name is.  The mapping is
-joined back by name; a hot name there is split by adaptive skew handling, its
-other side being one row.
+frequency table and a set's size however long a name is.  The names' features
+and the pairs are staged, so each is computed once.  The mapping is joined back
+by name; a hot name there is split by adaptive skew handling, its other side
+being one row.
 
 Defined results: null names are no cases; empty or symbol-only names map to
 'none'; names equal to a canonical name letter for letter are skipped by
@@ -27,106 +30,44 @@ lists without entries give 'none'; a column named canonical_id is replaced.
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventide.runtime import checkpoint
+from eventide.runtime import stage
 
-MIN_JACCARD = 0.2
-SURE_JACCARD = 0.5  # accepted whatever the edit distance
-MAX_DISTANCE = 0.3
-NEAR_BEST = 0.15
+MIN_JACCARD = 0.35  # on the test lists, names meant for an entry have less only when an acronym or several letters are lost
+MIN_RESTS = 5
+ROUNDS = 4  # wrappings taken off a name, at most
 NO_ENTRY = "none"
-# Words written around a name.
-LEADING = ("now", "to", "in")
-TRAILING = ("now", "ok", "chk")
-_PLACE = re.compile(r"(?:#|\b(?:bed|rm|room)\b)[ ._-]*\d+|\([^)]{0,8}\)")
+_REMARK = re.compile(r"\([^)]*\)")
+_WORD = re.compile(r"[a-z0-9]+")
 _LOOKALIKE = str.maketrans("013457", "oieast")
-MAX_DISTANCE_CHARS = 200
 
 
 def words(name: str) -> list[str]:
-    """Folded words of a name without wrappings."""
+    """Folded words of a name; numbers and remarks only where there is nothing else."""
     plain = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c)).lower()
-    found = re.findall(r"[a-z0-9]+", _PLACE.sub(" ", plain))
-    out = [w.translate(_LOOKALIKE) if re.search("[a-z]", w) else w for w in found]
-    while len(out) > 1 and out[0] in LEADING:
-        out = out[1:]
-    while len(out) > 1:
-        if out[-1] in TRAILING:
-            out = out[:-1]
-        elif len(out) > 2 and out[-2:] == ["per", "md"]:
-            out = out[:-2]
-        else:
-            break
-    return out
-
-
-def _letters(parts: list[str]) -> str:
-    return "".join(parts).replace("l", "i")  # l, i and 1 are one letter
-
-
-def _consonants(text: str) -> str:
-    return re.sub("[aeiou]", "", text)
-
-
-def features(name: str) -> list[str]:
-    """Set of tagged character pairs."""
-    full = _letters(words(name))
-    short = _consonants(full)
-    pairs = {"f" + full[i : i + 2] for i in range(max(1, len(full) - 1))} | {"c" + short[i : i + 2] for i in range(len(short) - 1)}
-    return sorted(p for p in pairs if len(p) > 1)
-
-
-def _edits(a: str, b: str, most: int) -> int:
-    """Edits incl. swaps of neighbours from ``a`` to ``b``, or ``most`` + 1 if more."""
-    before, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                best = min(best, before[j - 2] + 1)
-            row.append(best)
-        if min(row) > most and min(last) > most:
-            return most + 1
-        before, last = last, row
-    return last[-1]
-
-
-def distance(name: str, form: str) -> float:
-    """Relative edit distance, 0 to 1: least over rotations of the words, all letters or consonants only, whole or cut-off form."""
-    parts = words(name)
-    whole = _letters(words(form))
-    if not parts or not whole or sum(map(len, parts)) > MAX_DISTANCE_CHARS + len(whole):
-        return 1.0
-    best = 1.0
-    for k in range(len(parts)):
-        typed = _letters(parts[k:] + parts[:k])
-        for a, b in ((typed, whole), (_consonants(typed), _consonants(whole))):
-            if not a or not b:
-                continue
-            best = min(best, _edits(a, b, len(b)) / max(len(a), len(b)))
-            if 0.6 * len(b) <= len(a) < len(b):
-                best = min(best, *((_edits(a, b[:n], n) + 0.5) / n for n in (len(a), len(a) + 1)))
-    return best
+    found = _WORD.findall(_REMARK.sub(" ", plain)) or _WORD.findall(plain)
+    found = [w for w in found if not w.isdigit()] or found
+    return [w if w.isdigit() else w.translate(_LOOKALIKE) for w in found]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def _features(names: pd.Series) -> pd.Series:
-    return names.map(features)
+def _words(names: pd.Series) -> pd.Series:
+    return names.map(words)
 
 
-@F.pandas_udf(T.DoubleType())
-def _distance(names: pd.Series, forms: pd.Series) -> pd.Series:
-    one = functools.lru_cache(maxsize=1 << 16)(distance)
-    return pd.Series([one(a, b) for a, b in zip(names, forms)])
+def features(parts: Column) -> Column:
+    """Set of tagged character pairs of an array of words; l, i and 1 are one letter, a doubled letter is one."""
+    letters = F.regexp_replace(F.translate(F.array_join(parts, ""), "l", "i"), r"(.)\1+", "$1")
+    pairs = lambda x, tag: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.concat(F.lit(tag), F.substring(x, i, F.lit(2))))
+    both = F.concat(pairs(letters, "f"), pairs(F.regexp_replace(letters, "[aeiou]", ""), "c"))
+    return F.array_distinct(F.filter(both, lambda x: F.length(x) > F.when(x.startswith("c"), 2).otherwise(1)))
 
 
 def _forms(entries: DataFrame) -> DataFrame:
@@ -136,6 +77,34 @@ def _forms(entries: DataFrame) -> DataFrame:
     return rows.where("list_name is not null and canonical_id is not null and trim(form) <> ''").distinct()
 
 
+def wrappings(known: DataFrame) -> DataFrame:
+    """(list_name, before, after): words written before and after the names of each list, as arrays of texts of one or two words.
+
+    ``known`` has list_name and the array column words.
+    """
+    whole = known.where(F.size("words") > 0).select("list_name", "words").distinct()
+    n = F.size("words")
+    ends = F.array(*[
+        F.when(n > k, F.struct(F.lit(side).alias("side"), F.array_join(part, " ").alias("w"), rest.alias("words")))
+        for k in (1, 2)
+        for side, part, rest in (("before", F.slice("words", 1, k), F.slice("words", F.lit(k + 1), n)), ("after", F.slice("words", -k, k), F.slice("words", F.lit(1), F.greatest(n - k, F.lit(0)))))
+    ])
+    cut = whole.select("list_name", F.explode(ends).alias("x")).where("x is not null").select("list_name", "x.side", "x.w", "x.words")
+    rests = cut.join(whole, ["list_name", "words"], "left_semi").groupBy("list_name", "side", "w").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_RESTS)
+    one = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("w"))).alias(side)
+    return rests.groupBy("list_name").agg(one("before"), one("after"))
+
+
+def _unwrapped(parts: Column, before: Column, after: Column) -> Column:
+    def once(w: Column, _: Column) -> Column:
+        n = F.size(w)
+        ends = lambda k, a, side: (n > k) & F.array_contains(side, F.array_join(F.slice(w, a, k), " "))
+        tail = lambda k: F.slice(w, F.lit(1), F.greatest(n - k, F.lit(0)))
+        return F.when(ends(2, -2, after), tail(2)).when(ends(1, -1, after), tail(1)).when(ends(2, 1, before), F.slice(w, F.lit(3), n)).when(ends(1, 1, before), F.slice(w, F.lit(2), n)).otherwise(w)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), parts, once)
+
+
 def _ranked(sets: DataFrame, key: list[str], t: float, rank: DataFrame) -> DataFrame:
     """Prefix entries (key.., token, pos, size) of sets ordered from rare to common tokens."""
     placed = sets.select(*key, F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(rank, ["list_name", "token"])
@@ -144,10 +113,13 @@ def _ranked(sets: DataFrame, key: list[str], t: float, rank: DataFrame) -> DataF
     return ordered.select(*key, "size", F.posexplode(F.slice("a", 1, keep.cast("int"))).alias("pos", "x")).select(*key, "size", "pos", "x.token")
 
 
-def similar(names: DataFrame, forms: DataFrame, t: float = MIN_JACCARD) -> DataFrame:
-    """(list_name, name, canonical_id, form, jaccard) of all pairs of Jaccard similarity ``t`` or more."""
-    left = checkpoint(names.withColumn("tokens", _features("name")).where(F.size("tokens") > 0))
-    right = forms.withColumn("tokens", _features("form")).where(F.size("tokens") > 0)
+def similar(left: DataFrame, right: DataFrame, t: float = MIN_JACCARD) -> DataFrame:
+    """(list_name, name, canonical_id, form, jaccard) of all pairs of Jaccard similarity ``t`` or more.
+
+    ``left`` has list_name, name and tokens, ``right`` list_name, canonical_id,
+    form and tokens.
+    """
+    left, right = left.where(F.size("tokens") > 0), right.where(F.size("tokens") > 0)
     each = left.select("list_name", F.explode("tokens").alias("token")).unionByName(right.select("list_name", F.explode("tokens").alias("token")))
     rank = each.groupBy("list_name", "token").agg(F.count("*").alias("n"))
     a = _ranked(left, ["list_name", "name"], t, rank)
@@ -162,38 +134,31 @@ def similar(names: DataFrame, forms: DataFrame, t: float = MIN_JACCARD) -> DataF
     return both.withColumn("jaccard", shared / (F.col("size") + F.col("size2") - shared)).where(F.col("jaccard") >= t).select("list_name", "name", "canonical_id", "form", "jaccard")
 
 
+def tokenised(names: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(list_name, name, tokens) of distinct ``names`` and (list_name, canonical_id, form, tokens) of the entries' forms."""
+    folded = names.select("list_name", F.lit(None).cast("string").alias("canonical_id"), "name", _words("name").alias("words"))
+    accepted = _forms(entries).select("list_name", "canonical_id", F.col("form").alias("name"), _words("form").alias("words"))
+    every = stage(folded.unionByName(accepted))
+    wrapped = every.join(wrappings(every), "list_name", "left")
+    typed = F.when(F.col("canonical_id").isNull() & F.col("before").isNotNull(), _unwrapped(F.col("words"), F.col("before"), F.col("after"))).otherwise(F.col("words"))
+    tokens = stage(wrapped.withColumn("core", typed).select("list_name", "canonical_id", "name", features(F.col("core")).alias("tokens")))
+    return tokens.where("canonical_id is null").drop("canonical_id"), tokens.where("canonical_id is not null").withColumnRenamed("name", "form")
+
+
 def best_entries(names: DataFrame, entries: DataFrame, t: float = MIN_JACCARD) -> DataFrame:
-    """(list_name, name, canonical_id, jaccard, distance) for distinct ``names`` (list_name, name).
+    """(list_name, name, canonical_id, jaccard) for distinct ``names`` (list_name, name), staged.
 
-    canonical_id is 'none' where no entry is meant; distance is 0 where it was not needed.
+    canonical_id is 'none' and jaccard null where no entry is meant.
     """
-    pairs = similar(names, _forms(entries), t)
-    top = pairs.groupBy("list_name", "name").agg(F.max("jaccard").alias("top"))
-    near = pairs.join(top, ["list_name", "name"]).where(F.col("jaccard") >= F.col("top") - NEAR_BEST)
-    # of each entry its best form; an entry alone near the top needs no edit distance
-    entry = near.groupBy("list_name", "name", "canonical_id").agg(F.max(F.struct("jaccard", "form")).alias("f"))
-    choice = entry.groupBy("list_name", "name").agg(F.collect_list(F.struct("f.jaccard", "canonical_id", "f.form")).alias("c"))
-    sure = (F.size("c") == 1) & (F.col("c")[0]["jaccard"] >= SURE_JACCARD)
-    open_pairs = choice.where(~sure).select("list_name", "name", F.inline("c"))
-    parts = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    measured = open_pairs.repartition(parts, "list_name", "name", "canonical_id").withColumn("distance", _distance("name", "form"))
-    kept = measured.where((F.col("distance") <= MAX_DISTANCE) | (F.col("jaccard") >= SURE_JACCARD))
-    best = (
-        choice.where(sure)
-        .select("list_name", "name", F.inline("c"))
-        .withColumn("distance", F.lit(0.0))
-        .unionByName(kept)
-        .groupBy("list_name", "name")
-        .agg(F.min(F.struct("distance", (-F.col("jaccard")).alias("j"), "canonical_id")).alias("b"))
-    )
-    return names.join(best, ["list_name", "name"], "left").select(
-        "list_name", "name", F.coalesce("b.canonical_id", F.lit(NO_ENTRY)).alias("canonical_id"), (-F.col("b.j")).alias("jaccard"), F.col("b.distance").alias("distance")
-    )
+    left, right = tokenised(names, entries)
+    best = similar(left, right, t).groupBy("list_name", "name").agg(F.min(F.struct((-F.col("jaccard")).alias("j"), "canonical_id")).alias("b"))
+    return stage(left.join(best, ["list_name", "name"], "left").select("list_name", "name", F.coalesce("b.canonical_id", F.lit(NO_ENTRY)).alias("canonical_id"), (-F.col("b.j")).alias("jaccard")))
 
 
 def map_rows(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """``rows`` (with list_name and name) that are not written as a canonical name, plus canonical_id."""
     exact = entries.select("list_name", F.col("canonical_name").alias("name")).where("name is not null").distinct()
-    typed = rows.drop("canonical_id").where("name is not null and list_name is not null").join(exact, ["list_name", "name"], "left_anti")
-    mapping = best_entries(typed.groupBy("list_name", "name").agg(F.lit(1).alias("one")).drop("one"), entries).select("list_name", "name", "canonical_id")
-    return typed.join(mapping, ["list_name", "name"])
+    kept = rows.drop("canonical_id").where("name is not null and list_name is not null")
+    distinct = kept.groupBy("list_name", "name").agg(F.lit(1).alias("one")).select("list_name", "name")
+    mapping = best_entries(distinct.join(exact, ["list_name", "name"], "left_anti"), entries).select("list_name", "name", "canonical_id")
+    return kept.join(mapping, ["list_name", "name"])

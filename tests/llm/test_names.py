@@ -3,6 +3,7 @@
 import itertools
 
 import pytest
+from pyspark.sql import functions as F
 
 from eventide.llm import names
 
@@ -36,13 +37,30 @@ def test_exact_null_repeats_unknown_list(spark, entries):
 
 
 def test_similarity_join_is_complete(spark, entries):
-    typed = ["Alder Medcial", "Brch ICU", "Harbor", "Surgical Birch", "stepdown hrbrvw", "Medical ICU", "zzz"]
+    typed = ["Alder Medcial", "Brch ICU", "Harbor", "Surgical Birch", "stepdown hrbrvw", "Medical ICU", "zzz", "Ald", "l" * 50, "ICU ICU"]
     df = spark.createDataFrame([("loc", n) for n in typed], "list_name string, name string")
-    forms = names._forms(entries)
-    got = {(r.name, r.form): round(r.jaccard, 9) for r in names.similar(df, forms, 0.2).collect()}
+    left, right = names.tokenised(df, entries)
+    got = {(r.name, r.form): round(r.jaccard, 9) for r in names.similar(left, right, 0.2).collect()}
     want = {}
-    for n, f in itertools.product(typed, [r.form for r in forms.where("list_name = 'loc'").collect()]):
-        a, b = set(names.features(n)), set(names.features(f))
-        if len(a & b) / len(a | b) >= 0.2:
-            want[n, f] = round(len(a & b) / len(a | b), 9)
+    forms = right.where("list_name = 'loc'").collect()
+    for n, f in itertools.product(left.collect(), forms):
+        a, b = set(n.tokens), set(f.tokens)
+        if a and len(a & b) / len(a | b) >= 0.2:
+            want[n.name, f.form] = round(len(a & b) / len(a | b), 9)
     assert got == want and want
+
+
+def test_features(spark):
+    cases = {("aid", "er"): {"fai", "fid", "fde", "fer", "cdr"}, ("boot",): {"fbo", "fot", "cbt"}, ("a",): {"fa"}, ("ii",): {"fi"}, ("mg",): {"fmg", "cmg"}, (): set()}
+    df = spark.createDataFrame([(list(k),) for k in cases], "w array<string>")
+    assert {tuple(r.w): set(r.t) for r in df.select("w", names.features(F.col("w")).alias("t")).collect()} == cases
+    assert names.words("  Ald3r (temp) #12 É1") == ["alder", "ei"] and names.words("4417") == ["4417"] and names.words("(x)") == ["x"] and names.words("???") == []
+
+
+def test_wrappings_are_learned(spark, entries):
+    bare = ["Alder Medical", "Birch Surgical", "Harborview", "Stepdown", "Medical ICU", "Surgical ICU"]
+    typed = bare + [f"ask {b}" for b in bare] + [f"{b} per MD" for b in bare] + ["Birch per MD 7", "ask Stepdown Harborview per MD"]
+    rows = spark.createDataFrame([("loc", n, names.words(n)) for n in typed], "list_name string, name string, words array<string>")
+    (found,) = names.wrappings(rows).collect()
+    assert found.before == ["ask"] and found.after == ["per md"]
+    assert run(spark, entries, [("loc", n) for n in typed])[len(typed) - 1] == "L3"
