@@ -10,19 +10,25 @@ unit key).  Sources are linked through the entities they share:
    and the graph of sources is walked from the common unit, strongest links
    first, giving every source an estimated scale (and an offset, from the
    quartiles);
-3. the estimate is snapped to a known conversion.  A unit whose spelling is
-   understood keeps its declared conversion unless many links contradict it;
-   a spelling not understood takes the known conversion next to its estimate.
+3. scale and offset are snapped together to a known conversion.  The links
+   decide, and the spelling is evidence: where it is understood, its
+   declared conversion is taken if the links agree with it, and where there
+   are too few of them.
 
-Values without any unit are a mixture of the quantity's units.  Histograms of
-their logarithms are explained by the density of the values with units,
-shifted by each conversion in use (EM over the mixture weights); a value goes
-to the unit that most likely gave it.
+Quantities that nobody writes a unit for are split into sources by size: where
+their logarithms fall into clusters with hardly anything between, each cluster
+is a source, and the one of plausible size in the common unit the root.
+
+Values without any unit, and those of sources that links and spelling leave
+open, are a mixture of the quantity's units.  Histograms of their logarithms
+are explained by the density of the settled values, shifted by each conversion
+in use (EM over the mixture weights); a value goes to the unit that most
+likely gave it.
 
 Defined results: values that are null or not positive have no logarithm and
-are left out by the caller; sources that stay unresolved give a null factor;
-rows with a null quantity, or one without a common unit, too; repeated rows
-each get theirs; columns named factor and offset are replaced; empty tables give no rows.
+are left out by the caller; rows with a null quantity, or one without a common
+unit, have a null factor; repeated rows each get theirs; columns named factor
+and offset are replaced; empty tables give no rows.
 
 Everything per row is a JVM expression; Python sees only the source table, the
 aggregated links and the histograms.  Nothing is broadcast by hand.
@@ -56,6 +62,10 @@ _SPELLINGS = (
 TEMPERATURE = {"c": (1.0, 0.0), "degc": (1.0, 0.0), "celsius": (1.0, 0.0), "f": (5 / 9, -160 / 9), "degf": (5 / 9, -160 / 9), "fahrenheit": (5 / 9, -160 / 9), "k": (1.0, -273.15), "kelvin": (1.0, -273.15)}
 _NONE = {"", "1", "none", "nounits", "phunits", "ratio", "frac", "fraction", "index"}
 MIN_LINKS = 20
+SIZE = "size "
+_LEAST_SHARE = 0.002
+BIN = 0.02
+_PRUNE = 0.002
 _NEAR = math.log(1.35)
 
 
@@ -181,42 +191,60 @@ def _walk(links: pd.DataFrame, roots: set[str]) -> dict[str, tuple[float, int]]:
     return found
 
 
-def _affine(links: pd.DataFrame, roots: set[str]) -> dict[str, tuple[float, float]]:
-    """(multiplier, offset) of every source linked to a root, from the quartiles of both sides of its strongest link."""
-    out: dict[str, tuple[int, float, float]] = {}
+def _affine(links: pd.DataFrame, roots: set[str]) -> dict[str, tuple]:
+    """(quartiles, multiplier, offset) of every source linked to a root, from the quartiles of both sides of its strongest link."""
+    out: dict[str, tuple] = {}
     for r in links.itertuples():
         for root, other, x, y in ((r.hub, r.spoke, r.x, r.y), (r.spoke, r.hub, r.y, r.x)):
             if root in roots and other not in roots and y[1] > y[0] and r.n > out.get(other, (0,))[0]:
                 scale = (x[1] - x[0]) / (y[1] - y[0])
-                out[other] = (r.n, scale, (x[0] + x[1]) / 2 - scale * (y[0] + y[1]) / 2)
+                out[other] = (r.n, tuple(y), scale, (x[0] + x[1]) / 2 - scale * (y[0] + y[1]) / 2)
     return {k: v[1:] for k, v in out.items()}
 
 
-def settle(quantity: str, common: str, sources: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-    """Conversion of every source of one quantity: declared, estimated and settled factor and offset.
+def _snap_offset(fit: tuple[float, float], at: tuple[float, float], spelled: tuple[float, float] | None) -> tuple[float, float] | None:
+    """The temperature conversion (multiplier, offset) that agrees with a fitted line at both places, the spelled one first; None if none does."""
+    def gap(c: tuple[float, float]) -> float:
+        return max(abs(c[0] * y + c[1] - fit[0] * y - fit[1]) for y in at)
 
-    A settled offset is that of two temperature scales, else 0: an estimated
-    one (``estimated_offset``) is only evidence, as quartiles of different
-    samples never meet exactly.
-    """
+    near = [c for c in {*TEMPERATURE.values(), (9 / 5, 32.0), (1.0, 273.15)} if gap(c) < 2.0]
+    return spelled if spelled in near else min(near, key=gap, default=None)
+
+
+def settle(quantity: str, common: str, sources: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """Conversion of every source of one quantity: declared, estimated and settled factor and offset; null where nothing settles it."""
+    heat = TEMPERATURE.get(re.sub(r"[\s°._]", "", common.lower())) is not None
     affine = {k: declared_offset(k, common) for k in sources["key"]}
     declared = {k: declared_factor(quantity, k, common) for k in sources["key"]}
     roots = {k for k, f in declared.items() if f is not None and abs(math.log(f)) < 0.02}
     roots |= {k for k, a in affine.items() if a == (1.0, 0.0)}
+    sized = sources[sources["key"].str.startswith(SIZE)]
+    plausible = sized[(sized["level"] >= math.log(sized["lo"].iloc[0])) & (sized["level"] <= math.log(sized["hi"].iloc[0]))] if len(sized) and pd.notna(sized["lo"].iloc[0]) else sized[:0]
+    base = plausible.nlargest(1, "n")
+    roots |= set(base["key"])
     estimate, fitted = _walk(links, roots), _affine(links, roots)
     known = known_conversions(quantity, common)
     out = []
     for r in sources.itertuples():
         f, est, n = declared[r.key], None, 0
-        if r.key in estimate and r.key not in roots:
+        if r.key in roots:
+            f = 1.0
+        elif r.key in estimate:
             est, n = math.exp(estimate[r.key][0]), estimate[r.key][1]
-        settled = f
-        if est is not None and n >= MIN_LINKS and (f is None or abs(math.log(est / f)) > math.log(2)):
-            near = min(known, key=lambda k: abs(math.log(est / k)), default=None)
-            if near and abs(math.log(est / near)) < _NEAR:
-                settled = near
-        scale, offset = affine[r.key] or (settled, 0.0)
-        out.append((quantity, r.key, r.n, f if affine[r.key] is None else scale, est, fitted.get(r.key, (None, None))[1], n, scale, offset))
+        elif len(base) and r.key.startswith(SIZE):  # no entity has both sizes: the clusters themselves are compared
+            est, n = math.exp(float(base["level"].iloc[0]) - r.level), MIN_LINKS
+        settled, offset = f, 0.0
+        if est is not None and (n >= MIN_LINKS or r.key.startswith(SIZE)):
+            near = [k for k in known if abs(math.log(est / k)) < _NEAR]
+            if f is None or abs(math.log(est / f)) >= _NEAR:
+                settled = min(near, key=lambda k: abs(math.log(est / k)), default=f if f is not None and abs(math.log(est / f)) < math.log(2) else None)
+        line = fitted.get(r.key)
+        if heat:
+            settled, offset = affine[r.key] or (None, 0.0)
+            if line and n >= MIN_LINKS and r.key not in roots:
+                snapped = _snap_offset(line[1:], line[0], affine[r.key])
+                settled, offset = snapped or (settled, offset)
+        out.append((quantity, r.key, r.n, affine[r.key][0] if affine[r.key] else f, est, line[2] if line else None, n, settled, offset))
     return pd.DataFrame(out, columns=_SOURCE_COLUMNS)
 
 
@@ -227,9 +255,11 @@ _SOURCE_SCHEMA = "quantity string, key string, n bigint, declared double, estima
 def source_graph(rows: DataFrame, common: DataFrame) -> DataFrame:
     """One row per source: declared, estimated and settled multiplier to the common unit (null: unresolved).
 
-    ``rows``: entity, quantity, key, v.  ``common``: quantity, unit.
+    ``rows``: entity, quantity, key, v.  ``common``: quantity, unit, and for
+    quantities split by size lo and hi, the plausible range in that unit.
     """
-    sources = rows.where("key <> ''").groupBy("quantity", "key").agg(F.count("*").alias("n")).join(common, "quantity")
+    common = common.select("quantity", "unit", *[F.col(c).cast("double") if c in common.columns else F.lit(None).cast("double").alias(c) for c in ("lo", "hi")])
+    sources = rows.where("key <> ''").groupBy("quantity", "key").agg(F.count("*").alias("n"), F.avg(F.ln("v")).alias("level")).join(common, "quantity")
     links = _links(rows).toDF("linked", "hub", "spoke", "n", "d", "x", "y")
     both = sources.groupBy("quantity").cogroup(links.groupBy("linked"))
 
@@ -241,8 +271,39 @@ def source_graph(rows: DataFrame, common: DataFrame) -> DataFrame:
     return both.applyInPandas(one, _SOURCE_SCHEMA)
 
 
-BIN = 0.02
-_PRUNE = 0.002
+def size_ranges(h: pd.DataFrame) -> pd.DataFrame:
+    """Clusters (quantity, low, high, key) of a histogram (quantity, bin, n) of logarithms: cut where the density falls to a thirtieth of the peaks on both sides, each with a part of the values."""
+    at = h["bin"].to_numpy(np.int64)
+    lo = at.min() - 20
+    n = np.bincount(at - lo, h["n"].to_numpy(float), minlength=at.max() - lo + 20)
+    kernel = np.exp(-0.5 * (np.arange(-20, 21) / 8.0) ** 2)
+    density = np.convolve(n, kernel / kernel.sum(), "same")
+    total = n.sum()
+    cuts: list[int] = []
+
+    def split(a: int, b: int) -> None:
+        best = None
+        for i in range(a + 1, b - 1):
+            if min(n[a:i].sum(), n[i:b].sum()) >= _LEAST_SHARE * total and 30 * density[i] < min(density[a:i].max(), density[i:b].max()) and (best is None or density[i] < density[best]):
+                best = i
+        if best is not None:
+            cuts.append(best)
+            split(a, best)
+            split(best, b)
+
+    split(0, len(n))
+    ends = [-(1 << 40), *(c + lo for c in sorted(cuts)), 1 << 40]
+    return pd.DataFrame({"quantity": h["quantity"].iloc[0], "low": ends[:-1], "high": ends[1:], "key": [f"{SIZE}{i}" for i in range(len(ends) - 1)]})
+
+
+def keyed_by_size(rows: DataFrame) -> DataFrame:
+    """``rows`` (with quantity, v > 0) of quantities without units, with ``key``, the cluster of the value's size."""
+    binned = rows.drop("key").withColumn("__bin", F.floor(F.ln("v") / BIN))
+    counted = binned.groupBy("quantity", F.col("__bin").alias("bin")).agg(F.count("*").alias("n"))
+    ranges = counted.groupBy("quantity").applyInPandas(size_ranges, "quantity string, low bigint, high bigint, key string")
+    return binned.join(ranges.withColumnRenamed("quantity", "__q"), F.col("quantity").eqNullSafe(F.col("__q")) & (F.col("__bin") >= F.col("low")) & (F.col("__bin") < F.col("high"))).drop("__bin", "low", "high", "__q")
+
+
 
 
 def explain_unitless(h: pd.DataFrame) -> pd.DataFrame:
@@ -289,15 +350,16 @@ def explain_unitless(h: pd.DataFrame) -> pd.DataFrame:
 def to_common(rows: DataFrame, common: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``rows`` (with a column ``key``, ``quantity``, ``entity``, ``v`` > 0) plus ``factor`` and ``offset`` to the common unit, and the source table.
 
-    Rows of unresolved sources have a null factor.  Unit-less rows get the
-    factor that explains their size, 1 where nothing does.
+    Rows without a unit, or of a source that stays open, get the factor that
+    explains their size, 1 where nothing does; rows of a quantity without a
+    common unit have a null factor.
     """
     graph = source_graph(rows, common).select("quantity", "key", "factor", "offset")
     placed = rows.join(graph.withColumnsRenamed({"factor": "__factor", "offset": "__offset"}), ["quantity", "key"], "left").withColumn("__bin", F.floor(F.ln("v") / BIN))
-    counted = placed.where("key = '' or __factor is not null").groupBy("quantity", F.col("__factor").alias("factor"), F.col("__bin").alias("bin")).agg(F.count("*").alias("n"))
+    counted = placed.groupBy("quantity", F.col("__factor").alias("factor"), F.col("__bin").alias("bin")).agg(F.count("*").alias("n"))
     bare = counted.groupBy("quantity").applyInPandas(explain_unitless, "quantity string, bin bigint, factor double")
-    bare = bare.select("quantity", F.col("bin").alias("__bin"), F.lit("").alias("key"), F.col("factor").alias("__bare"))
-    joined = placed.join(bare, ["quantity", "__bin", "key"], "left").withColumn("factor", F.coalesce("__factor", "__bare")).withColumn("offset", F.coalesce("__offset", F.lit(0.0)))
+    bare = bare.join(common.select("quantity").distinct(), "quantity", "left_semi").select("quantity", F.col("bin").alias("__bin"), F.col("factor").alias("__bare"))
+    joined = placed.join(bare, ["quantity", "__bin"], "left").withColumn("factor", F.coalesce("__factor", "__bare")).withColumn("offset", F.when(F.col("__factor").isNotNull(), F.col("__offset")).otherwise(0.0))
     return joined.drop("__bin", "__factor", "__offset", "__bare"), graph
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.operators import asof, intervals, spikes, timestamps, units
-from eventide.runtime import read
+from eventide.runtime import read, stage
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,36 +73,40 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return intervals.periods_and_gaps(rows, "hospitalization_id", "instant_us", "out_us")
 
 
-def _lab_values(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Numeric lab values with their unit key, and the common unit of each category."""
-    common = read(spark, d, "clif_lab_categories").select(F.col("lab_category").alias("quantity"), F.col("reference_unit").alias("unit"))
+#: flow's common unit and what it plausibly is in it.
+FLOW = ("ecmo_flow", "L/min", 0.2, 12.0)
+
+
+def _delivered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Staged numeric values of labs and pump flows with their unit key, and the common unit of each quantity."""
+    labs = read(spark, d, "clif_lab_categories").select(F.col("lab_category").alias("quantity"), F.col("reference_unit").alias("unit"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
+    common = labs.unionByName(spark.createDataFrame([FLOW], "quantity string, unit string, lo double, hi double"))
     number, unit = units.read_quantity(F.col("lab_value"), F.col("reference_unit"), F.col("lab_name"))
-    rows = (
+    values = (
         read(spark, d, "labs")
         .where("lab_category is not null and lab_value is not null")
-        .select("lab_id", F.col("hospitalization_id").alias("entity"), F.col("lab_category").alias("quantity"), number.alias("v"), units.unit_key(unit).alias("key"))
+        .select(F.lit("labs").alias("record_type"), F.col("lab_id").alias("record_id"), F.col("hospitalization_id").alias("entity"), F.col("lab_category").alias("quantity"), number.alias("v"), units.unit_key(unit).alias("key"))
         .where("v > 0")
     )
-    return rows, common
+    flows = read(spark, d, "ecmo_mcs").select(F.lit("ecmo_mcs").alias("record_type"), F.col("ecmo_id").alias("record_id"), F.col("hospitalization_id").alias("entity"), F.lit(FLOW[0]).alias("quantity"), F.col("flow").cast("double").alias("v")).where("v > 0 and not isnan(v)")
+    return stage(values.unionByName(units.keyed_by_size(flows))), common
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Lab values and pump flows that were delivered in a unit of another size, converted.
 
-    A flow has no unit column; the ranges of the two units in use, 0.2 to 12
-    L/min and 200 to 12,000 mL/min, do not meet, so its size tells the unit.
+    A flow has no unit column; its sources are the sizes in which flows come,
+    linked by the runs that have several.
     """
-    rows, common = _lab_values(spark, d)
-    placed, _ = units.to_common(rows, common)
-    labs = placed.where("abs(ln(factor)) > 0.02 or offset <> 0").select(F.lit("labs").alias("record_type"), F.col("lab_id").alias("record_id"), (F.col("v") * F.col("factor") + F.col("offset")).alias("x"))
-    flow = F.col("flow").cast("double") * F.lit(0.001)
-    flows = read(spark, d, "ecmo_mcs").select(F.lit("ecmo_mcs").alias("record_type"), F.col("ecmo_id").alias("record_id"), flow.alias("x")).where("x between 0.2 and 12")
-    return labs.unionByName(flows).where("record_id is not null").select("record_type", "record_id", units.two_digits_milli(F.col("x")).alias("value_milli"))
+    placed, _ = units.to_common(*_delivered(spark, d))
+    other = placed.where("(abs(ln(factor)) > 0.02 or offset <> 0) and record_id is not null").select("record_type", "record_id", (F.col("v") * F.col("factor") + F.col("offset")).alias("x"))
+    kept = other.where(f"record_type = 'labs' or x between {FLOW[2]} and {FLOW[3]}")
+    return kept.select("record_type", "record_id", units.two_digits_milli(F.col("x")).alias("value_milli"))
 
 
 def unit_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Every way a lab unit is written: declared, estimated and settled conversion."""
-    return units.source_graph(*_lab_values(spark, d))
+    """Every way a unit is written, and every size flows come in: declared, estimated and settled conversion."""
+    return units.source_graph(*_delivered(spark, d))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
