@@ -28,8 +28,9 @@ spread like any other stretch.  A shard gets its neighbours' border readings as
 a halo, so the windows give the same result as over the whole series;
 stretches crossing shards are stitched from the outer stretches of each shard.
 Readings are shuffled once, with their repeats collapsed, and staged; what
-follows are aggregates with map-side partial results and joins with one row
-per series, none of them broadcast by hand.
+follows are aggregates with map-side partial results and joins with tables of
+one row per series.  These are staged too, so that their size is known when a
+join is planned: small ones are broadcast by the planner, others are not.
 
 Defined results: null and NaN readings are skipped; readings without a source
 or a time can only be impossible; other columns are ignored; the first and the
@@ -66,9 +67,9 @@ def _sharded(readings: DataFrame) -> DataFrame:
     A row's place in its series is read off the time quantiles, linear between
     KNOTS of them.
     """
-    large = readings.groupBy(*_KEY).agg(F.count("*").alias("n")).where(F.col("n") > 2 * MAX_SHARD)
+    large = stage(readings.groupBy(*_KEY).agg(F.count("*").alias("n")).where(F.col("n") > 2 * MAX_SHARD))
     ends = F.percentile_approx("t", [i / KNOTS for i in range(KNOTS + 1)], 10 * KNOTS)
-    knots = readings.join(large, _KEY).groupBy(*_KEY, "n").agg(ends.alias("knots"))
+    knots = stage(readings.join(large, _KEY).groupBy(*_KEY, "n").agg(ends.alias("knots")))
     i = F.least(F.greatest(F.size(F.filter("knots", lambda k: k <= F.col("t"))), F.lit(1)), F.lit(KNOTS))
     low, high = F.get("knots", i - 1), F.get("knots", i)
     place = (i - 1 + F.least(F.coalesce((F.col("t") - low) / F.nullif(high - low, F.lit(0)), F.lit(0.0)), F.lit(1.0))) / KNOTS
@@ -114,12 +115,12 @@ def _neighbours(readings: DataFrame) -> DataFrame:
 
 
 def _spreads(rows: DataFrame) -> DataFrame:
-    """(source, field, n, scale, varies) of every series."""
+    """(source, field, n, k, scale, varies) of every series of n readings in k stretches."""
     # five quantiles of the step, over what noise of deviation 1 has there, stand rounding to few digits better than the median alone
     steps = F.aggregate(F.percentile_approx("step", [0.3, 0.4, 0.5, 0.6, 0.7], 500), F.lit(0.0), lambda a, x: a + x) / 4.896
-    series = rows.groupBy(*_KEY).agg(steps.alias("m"), F.abs(F.avg("v")).alias("level"), F.count("*").alias("n"))
+    series = rows.groupBy(*_KEY).agg(steps.alias("m"), F.abs(F.avg("v")).alias("level"), F.count("*").alias("n"), F.count(F.when(F.coalesce(F.col("step"), F.lit(1.0)) != 0, 1)).alias("k"))
     scale = F.when(F.col("m") > 0, F.greatest(F.col("m"), F.col("level") * 0.001)).otherwise(F.greatest(F.col("level") * 0.02, F.lit(1e-9)))
-    return series.select(*_KEY, "n", scale.alias("scale"), F.coalesce(F.col("m") > 0, F.lit(False)).alias("varies"))
+    return series.select(*_KEY, "n", "k", scale.alias("scale"), F.coalesce(F.col("m") > 0, F.lit(False)).alias("varies"))
 
 
 def _seasons(rows: DataFrame, spreads: DataFrame) -> DataFrame:
@@ -166,24 +167,23 @@ def tail_cutoff(series: DataFrame, risk: float = RISK_SPIKE) -> DataFrame:
     return pooled.withColumn("spread", spread).withColumn("cut", F.col("p")[2] + F.col("spread") * reach).drop("p")
 
 
-def _stuck(rows: DataFrame) -> DataFrame:
-    """(source, field, shard, stretch) of stretches far longer than the series' rate of repeats gives."""
-    local = rows.groupBy(*_SHARD, "hot", "stretch").agg(F.count("*").alias("len"), F.max(F.when(F.col("step") == 0, 0).otherwise(1)).alias("opened"))
-    # a stretch runs on from the shard before when none of its readings opened it; only hot series have several shards
-    w = Window.partitionBy(*_KEY).orderBy("shard", "stretch")
-    ends = Window.partitionBy(*_SHARD)
-    hot = local.where("hot").withColumn("outer", (F.col("stretch") == F.min("stretch").over(ends)) | (F.col("stretch") == F.max("stretch").over(ends)))
-    chained = hot.where("outer").withColumn("chain", F.sum("opened").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = chained.groupBy(*_KEY, "chain").agg(F.sum("len").alias("len"), F.collect_list(F.struct("shard", "stretch")).alias("parts"))
-    one = F.array(F.struct("shard", "stretch")).alias("parts")
-    stretches = local.where("not hot").select(*_KEY, "len", one).unionByName(hot.where("not outer").select(*_KEY, "len", one)).unionByName(joined.select(*_KEY, "len", "parts"))
-    rate = stretches.groupBy(*_KEY).agg(F.sum("len").alias("n"), F.count("*").alias("k"))
-    long = stretches.where(F.col("len") >= MIN_STUCK).join(rate, _KEY)
-    repeats = F.col("n") - F.col("k") - (F.col("len") - 1)
-    p = (repeats + 0.5) / (F.col("n") - F.col("len") + 1)
+def _chained(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``chain``, the shard and number of the stretch they belong to: a stretch no reading of its shard opened goes on from a shard before."""
+    last = rows.where("hot").groupBy(*_SHARD).agg(F.max("stretch").alias("last"))
+    opened = F.when(F.col("last") > 0, F.struct("shard", F.col("last").alias("stretch")))
+    w = Window.partitionBy(*_KEY).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    before = stage(last.select(*_SHARD, F.last(opened, ignorenulls=True).over(w).alias("before")))
+    own = F.struct("shard", "stretch")
+    return rows.join(before, _SHARD, "left").withColumn("chain", F.when(F.col("stretch") == 0, F.coalesce("before", own)).otherwise(own)).drop("before")
+
+
+def _stuck(chained: DataFrame, series: DataFrame) -> DataFrame:
+    """(source, field, chain) of stretches far longer than the series' rate of repeats gives."""
+    # the readings that repeat the one before make a stretch one longer than they are
+    long = chained.where("step = 0").groupBy(*_KEY, "chain").agg((F.count("*") + 1).alias("len")).where(F.col("len") >= MIN_STUCK).join(series, _KEY)
+    p = (F.col("n") - F.col("k") - (F.col("len") - 1) + 0.5) / (F.col("n") - F.col("len") + 1)
     expected = F.log(F.col("n") * (1 - p)) + (F.col("len") - 1) * F.log(p)
-    found = long.where((F.col("n") - F.col("len") >= MIN_OTHERS) & (p < 1) & (expected < F.log(F.lit(RISK_STUCK))))
-    return found.select(*_KEY, F.inline("parts"))
+    return long.where((F.col("n") - F.col("len") >= MIN_OTHERS) & (p < 1) & (expected < F.log(F.lit(RISK_STUCK)))).select(*_KEY, "chain")
 
 
 def implausible(readings: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
@@ -200,16 +200,19 @@ def implausible(readings: DataFrame, limits: dict[str, tuple[float, float]]) ->
     placed = real.where(inside & F.col("source").isNotNull() & F.col("t").isNotNull())
 
     rows = stage(_neighbours(_sharded(placed.select(*_KEY, "t", "v"))))
-    seasons = stage(_seasons(rows, _spreads(rows)))
+    spreads = stage(_spreads(rows))
+    seasons = stage(_seasons(rows, spreads))
     residuals = rows.join(seasons, _KEY).withColumn("off", _residual())
     tails = residuals.groupBy(*_KEY, "n", "varies").agg(F.percentile_approx("off", _RANKS, 500).alias("q"))
-    far = residuals.join(tail_cutoff(tails).select(*_KEY, "cut"), _KEY).where(F.col("off") > F.col("cut"))
-    frozen = rows.join(_stuck(rows), [*_SHARD, "stretch"])
+    cuts = stage(tail_cutoff(stage(tails)).select(*_KEY, "cut"))
+    far = residuals.join(cuts, _KEY).where(F.col("off") > F.col("cut"))
+    chained = _chained(rows)
+    frozen = chained.join(stage(_stuck(chained, spreads)), [*_KEY, "chain"])
     cases = (
         far.select(*_KEY, "t", "v", F.lit("spike").alias("reason"))
         .unionByName(frozen.select(*_KEY, "t", "v", F.lit("stuck").alias("reason")))
         .groupBy(*_KEY, "t", "v")
         .agg(F.min("reason").alias("reason"))
     )
-    flagged = placed.join(cases, [*_KEY, "t", "v"]).select("record_id", "field", "reason")
+    flagged = placed.join(stage(cases), [*_KEY, "t", "v"]).select("record_id", "field", "reason")
     return flagged.unionByName(impossible)
