@@ -1,7 +1,8 @@
-"""Dose units: parsed once per distinct spelling, applied as a join."""
+"""Dose units as powers of base measures: read once per distinct spelling, applied as a join."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -14,33 +15,43 @@ AMOUNTS = {"mcg": ("mass", 1.0), "ug": ("mass", 1.0), "mg": ("mass", 1e3), "g":
 TIMES = {"min": 1.0, "minute": 1.0, "hr": 60.0, "h": 60.0, "hour": 60.0, "day": 1440.0, "d": 1440.0}
 
 
-def parse_dose_unit(text: str | None) -> tuple[str, float, bool, float | None] | None:
-    """(kind, size, per kg, minutes or None) of a dose unit such as 'mcg/kg/min'."""
-    parts = [p for p in re.sub(r"\s+|\.", "", (text or "").lower()).split("/") if p]
-    if not parts or parts[0] not in AMOUNTS:
+# Base of every spelling: what it measures and how many of the base measure it is.
+_BASES = {
+    **{name: (kind, size) for name, (kind, size) in AMOUNTS.items()},
+    **{name: ("time", size) for name, size in TIMES.items()},
+    "kg": ("weight", 1.0),
+}
+
+
+def dimensions(text: str | None) -> tuple[dict[str, int], float] | None:
+    """(power of every base measure, size) of a dose unit: 'mg/kg/hr' is mass 1, weight -1, time -1 of 1000 / 60.
+
+    Null for a word that is no unit, a dose that starts with no amount, and
+    one whose divisors are anything but a weight or a time, each once.
+    """
+    words = [w for w in re.split(r"/", re.sub(r"[\s.]+", "", (text or "").lower())) if w]
+    bases = [_BASES.get(w) for w in words]
+    if not bases or None in bases:
+        return None
+    kinds = [kind for kind, _ in bases]
+    if kinds[0] in ("time", "weight") or not set(kinds[1:]) <= {"time", "weight"} or len(set(kinds)) < len(kinds):
         return None
-    kind, size = AMOUNTS[parts[0]]
-    kg, minutes = False, None
-    for p in parts[1:]:
-        if p == "kg" and not kg:
-            kg = True
-        elif p in TIMES and minutes is None:
-            minutes = TIMES[p]
-        else:
-            return None
-    return kind, size, kg, minutes
+    powers = {kind: 1 if i == 0 else -1 for i, kind in enumerate(kinds)}
+    return powers, math.prod(size ** powers[kind] for kind, size in bases)
 
 
 def dose_plan(source: str | None, target: str) -> tuple[float | None, int, str]:
-    """(factor, power of the weight, status) from one dose unit to another."""
-    a, b = parse_dose_unit(source), parse_dose_unit(target)
-    if a is None or b is None:
+    """(factor, power of the weight, status) from one dose unit to another: their dimensions may differ by the weight only."""
+    units = dimensions(source), dimensions(target)
+    if None in units:
         return None, 0, "unknown_unit"
-    if a[0] != b[0]:
+    (a, size), (b, other) = units
+    differ = {k: a.get(k, 0) - b.get(k, 0) for k in {*a, *b}}
+    if any(differ[k] for k in differ if k not in ("weight", "time")):
         return None, 0, "other_kind"
-    if (a[3] is None) != (b[3] is None):
+    if differ.get("time", 0):
         return None, 0, "other_rate"
-    return a[1] / b[1] * ((b[3] or 1) / (a[3] or 1)), int(a[2]) - int(b[2]), "ok"
+    return size / other, -differ.get("weight", 0), "ok"
 
 
 def convert(df: DataFrame, dose: str, unit: str, target: str, weight: str) -> DataFrame:

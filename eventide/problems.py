@@ -88,7 +88,7 @@ def _delivered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
         .select(F.lit("labs").alias("record_type"), F.col("lab_id").alias("record_id"), F.col("hospitalization_id").alias("entity"), F.col("lab_category").alias("quantity"), number.alias("v"), units.unit_key(unit).alias("key"))
         .where("v > 0")
     )
-    flows = read(spark, d, "ecmo_mcs").select(F.lit("ecmo_mcs").alias("record_type"), F.col("ecmo_id").alias("record_id"), F.col("hospitalization_id").alias("entity"), F.lit(FLOW[0]).alias("quantity"), F.col("flow").cast("double").alias("v")).where("v > 0 and not isnan(v)")
+    flows = read(spark, d, "ecmo_mcs").select(F.lit("ecmo_mcs").alias("record_type"), F.col("ecmo_id").alias("record_id"), F.col("hospitalization_id").alias("entity"), F.when(F.col("flow") > 0, FLOW[0]).alias("quantity"), F.col("flow").cast("double").alias("v")).where("v > 0 and not isnan(v)")
     return stage(values.unionByName(units.keyed_by_size(flows))), common
 
 

@@ -62,7 +62,14 @@ def stage(df: DataFrame) -> DataFrame:
     folder = scratch(spark)
     df.write.mode("overwrite").parquet(folder)
     atexit.register(_remove, spark, folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    staged = spark.read.schema(df.schema).parquet(folder)
+    staged._stage_folder = folder
+    return staged
+
+
+def drop_stage(staged: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more."""
+    _remove(staged.sparkSession, staged._stage_folder)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -39,6 +39,8 @@ def test_binding(spark):
 def test_doses():
     assert doses.dose_plan("mcg/kg/min", "mcg/min") == (1.0, 1, "ok") and doses.dose_plan("mg/hr", "mcg/kg/min") == (pytest.approx(1000 / 60), -1, "ok")
     assert doses.dose_plan("units/hr", "mcg/min")[2] == "other_kind" and doses.dose_plan("mcg", "mcg/min")[2] == "other_rate" and doses.dose_plan(None, "mcg")[2] == "unknown_unit"
+    assert doses.dimensions("mg / kg / hr.") == ({"mass": 1, "weight": -1, "time": -1}, pytest.approx(1000 / 60)) and doses.dimensions("Units/hr") == ({"units": 1, "time": -1}, pytest.approx(1 / 60))
+    assert [doses.dimensions(x) for x in ("", "furlong", "hr", "kg/min", "mg/kg/kg", "mg/hr/min", "mg/ml", "mcg/min/furlong")] == [None] * 8
 
 
 def test_pack(spark):
