@@ -97,7 +97,7 @@ def _with_halo(readings: DataFrame) -> DataFrame:
 
 
 def _median(a: Column) -> Column:
-    s = F.array_sort(a)
+    s = F.sort_array(a)
     n = F.size(a)
     return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2)
 
