@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.llm import mix, names, quality, splits, tokens
-from eventide.runtime import checkpoint, read
+from eventide.runtime import checkpoint, read, stage
 
 #: Table, its key and its typed column of each list.
 TYPED = {
@@ -42,24 +42,33 @@ def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
 PROPORTIONS = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
+def _stays(spark: SparkSession, d: str) -> DataFrame:
+    stays = read(spark, d, "hospitalization").select("patient_id", "hospitalization_id", "hospitalization_joined_id")
+    return splits.without_placeholders(stays, "hospitalization_joined_id", "patient_id")
+
+
 def _stay_ids() -> dict:
-    joined = F.col("hospitalization_joined_id")
-    return {"p": F.col("patient_id"), "h": F.col("hospitalization_id"), "j": F.when(~splits.is_placeholder(joined), joined)}
+    return {"p": F.col("patient_id"), "h": F.col("hospitalization_id"), "j": F.col("hospitalization_joined_id")}
+
+
+def p6_members(spark: SparkSession, d: str) -> DataFrame:
+    """Patients tied to others, with the patient who stands for their group: linear however large a group is."""
+    labels = splits.components(_stays(spark, d).select(splits.nodes(_stay_ids()).alias("nodes")))
+    members = labels.where("node like 'p:%'").select("component", F.expr("substr(node, 3)").alias("patient_id"))
+    groups = members.groupBy("component").agg(F.min("patient_id").alias("group_patient_id"), F.count("*").alias("n_patients")).where("n_patients > 1")
+    return members.join(groups, "component").select("patient_id", "group_patient_id", "n_patients")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of patients tied by a chain of hospitalization rows."""
-    stays = read(spark, d, "hospitalization").select("patient_id", "hospitalization_id", "hospitalization_joined_id")
-    labels = splits.components(stays.select(splits.nodes(_stay_ids()).alias("nodes")))
-    members = labels.where("node like 'p:%'").select("component", F.expr("substr(node, 3)").alias("patient"))
-    a, b = members.toDF("component", "patient_id_a"), members.toDF("component", "patient_id_b")
-    return a.join(b, "component").where("patient_id_a < patient_id_b").select("patient_id_a", "patient_id_b")
+    members = stage(p6_members(spark, d))
+    a, b = (members.select("group_patient_id", F.col("patient_id").alias(f"patient_id_{x}")) for x in "ab")
+    return a.join(b, "group_patient_id").where("patient_id_a < patient_id_b").select("patient_id_a", "patient_id_b")
 
 
 def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     """Every hospitalization row with its split."""
-    stays = read(spark, d, "hospitalization").select("patient_id", "hospitalization_id", "hospitalization_joined_id")
-    return splits.assign(stays, _stay_ids(), PROPORTIONS)
+    return splits.assign(_stays(spark, d), _stay_ids(), PROPORTIONS)
 
 
 def p6_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +115,7 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p6_found": p6_found, "p6_splits": p6_splits, "p6_shares": p6_shares, "p3_found": p3_found, "p3_unmatched": p3_unmatched}
+    return {"p9_selection": p9_selection, "p9_shares": p9_shares, "p10_found": p10_found, "p10_statistics": p10_statistics, "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p6_found": p6_found, "p6_members": p6_members, "p6_splits": p6_splits, "p6_shares": p6_shares, "p3_found": p3_found, "p3_unmatched": p3_unmatched}
 
 
 def oracle_sql() -> dict:

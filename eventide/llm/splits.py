@@ -1,22 +1,29 @@
 """Splits that keep related records together (problem 6).
 
-Records that share any entity belong together.  Every entity id is a node and
-every record ties the nodes it names; connected components are found by
-alternating large-star and small-star steps, which only ever join an edge list
-with its own minima: no step gathers a node's neighbours, so a node tied to a
-third of all records costs a pre-aggregated minimum and a join that adaptive
-skew handling splits.  Each round is checkpointed to the shared folder and
-compared with the last one by a count and a checksum, the only values that
-reach the driver.
-
-A component's smallest node, hashed with a seed, picks a split from ranges of
+Records that share any entity belong together.  Every entity id is a node; a
+record ties its first node, its *head*, to its other nodes.  A node that only
+one head names is a leaf and settled with it, so an aggregate by node, with
+map-side minimum and maximum of the heads, leaves the few nodes that tie
+heads.  On these, connected components are found by alternating large-star and
+small-star steps, which only ever join an edge list with its own minima: no
+step gathers a node's neighbours, so a node tied to a third of all records
+costs a pre-aggregated minimum and a join that adaptive skew handling splits.
+Each round is staged in the shared folder and compared with the last one by a
+count and a checksum, the only values that reach the driver; the rounds before
+are deleted.
+
+A component's smallest head, hashed with a seed, picks a split from ranges of
 the given proportions, so a component never moves when others come or go.
 
-Defined results: null ids and ids the caller calls placeholders tie nothing; a
-record with no usable id is a component of its own, hashed by its columns;
-repeated records get the same split; a giant component goes to one split
-whole, even where that breaks the proportions (see ``shares``); an empty table
-gives no rows.
+Ids that identify nothing (placeholders) are found by what they tie: the ids of
+one written form, letters and digits aside, are placeholders if most of them
+tie two or more entities.
+
+Defined results: null ids and placeholders tie nothing; a record with no usable
+id is a component of its own, hashed by its columns; repeated records get the
+same split; a giant component goes to one split whole, even where that breaks
+the proportions (see ``shares``); an empty table gives no rows; columns named
+component and split are replaced.
 """
 
 from __future__ import annotations
@@ -24,20 +31,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventide.runtime import checkpoint
+from eventide.runtime import drop_stage, stage
 
 MAX_ROUNDS = 60
-# Entries that identify nothing, after folding case and dropping all but letters and digits.
-PLACEHOLDERS = (
-    "", "0", "x", "xx", "xxx", "na", "nan", "nil", "nav", "none", "null", "unk", "unkn", "unknown", "temp", "tmp", "test", "tbd", "tba",
-    "pending", "missing", "notavailable", "notapplicable", "placeholder", "dummy", "default", "error", "blank", "empty", "other", "void",
-)
 
 
-def is_placeholder(value: Column) -> Column:
-    """Whether an id is a stand-in: a word of PLACEHOLDERS or one digit repeated."""
-    folded = F.regexp_replace(F.lower(value), "[^a-z0-9]", "")
-    return folded.isin(*PLACEHOLDERS) | folded.rlike(r"^([0-9])\1*$")
+def without_placeholders(df: DataFrame, column: str, entity: str) -> DataFrame:
+    """``df`` with the ids of ``column`` that identify nothing set to null."""
+    form = F.regexp_replace(F.regexp_replace(F.upper(column), "[A-Z]", "A"), "[0-9]", "9")
+    ties = df.where(F.col(column).isNotNull()).groupBy(column).agg((F.min(entity) < F.max(entity)).alias("ties"))
+    empty = ties.groupBy(form.alias("__form")).agg(F.count("*").alias("n"), F.count_if("ties").alias("k")).where("2 * k > n").select("__form")
+    kept = df.withColumn("__form", form).join(empty.withColumn("__empty", F.lit(True)), "__form", "left")
+    return kept.withColumn(column, F.when(F.col("__empty").isNull(), F.col(column))).select(df.columns)
 
 
 def nodes(record_ids: dict[str, Column]) -> Column:
@@ -45,12 +50,6 @@ def nodes(record_ids: dict[str, Column]) -> Column:
     return F.filter(F.array(*[F.concat(F.lit(f"{kind}:"), c) for kind, c in record_ids.items()]), lambda x: x.isNotNull())
 
 
-def _star_edges(records: DataFrame) -> DataFrame:
-    """Edges (a > b) from the first node of each record to its others."""
-    pairs = records.where(F.size("nodes") > 1).select(F.col("nodes")[0].alias("x"), F.explode(F.slice("nodes", 2, 1 << 20)).alias("y"))
-    return _down(pairs, "x", "y")
-
-
 def _down(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.where(F.col(x) != F.col(y)).groupBy(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).agg(F.lit(1).alias("one")).drop("one")
 
@@ -71,19 +70,27 @@ def _state(e: DataFrame) -> tuple:
 
 
 def components(records: DataFrame) -> DataFrame:
-    """(node, component) of all nodes tied to another one; ``records`` has the array column ``nodes``."""
-    edges = checkpoint(_star_edges(records))
+    """(node, component) of every node; ``records`` has the array column ``nodes``.
+
+    A component is named after its smallest head.
+    """
+    named = records.where(F.size("nodes") > 0).select(F.col("nodes")[0].alias("head"), F.explode("nodes").alias("node"))
+    ends = stage(named.groupBy("node").agg(F.min("head").alias("low"), F.max("head").alias("high")))
+    ties = ends.where("low < high").select("node")
+    pairs = named.join(ties, "node").groupBy("node", "head").agg(F.lit(1).alias("one")).select(F.concat(F.lit("~"), F.col("node")).alias("x"), "head")
+    # a tying node is marked, so that it comes after all heads and never names a component
+    edges = stage(_down(pairs, "x", "head"))
     state = _state(edges)
     for _ in range(MAX_ROUNDS):
-        edges = checkpoint(_small_star(_large_star(edges)))
+        before, edges = edges, stage(_small_star(_large_star(edges)))
+        drop_stage(before)
         if (new := _state(edges)) == state:
             break
         state = new
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
+    moved = edges.where("a not like '~%'").withColumnsRenamed({"a": "low", "b": "component"})
+    return ends.join(moved, "low", "left").select("node", F.coalesce("component", "low").alias("component"))
 
 
 def split_of(component: Column, proportions: dict[str, float], seed: int = 0) -> Column:
@@ -101,15 +108,13 @@ def split_of(component: Column, proportions: dict[str, float], seed: int = 0) ->
 
 def assign(records: DataFrame, ids: dict[str, Column], proportions: dict[str, float], seed: int = 0) -> DataFrame:
     """``records`` with ``component`` and ``split``."""
-    placed = records.withColumn("__nodes", nodes(ids))
+    kept = records.drop("component", "split")
+    placed = kept.withColumn("__nodes", nodes(ids))
     labels = components(placed.select(F.col("__nodes").alias("nodes")))
-    own = F.concat(F.lit("row:"), F.xxhash64(*[F.col(c).cast("string") for c in records.columns]).cast("string"))
-    joined = placed.withColumn("__node", F.coalesce(F.get("__nodes", F.lit(0)), own)).join(labels.withColumnsRenamed({"node": "__node", "component": "__component"}), "__node", "left")
-    return (
-        joined.withColumn("component", F.coalesce("__component", "__node"))
-        .withColumn("split", split_of(F.col("component"), proportions, seed))
-        .drop("__nodes", "__node", "__component")
-    )
+    own = F.concat(F.lit("row:"), F.xxhash64(*[F.col(c).cast("string") for c in kept.columns]).cast("string"))
+    joined = placed.withColumn("__node", F.coalesce(F.get("__nodes", F.lit(0)), own)).join(labels.withColumnRenamed("node", "__node"), "__node", "left")
+    named = joined.withColumn("component", F.coalesce("component", "__node"))
+    return named.withColumn("split", split_of(F.col("component"), proportions, seed)).drop("__nodes", "__node")
 
 
 def shares(assigned: DataFrame) -> DataFrame:

@@ -31,10 +31,11 @@ def union_find(rows):
 def labels(spark, rows):
     df = spark.createDataFrame(rows, "a string, b string, c string").select(splits.nodes({k: F.col(k) for k in "abc"}).alias("nodes"))
     groups = {}
+    heads = {r.nodes[0] for r in df.collect() if r.nodes}
     for r in splits.components(df).collect():
         groups.setdefault(r.component, []).append(r.node)
-    assert all(len(g) == len(set(g)) and min(g) == k for k, g in groups.items())
-    return {frozenset(g) for g in groups.values()}
+    assert all(len(g) == len(set(g)) and min(heads.intersection(g)) == k for k, g in groups.items())
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
 
 
 def test_random_chain_and_hot(spark):
@@ -55,8 +56,8 @@ def test_nulls_repeats_empty(spark):
 
 def test_assign(spark):
     rows = [(f"{i % 700}", f"{i}", "TEMP" if i % 3 else f"j{i % 50}") for i in range(2000)] + [(None, None, None), ("7", "7", None), ("7", "7", None)]
-    df = spark.createDataFrame(rows, "a string, b string, c string").withColumn("split", F.lit("old"))
-    ids = {"a": F.col("a"), "b": F.col("b"), "c": F.when(~splits.is_placeholder(F.col("c")), F.col("c"))}
+    df = spark.createDataFrame(rows, "a string, b string, c string").withColumn("split", F.lit("old")).withColumn("component", F.lit(1))
+    ids = {"a": F.col("a"), "b": F.col("b"), "c": F.when(F.col("c") != "TEMP", F.col("c"))}
     out = splits.assign(df, ids, {"train": 0.7, "test": 0.3}).cache()
     assert out.count() == len(rows) and set(out.columns) == {"a", "b", "c", "component", "split"}
     for k in ("a", "b"):
@@ -67,7 +68,11 @@ def test_assign(spark):
         splits.split_of(F.lit("x"), {"a": 0.5})
 
 
-def test_placeholders(spark):
-    words = ["TEMP", "0", "N/A", "UNKNOWN", "", "-", "9999", "None", "J00000001", "H000000000", "12"]
-    got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(splits.is_placeholder(F.col("w"))).collect()]
-    assert got == [True] * 8 + [False] * 3
+def test_placeholders_tie_too_much(spark):
+    rows = [(f"p{i}", f"J{i:08}") for i in range(60)] + [("p1", "J00000002"), ("p3", "J00000004")]
+    rows += [(f"p{i}", x) for i in range(40) for x in ("TEMP", "n/a", "0")] + [("p1", "xx"), (None, "TEMP"), ("p2", None), (None, "J00000009"), ("p5", "")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "who string, j string, __x int")
+    out = splits.without_placeholders(df, "j", "who")
+    assert out.columns == df.columns and out.count() == len(rows)
+    assert {r.j for r in out.collect()} == {f"J{i:08}" for i in range(60)} | {None, "xx", ""}
+    assert splits.without_placeholders(df.limit(0), "j", "who").count() == 0
