@@ -151,20 +151,6 @@ def bin_07(spark: SparkSession, d: str) -> DataFrame:
 
 
 _READ = f"(SELECT h, m AS minute, max(CASE WHEN v > 2 THEN 1 ELSE 0 END) AS hit FROM {_MIN} GROUP BY 1, 2)"
-_ANCHORS = f"(SELECT DISTINCT h, m + 600 AS anchor_min FROM {_MIN} WHERE lab_id % 3 = 0)"
-
-
-@query(
-    "lab_03_many_anchors",
-    f"""WITH r AS {_READ}, a AS {_ANCHORS}, p AS (SELECT h, anchor_min, (SELECT arg_max(hit, minute) FROM r WHERE r.h = a.h AND minute <= anchor_min) AS now, (SELECT min(minute) FROM r WHERE r.h = a.h AND minute > anchor_min AND minute <= anchor_min + 10080 AND hit = 1) AS nx, (SELECT COUNT(*) FROM r WHERE r.h = a.h AND minute > anchor_min AND minute <= anchor_min + 10080) AS later FROM a)
-        SELECT h, anchor_min, CASE WHEN now = 1 THEN 'prevalent' WHEN nx IS NOT NULL THEN 'positive' WHEN later > 0 THEN 'negative' ELSE 'censored' END AS status, CASE WHEN coalesce(now, 0) <> 1 AND nx IS NOT NULL THEN nx - anchor_min END AS after_min FROM p""",
-)
-def lab_03(spark: SparkSession, d: str) -> DataFrame:
-    rows = _creatinine(spark, d)
-    anchors = rows.where("lab_id % 3 = 0").select("h", (F.col("m") + 600).alias("anchor_min"))
-    return labels.at_anchors(anchors, rows.select("h", F.col("m").alias("minute"), "v"), "h", F.col("v") > 2, horizon_min=10080)
-
-
 @query(
     "lab_03_all_anchors",
     f"""WITH r AS {_READ}, a AS (SELECT DISTINCT h, m + 600 AS anchor_min FROM {_MIN}),
@@ -172,7 +158,7 @@ def lab_03(spark: SparkSession, d: str) -> DataFrame:
        SELECT h, anchor_min, CASE WHEN now = 1 THEN 'prevalent' WHEN nx IS NOT NULL THEN 'positive' WHEN later > 0 THEN 'negative' ELSE 'censored' END AS status, CASE WHEN coalesce(now, 0) <> 1 AND nx IS NOT NULL THEN nx - anchor_min END AS after_min FROM p""",
 )
 def lab_03_all(spark: SparkSession, d: str) -> DataFrame:
-    """An anchor after every reading; lab_03_many_anchors takes those its SQL takes, one reading in three."""
+    """An anchor after every reading."""
     rows = _creatinine(spark, d)
     return labels.at_anchors(rows.select("h", (F.col("m") + 600).alias("anchor_min")), rows.select("h", F.col("m").alias("minute"), "v"), "h", F.col("v") > 2, horizon_min=10080)
 
@@ -209,22 +195,11 @@ def lab_16(spark: SparkSession, d: str) -> DataFrame:
     return _sequences(spark, d).select("h", encode.header_length(F.col("token"), list(range(0, 13))).alias("header"), encode.outcome_token(F.col("token"), [5, 6, 7]).alias("outcome"))
 
 
-@query(
-    "gen_01_prompt_pairs",
-    f"""WITH {_TOKENS}, {_VOCAB}, s AS (SELECT h, list(coalesce(v.id, 3) ORDER BY tm, i) AS a FROM t LEFT JOIN v ON v.token = t.token GROUP BY 1), p AS (SELECT h AS sim, a[1:3] AS prompt FROM s WHERE len(a) >= 3 AND h LIKE '%0')
-        SELECT sim, h FROM p JOIN s ON len(a) >= 3 AND a[1:3] = prompt""",
-)
-def gen_01(spark: SparkSession, d: str) -> DataFrame:
-    s = _sequences(spark, d).select("h", "token")
-    sims = s.where("size(token) >= 3 and h like '%0'").select(F.col("h").alias("sim"), F.slice("token", 1, 3).alias("prompt"))
-    return encode.pair_by_prompt(sims, s, "prompt", "token").select("sim", "h")
-
-
 _PROMPTS = f"{_TOKENS}, {_VOCAB}, s AS (SELECT h, list(coalesce(v.id, 3) ORDER BY tm, i) AS a FROM t LEFT JOIN v ON v.token = t.token GROUP BY 1), p AS (SELECT h, array_to_string(a[1:3], ',') AS prompt FROM s WHERE len(a) >= 3)"
 
 
 def _prompts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Every stay as a simulation and as observed; gen_01_prompt_pairs simulates those its SQL takes, ids that end in 0."""
+    """Every stay as a simulation and as observed."""
     s = _sequences(spark, d).select("h", "token")
     return s.where("size(token) >= 3").select(F.col("h").alias("sim"), F.slice("token", 1, 3).alias("prompt")), s
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventide.operators.windows import SHARDS_OF, nearest
+
 
 def in_window(events: DataFrame, stays: DataFrame, key: str, at: str, lo: str, hi: str) -> DataFrame:
     """Events of the stays with lo <= time <= hi, plus ``pos_min``, the whole minutes from lo."""
@@ -23,17 +25,17 @@ def asof(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, va
     """``left`` with the value of the latest right row of its key at or before (``strict``: before) its time.
 
     Right rows of one key and time are averaged first.  The two sides are
-    united and the last value carried along, so the plan has one sort per key
-    and no range join.
+    united in time shards, and the last value of the shards before is carried
+    into each, so no range join is made and no task sees a whole key.
     """
     out = out or value
-    r = right.where(F.col(key).isNotNull() & F.col(right_at).isNotNull() & F.col(value).isNotNull()).groupBy(key, F.col(right_at).alias("__t")).agg(F.avg(value).alias("__v"))
+    r = right.where(F.col(key).isNotNull() & F.col(right_at).isNotNull() & F.col(value).isNotNull()).groupBy(key, F.unix_micros(right_at).alias("__t")).agg(F.avg(value).alias("__v"))
     row = F.struct(*[F.col(c) for c in left.columns]).alias("__row")
-    sides = left.select(F.col(key), F.col(at).alias("__t"), F.lit(0 if strict else 1).alias("__s"), row)
+    sides = left.select(F.col(key), F.unix_micros(at).alias("__t"), F.lit(0 if strict else 1).alias("__s"), row)
     marks = r.select(key, "__t", F.lit(1 if strict else 0).alias("__s"), "__v")
-    both = sides.unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("__t", "__s").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("__x", F.last("__v", ignorenulls=True).over(w)).where("__row is not null").select("__row.*", F.col("__x").alias(out))
+    placed = nearest(sides.where(F.col(key).isNotNull() & F.col("__t").isNotNull()).unionByName(marks, allowMissingColumns=True), [key], "__t", "__s", earlier={"__x": F.col("__v")}, width=SHARDS_OF * 60_000_000)
+    lost = sides.where(F.col(key).isNull() | F.col("__t").isNull()).select("__row", F.lit(None).cast(r.schema["__v"].dataType).alias("__x"))
+    return placed.where("__row is not null").select("__row", "__x").unionByName(lost).select("__row.*", F.col("__x").alias(out))
 
 
 def latest_before(left: DataFrame, right: DataFrame, key: str, at: str, right_at: str, values: Sequence[str], lookback_hours: float | None = None) -> DataFrame:
@@ -57,7 +59,15 @@ def lists_per_key(left: DataFrame, right: DataFrame, key: str, columns: Sequence
 
 
 def previous_stay(stays: DataFrame, entity: str, start: str, end: str) -> DataFrame:
-    """``stays`` with ``prior_end``: the latest end of an earlier stay of the entity that ended before this start."""
-    prior = stays.select(F.col(entity).alias("__e"), F.col(end).alias("__end")).where("__e is not null and __end is not null").distinct()
-    near = stays.join(prior, (F.col(entity) == F.col("__e")) & (F.col("__end") < F.col(start)), "left")
-    return near.groupBy(*stays.columns).agg(F.max("__end").alias("prior_end"))
+    """``stays`` with ``prior_end``: the latest end of a stay of the entity that ended before this start.
+
+    The ends of an entity are in order, so the latest one before a start is
+    the nearest.
+    """
+    ends = stays.where(F.col(entity).isNotNull() & F.col(end).isNotNull()).select(entity, F.unix_micros(end).alias("__t")).distinct()
+    row = F.struct(*[F.col(c) for c in stays.columns]).alias("__row")
+    asked = stays.select(entity, F.unix_micros(start).alias("__t"), F.lit(0).alias("__s"), row)
+    both = asked.where(F.col(entity).isNotNull() & F.col("__t").isNotNull()).unionByName(ends.withColumn("__s", F.lit(1)), allowMissingColumns=True)
+    found = nearest(both, [entity], "__t", "__s", earlier={"__x": F.when(F.col("__s") == 1, F.col("__t"))}, width=SHARDS_OF * 60_000_000 * 52).where("__s = 0")
+    lost = asked.where(F.col(entity).isNull() | F.col("__t").isNull()).select("__row", F.lit(None).cast("bigint").alias("__x"))
+    return found.select("__row", "__x").unionByName(lost).select("__row.*", F.timestamp_micros("__x").alias("prior_end"))

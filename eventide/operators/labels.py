@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventide.operators.windows import nearest
+
 
 def incident(stays: DataFrame, observations: DataFrame, key: str, *, anchor: str, end: str, at: str, value: str, tie: str, beyond: Callable[[Column], Column], lookback_hours: int, min_readings: int) -> DataFrame:
     """(key, status, after_min) of an outcome at each stay's anchor, in one aggregation per stay.
@@ -54,18 +56,18 @@ def at_anchors(anchors: DataFrame, readings: DataFrame, key: str, beyond: Column
     prevalent: the last minute up to the anchor has a reading beyond;
     positive: a strictly later minute (within the horizon) has one; negative:
     there are later readings; censored: there are none.  Both sides are
-    united and ordered once per entity, so anchors never multiply readings.
+    united in time shards, and an anchor looks up the nearest reading before
+    it and the nearest reading and hit after it, so anchors never multiply
+    readings.
     """
     minute = readings.where(F.col("minute").isNotNull()).groupBy(key, "minute").agg(F.max(F.coalesce(beyond, F.lit(False)).cast("int")).alias("hit"))
     both = minute.select(key, F.col("minute").alias("m"), F.lit(0).alias("side"), "hit").unionByName(
-        anchors.select(key, F.col("anchor_min").alias("m"), F.lit(1).alias("side")).distinct(), allowMissingColumns=True
+        anchors.where(F.col("anchor_min").isNotNull()).select(key, F.col("anchor_min").alias("m"), F.lit(1).alias("side")).distinct(), allowMissingColumns=True
     )
-    past = Window.partitionBy(key).orderBy("m", "side").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy("m").rangeBetween(1, horizon_min if horizon_min is not None else Window.unboundedFollowing)
-    seen = both.select(
-        key, "m", "side", F.last("hit", ignorenulls=True).over(past).alias("now"), F.min(F.when(F.col("hit") == 1, F.col("m"))).over(ahead).alias("next"), F.count("hit").over(ahead).alias("later")
-    )
-    status = F.when(F.col("now") == 1, "prevalent").when(F.col("next").isNotNull(), "positive").when(F.col("later") > 0, "negative").otherwise("censored")
+    read = F.col("side") == 0
+    seen = nearest(both, [key], "m", "side", earlier={"now": F.when(read, F.col("hit"))}, later={"next": F.when(read & (F.col("hit") == 1), F.col("m")), "later": F.when(read, F.col("m"))})
+    within = lambda c: F.coalesce(F.col(c).isNotNull() & (F.lit(True) if horizon_min is None else F.col(c) <= F.col("m") + horizon_min), F.lit(False))
+    status = F.when(F.col("now") == 1, "prevalent").when(within("next"), "positive").when(within("later"), "negative").otherwise("censored")
     return seen.where("side = 1").select(key, F.col("m").alias("anchor_min"), status.alias("status"), F.when(status == "positive", F.col("next") - F.col("m")).alias("after_min"))
 
 

@@ -8,32 +8,52 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventide.runtime import stage
 
-def _by(groups: Sequence[str]) -> list:
-    return list(groups) or [F.lit(0).alias("__all")]
+
+KNOTS = 64
+
+
+def _prefix(df: DataFrame, groups: Sequence[str], order: str, columns: Sequence[str], descending: bool = False) -> DataFrame:
+    """``df`` (one row per group and order value) with ``before_`` of each column: its sum over the rows of the group before.
+
+    The rows are cut at KNOTS quantiles of the order, so sums run within a cut
+    and the cuts' totals are carried: no task sees all rows of a group.
+    """
+    staged = stage(df)
+    knots = staged.agg(F.percentile_approx(order, [i / KNOTS for i in range(1, KNOTS)], 100 * KNOTS)).first()[0] or []
+    cut = F.size(F.filter(F.array(*[F.lit(k) for k in sorted(set(knots))]), lambda k: k < F.col(order))) if knots else F.lit(0)
+    rows = staged.withColumn("__cut", -cut if descending else cut)
+    by = [F.col(g) for g in groups]
+    totals = rows.groupBy(*groups, "__cut").agg(*[F.sum(c).alias(f"__t_{c}") for c in columns])
+    outer = Window.partitionBy(*by).orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1) if groups else Window.partitionBy(F.lit(0)).orderBy("__cut").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*groups, F.col("__cut").alias("__c"), *[F.coalesce(F.sum(f"__t_{c}").over(outer), F.lit(0.0)).alias(f"__t_{c}") for c in columns])
+    same = F.col("__cut") == F.col("__c")
+    for g in groups:
+        carried = carried.withColumnRenamed(g, f"__g_{g}")
+        same = same & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    inner = Window.partitionBy(*by, "__cut").orderBy(F.desc(order) if descending else F.col(order)).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(carried, same).select(*df.columns, *[(F.col(f"__t_{c}") + F.coalesce(F.sum(c).over(inner), F.lit(0.0))).alias(f"before_{c}") for c in columns])
 
 
 def _levels(df: DataFrame, groups: Sequence[str], p: str, y: str) -> DataFrame:
     """Distinct scores with outcome counts: what every rank statistic needs, one row per score."""
-    return df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*groups, F.col(p).alias("p")).agg(F.sum(y).cast("double").alias("pos"), F.count("*").cast("double").alias("n"))
+    return df.where(F.col(p).isNotNull() & ~F.isnan(p) & F.col(y).isNotNull()).groupBy(*groups, F.col(p).cast("double").alias("p")).agg(F.sum(y).cast("double").alias("pos"), (F.count("*") - F.sum(y)).cast("double").alias("neg"))
 
 
 def auroc(df: DataFrame, groups: Sequence[str] = (), p: str = "p", y: str = "y") -> DataFrame:
-    """(groups, n, n_pos, auroc) from average ranks; ties count half; null for one class."""
-    s = _levels(df, groups, p, y)
-    w = Window.partitionBy(*_by(groups)).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = s.withColumn("neg_below", F.coalesce(F.sum(F.col("n") - F.col("pos")).over(w), F.lit(0.0)))
-    wins = F.sum(F.col("pos") * (F.col("neg_below") + (F.col("n") - F.col("pos")) / 2))
-    out = ranked.groupBy(*groups).agg(F.sum("n").alias("n"), F.sum("pos").alias("n_pos"), wins.alias("u"))
+    """(groups, n, n_pos, auroc) from average ranks; ties count half; null for one class. Rows without a score or an outcome are left out."""
+    ranked = _prefix(_levels(df, groups, p, y), groups, "p", ["neg"])
+    wins = F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2))
+    out = ranked.groupBy(*groups).agg(F.sum(F.col("pos") + F.col("neg")).alias("n"), F.sum("pos").alias("n_pos"), wins.alias("u"))
     return out.select(*groups, F.col("n").cast("bigint").alias("n"), F.col("n_pos").cast("bigint").alias("n_pos"), F.try_divide(F.col("u"), F.col("n_pos") * (F.col("n") - F.col("n_pos"))).alias("auroc"))
 
 
 def average_precision(df: DataFrame, groups: Sequence[str] = (), p: str = "p", y: str = "y") -> DataFrame:
     """(groups, auprc): precision summed over steps of recall, high scores first."""
-    s = _levels(df, groups, p, y)
-    w = Window.partitionBy(*_by(groups)).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    cum = s.withColumn("tp", F.sum("pos").over(w)).withColumn("k", F.sum("n").over(w))
-    return cum.groupBy(*groups).agg(F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("k")), F.sum("pos")).alias("auprc"))
+    cum = _prefix(_levels(df, groups, p, y), groups, "p", ["pos", "neg"], descending=True)
+    hits, all_ = F.col("before_pos") + F.col("pos"), F.col("before_pos") + F.col("pos") + F.col("before_neg") + F.col("neg")
+    return cum.groupBy(*groups).agg(F.try_divide(F.sum(F.col("pos") * hits / all_), F.sum("pos")).alias("auprc"))
 
 
 def brier(p: Column, y: Column) -> Column:
@@ -58,40 +78,68 @@ def net_benefit(df: DataFrame, thresholds: Sequence[float], p: str = "p", y: str
     return sums.select(F.inline(rows))
 
 
-def logistic_recalibration(df: DataFrame, p: str = "p", y: str = "y", rounds: int = 25) -> tuple[float, float]:
-    """(intercept, slope) of the outcome on the score's logit, by Newton steps over aggregated 2 by 2 moments."""
-    x = F.log(F.col(p) / (1 - F.col(p)))
-    rows = df.where((F.col(p) > 0) & (F.col(p) < 1)).groupBy(x.alias("x")).agg(F.sum(y).cast("double").alias("k"), F.count("*").cast("double").alias("n"))
-    a, b = 0.0, 1.0
-    for _ in range(rounds):
+def logistic_recalibration(df: DataFrame, p: str = "p", y: str = "y", rounds: int = 50) -> tuple[float, float]:
+    """(intercept in the large, slope) of the outcome on the score's logit.
+
+    The slope is that of a joint fit; the intercept that of a fit with the
+    logit as offset.  Both by Newton steps over aggregated moments of the
+    distinct scores, staged once; scores of 0 and 1 are clipped.  Not a number
+    where a fit has no solution.
+    """
+    clipped = F.greatest(F.least(F.col(p).cast("double"), F.lit(1 - 1e-6)), F.lit(1e-6))
+    scored = df.where(F.col(p).isNotNull() & ~F.isnan(p) & F.col(y).isNotNull())
+    rows = stage(scored.groupBy(F.log(clipped / (1 - clipped)).alias("x")).agg(F.sum(y).cast("double").alias("k"), F.count("*").cast("double").alias("n")))
+
+    def moments(a: float, b: float) -> list[float]:
         m = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
         w, r = F.col("n") * m * (1 - m), F.col("k") - F.col("n") * m
-        s = rows.agg(F.sum(w).alias("w"), F.sum(w * F.col("x")).alias("wx"), F.sum(w * F.col("x") ** 2).alias("wxx"), F.sum(r).alias("r"), F.sum(r * F.col("x")).alias("rx")).first()
-        det = (s["w"] or 0) * (s["wxx"] or 0) - (s["wx"] or 0) ** 2
-        if not det or abs(det) < 1e-12:
+        return [v or 0.0 for v in rows.agg(F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("x") ** 2), F.sum(r), F.sum(r * F.col("x"))).first()]
+
+    a, b, large = 0.0, 1.0, 0.0
+    for _ in range(rounds):
+        w, wx, wxx, r, rx = moments(a, b)
+        det = w * wxx - wx**2
+        if abs(det) < 1e-12:
             return math.nan, math.nan
-        da, db = (s["wxx"] * s["r"] - s["wx"] * s["rx"]) / det, (s["w"] * s["rx"] - s["wx"] * s["r"]) / det
+        da, db = (wxx * r - wx * rx) / det, (w * rx - wx * r) / det
         a, b = a + da, b + db
         if abs(da) + abs(db) < 1e-10:
             break
-    return a, b
+    for _ in range(rounds):
+        w, _, _, r, _ = moments(large, 1.0)
+        if w < 1e-12:
+            return math.nan, b
+        large += r / w
+        if abs(r / w) < 1e-10:
+            break
+    return large, b
 
 
-def cumulative_incidence(df: DataFrame, time: str, cause: str, groups: Sequence[str] = (), weight: Column | None = None) -> DataFrame:
-    """(groups, time, survival, cif_1, cif_2): weighted Aalen-Johansen over the distinct times; cause 0 is censoring, 1 and 2 events."""
+def cumulative_incidence(df: DataFrame, time: str, cause: str, groups: Sequence[str] = (), weight: Column | None = None, causes: Sequence[int] = (1, 2), horizon: float | None = None) -> DataFrame:
+    """(groups, time, survival, cif_..): weighted Aalen-Johansen over the distinct times up to the horizon; cause 0 is censoring."""
     w = F.lit(1.0) if weight is None else weight
-    grid = df.where(F.col(time).isNotNull()).groupBy(*groups, time).agg(
-        F.sum(w).alias("n"), F.sum(F.when(F.col(cause) == 1, w).otherwise(0.0)).alias("d1"), F.sum(F.when(F.col(cause) == 2, w).otherwise(0.0)).alias("d2")
-    )
-    part = Window.partitionBy(*_by(groups)).orderBy(time)
-    risk = F.sum("n").over(part.rowsBetween(0, Window.unboundedFollowing))
-    g = grid.withColumn("risk", risk).withColumn("h", (F.col("d1") + F.col("d2")) / F.col("risk"))
-    log_left = F.sum(F.when(F.col("h") < 1, F.log1p(-F.col("h"))).otherwise(F.lit(-1e9))).over(part.rowsBetween(Window.unboundedPreceding, 0))
-    g = g.withColumn("survival", F.exp(log_left))
-    before = F.coalesce(F.lag("survival").over(part), F.lit(1.0))
-    g = g.withColumn("__s", before)
-    upto = part.rowsBetween(Window.unboundedPreceding, 0)
-    return g.select(*groups, time, "survival", *[F.sum(F.col("__s") * F.col(f"d{k}") / F.col("risk")).over(upto).alias(f"cif_{k}") for k in (1, 2)])
+    deaths = [F.sum(F.when(F.col(cause) == k, w).otherwise(0.0)).alias(f"d{k}") for k in causes]
+    grid = df.where(F.col(time).isNotNull()).groupBy(*groups, time).agg(F.sum(w).alias("n"), *deaths)
+    total = grid.groupBy(*groups).agg(F.sum("n").alias("__all"))
+    g = _prefix(grid, groups, time, ["n"])
+    if groups:
+        same = None
+        for c in groups:
+            total = total.withColumnRenamed(c, f"__g_{c}")
+            one = F.col(c).eqNullSafe(F.col(f"__g_{c}"))
+            same = one if same is None else same & one
+        g = g.join(total, same)
+    else:
+        g = g.withColumn("__all", F.lit(total.first()["__all"] or 0.0))
+    g = g.withColumn("risk", F.col("__all") - F.col("before_n"))
+    h = sum((F.col(f"d{k}") for k in causes), F.lit(0.0)) / F.col("risk")
+    g = g.withColumn("log", F.when(h < 1 - 1e-12, F.log1p(-h)).otherwise(F.lit(-1e9))).select(*groups, time, "risk", "log", *[f"d{k}" for k in causes])
+    g = _prefix(g, groups, time, ["log"])
+    steps = [(F.exp("before_log") * F.col(f"d{k}") / F.col("risk")).alias(f"c{k}") for k in causes]
+    g = g.select(*groups, time, F.exp(F.col("before_log") + F.col("log")).alias("survival"), *steps)
+    g = _prefix(g, groups, time, [f"c{k}" for k in causes])
+    out = g.select(*groups, time, "survival", *[(F.col(f"before_c{k}") + F.col(f"c{k}")).alias(f"cif_{k}") for k in causes])
+    return out if horizon is None else out.where(F.col(time) <= horizon)
 
 
 def ipw(propensity: Column, treated: Column, clip: float = 0.01) -> Column:
@@ -123,12 +171,12 @@ def balance(df: DataFrame, covariates: Sequence[str], treated: str, weight: Colu
 
 def divergence(a: DataFrame, b: DataFrame, item: str, n: str = "n") -> DataFrame:
     """(js, only_b): Jensen-Shannon divergence in bits of two count tables and the part of ``b`` that ``a`` never shows."""
+    sums = [d.agg(F.sum(F.col(n).cast("double"))).first()[0] or 0.0 for d in (a, b)]
     both = a.select(item, F.col(n).cast("double").alias("x")).join(b.select(item, F.col(n).cast("double").alias("y")), item, "full")
-    total = both.select("*", F.sum("x").over(Window.partitionBy()).alias("sx"), F.sum("y").over(Window.partitionBy()).alias("sy"))
-    p, q = F.coalesce(F.col("x") / F.col("sx"), F.lit(0.0)), F.coalesce(F.col("y") / F.col("sy"), F.lit(0.0))
+    p, q = (F.coalesce(F.try_divide(F.col(c), F.lit(t)), F.lit(0.0)) for c, t in zip("xy", sums))
     m = (p + q) / 2
     term = F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) / 2 + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0) / 2
-    return total.agg(F.sum(term).alias("js"), F.sum(F.when(p == 0, q).otherwise(0.0)).alias("only_b"))
+    return both.agg(F.sum(term).alias("js"), F.sum(F.when(p == 0, q).otherwise(0.0)).alias("only_b"))
 
 
 def top_overlap(a: DataFrame, b: DataFrame, item: str, k: int, n: str = "n") -> DataFrame:

@@ -1,4 +1,10 @@
-"""Runs, episodes, trailing minima, sustained crossings."""
+"""Runs, episodes, trailing minima, sustained crossings.
+
+What looks along the time of a key (the nearest earlier or later value, minima
+of a trailing window) is done in time shards: each shard is ordered by itself
+and gets from the shards beside it one carried value, so a key with a third of
+all rows is many tasks, and every frame is a running one, linear in its rows.
+"""
 
 from __future__ import annotations
 
@@ -32,13 +38,60 @@ def after_first(df: DataFrame, key: Sequence[str], order: Sequence[str], event:
     return df.withColumn(out, F.sum(event.cast("int")).over(w) > 0)
 
 
+SHARDS_OF = 7 * 1440  # minutes
+
+
+def nearest(df: DataFrame, key: Sequence[str], at: str, rank: str, *, earlier: dict[str, Column] | None = None, later: dict[str, Column] | None = None, width: int = SHARDS_OF) -> DataFrame:
+    """``df`` with, per name, the last value that is not null at or before the row (``earlier``), or the first after it (``later``), in the order of (at, rank).
+
+    A row sees itself among the earlier ones; where rows can share their place
+    and rank, either may come first.  ``at`` is an integer.
+    """
+    earlier, later = earlier or {}, later or {}
+    rows = df.withColumns({f"__{n}": c for n, c in {**earlier, **later}.items()}).withColumn("__shard", F.floor(F.col(at) / width))
+    shard = [*key, "__shard"]
+    place = F.struct(F.col(at), F.col(rank))
+    ends = [F.max_by(f"__{n}", F.when(F.col(f"__{n}").isNotNull(), place)).alias(f"__{n}") for n in earlier] + [F.min_by(f"__{n}", F.when(F.col(f"__{n}").isNotNull(), place)).alias(f"__{n}") for n in later]
+    outer = Window.partitionBy(*key)
+    before = outer.orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
+    after = outer.orderBy(F.desc("__shard")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy(*shard).agg(*ends).select(
+        *shard, *[F.last(f"__{n}", ignorenulls=True).over(before).alias(f"__c_{n}") for n in earlier], *[F.last(f"__{n}", ignorenulls=True).over(after).alias(f"__c_{n}") for n in later]
+    )
+    inner = Window.partitionBy(*shard)
+    up = inner.orderBy(at, rank).rowsBetween(Window.unboundedPreceding, 0)
+    down = inner.orderBy(F.desc(at), F.desc(rank)).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(carry, shard, "left")
+    found = {n: F.coalesce(F.last(f"__{n}", ignorenulls=True).over(up), f"__c_{n}") for n in earlier} | {n: F.coalesce(F.last(f"__{n}", ignorenulls=True).over(down), f"__c_{n}") for n in later}
+    return joined.select(*df.columns, *[c.alias(n) for n, c in found.items()])
+
+
+def _least_before(df: DataFrame, key: Sequence[str], minute: str, value: str, span: int, out: str) -> DataFrame:
+    """``df`` with the least value from ``span`` minutes before a row to one minute before it.
+
+    Time is cut into blocks of the span, so the window is the end of one block
+    and the start of the next: the row asks both for a running minimum.
+    """
+    block = lambda m: F.floor(m / span)
+    row = F.struct(*[F.col(c) for c in df.columns])
+    m, kind = F.col(minute), df.schema[value].dataType
+    readings = df.where(m.isNotNull()).select(*key, block(m).alias("__b"), m.alias("__m"), F.lit(0).alias("__ask"), F.col(value).alias("__v"), F.lit(None).cast(df.select(row.alias("r")).schema["r"].dataType).alias("__row"))
+    # from its own place backwards in its block, and from the window's start onwards in the block before
+    ask = lambda at, n: df.select(*key, block(at).alias("__b"), at.alias("__m"), F.lit(n).alias("__ask"), F.lit(None).cast(kind).alias("__v"), row.alias("__row"))
+    both = readings.unionByName(ask(m, 1)).unionByName(ask(m - span, 2))
+    w = Window.partitionBy(*key, "__b")
+    past = w.orderBy(F.col("__m"), F.desc("__ask")).rowsBetween(Window.unboundedPreceding, 0)
+    rest = w.orderBy(F.desc("__m"), F.col("__ask")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("__low", F.when(F.col("__ask") == 1, F.min("__v").over(past)).otherwise(F.min("__v").over(rest))).where("__ask > 0")
+    return seen.groupBy("__row").agg(F.min("__low").alias("__low"), (F.count("*") / 2).cast("int").alias("__n")).select("__row.*", F.col("__low").alias(out), F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__i")).drop("__i")
+
+
 def trailing_rise(df: DataFrame, key: Sequence[str], minute: str, value: str, *, absolute: float, absolute_minutes: int, relative: float, relative_minutes: int, out: str = "risen") -> DataFrame:
     """Flags values that rose by ``absolute`` over the least value of the last window, or to ``relative`` times that of the longer one; windows end a minute before."""
-    w = Window.partitionBy(*key).orderBy(minute)
-    low = lambda span: F.min(value).over(w.rangeBetween(-span, -1))
-    rise = F.coalesce(F.col(value) - low(absolute_minutes) >= absolute - 1e-9, F.lit(False))
-    ratio = F.coalesce(F.col(value) >= low(relative_minutes) * relative - 1e-9, F.lit(False))
-    return df.withColumn(out, rise | ratio)
+    low = _least_before(_least_before(df, key, minute, value, absolute_minutes, "__a"), key, minute, value, relative_minutes, "__r")
+    rise = F.coalesce(F.col(value) - F.col("__a") >= absolute - 1e-9, F.lit(False))
+    ratio = F.coalesce(F.col(value) >= F.col("__r") * relative - 1e-9, F.lit(False))
+    return low.withColumn(out, rise | ratio).drop("__a", "__r")
 
 
 def sustained(df: DataFrame, key: Sequence[str], minute: str, beyond: Column, *, readings: int, within: int) -> DataFrame:
@@ -70,5 +123,8 @@ def latest_rows(df: DataFrame, key: Sequence[str], at: str) -> DataFrame:
 
 def future_first(df: DataFrame, key: Sequence[str], minute: str, hit: Column) -> DataFrame:
     """Rows with ``next_hit_min``: the first later minute of the key at which ``hit`` holds (strictly later), else null."""
-    w = Window.partitionBy(*key).orderBy(minute).rangeBetween(1, Window.unboundedFollowing)
-    return df.withColumn("next_hit_min", F.min(F.when(hit, F.col(minute))).over(w))
+    hits = df.where(hit & F.col(minute).isNotNull()).select(*key, minute).distinct()
+    row = F.struct(*[F.col(c) for c in df.columns])
+    both = df.select(*key, F.col(minute), F.lit(1).alias("__side"), row.alias("__row")).unionByName(hits.withColumn("__side", F.lit(0)), allowMissingColumns=True)
+    found = nearest(both, key, minute, "__side", later={"next_hit_min": F.when(F.col("__side") == 0, F.col(minute))})
+    return found.where("__side = 1").select("__row.*", "next_hit_min")

@@ -23,11 +23,11 @@ def test_every_discharge_has_a_row(spark, tmp_path):
     for h, s, wall in rows[:-1]:
         utc = wall.replace(tzinfo=ZoneInfo(ZONES[s]), fold=0).astimezone(dt.UTC)
         want[h] = int(utc.timestamp()) * 1_000_000 if utc.astimezone(ZoneInfo(ZONES[s])).replace(tzinfo=None) == wall else None
-    got = catalog.queries()["prj_12_to_utc_all"](spark, str(tmp_path)).collect()
+    got = catalog.queries()["prj_12_to_utc"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {r.hospitalization_id: r.utc_us for r in got} == want
     con = duckdb.connect()
     con.execute("set TimeZone='UTC'")
     for t in ("hospitalization", "hospital_sites"):
         con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet')")
-    sql = con.execute("select hospitalization_id, utc_us from (" + catalog.oracle_sql()["prj_12_to_utc_all"] + ")").fetchall()
+    sql = con.execute("select hospitalization_id, utc_us from (" + catalog.oracle_sql()["prj_12_to_utc"] + ")").fetchall()
     assert len(sql) == len(want) and dict(sql) == want
