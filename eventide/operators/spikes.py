@@ -127,13 +127,14 @@ def _seasons(rows: DataFrame, spreads: DataFrame) -> DataFrame:
     """``spreads`` with ``season``: per hour of the day, in scales, what the series is off its course on average, outliers clipped."""
     off = (F.col("a") + F.col("b")) / 2 / F.col("scale")
     hours = rows.where("a is not null and b is not null").join(spreads, _KEY).groupBy(*_KEY, "hour").agg(F.sum(F.greatest(F.least(off, F.lit(2.0)), F.lit(-2.0))).alias("s"), F.count("*").alias("k"))
-    season = hours.groupBy(*_KEY).agg(F.map_from_entries(F.collect_list(F.struct("hour", (F.col("s") / (F.col("k") + SEASON_SHRINK)).alias("s")))).alias("season"))
-    return spreads.join(season, _KEY, "left")
+    season = hours.groupBy(*_KEY).agg(F.map_from_entries(F.collect_list(F.struct("hour", (F.col("s") / (F.col("k") + SEASON_SHRINK)).alias("s")))).alias("m"))
+    by_hour = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.coalesce(F.element_at("m", h), F.lit(0.0)))
+    return spreads.join(season.select(*_KEY, by_hour.alias("season")), _KEY, "left")
 
 
 def _residual() -> Column:
     """Signed distances to both courses less the season: the lesser one where they agree in sign, else 0; in scales."""
-    s = F.coalesce(F.element_at("season", F.col("hour")), F.lit(0.0))
+    s = F.coalesce(F.get("season", F.col("hour")), F.lit(0.0))
     a, b = F.col("a") / F.col("scale") - s, F.col("b") / F.col("scale") - s
     return F.when(a * b > 0, F.least(F.abs(a), F.abs(b))).otherwise(0.0)
 
