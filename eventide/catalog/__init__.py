@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from eventide.catalog import artifacts, evidence, relational, sequences, statistics
+from eventide.catalog import artifacts, evidence, relational, segments, sequences, statistics
 from eventide.catalog.registry import ORACLES, QUERIES
 
-__all__ = ["artifacts", "evidence", "oracle_sql", "queries", "relational", "sequences", "statistics"]
+__all__ = ["artifacts", "evidence", "oracle_sql", "queries", "relational", "segments", "sequences", "statistics"]
 
 
 def queries() -> dict:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventide.catalog.registry import query
-from eventide.catalog.sequences import _MIN, _TOKENS, _VOCAB, _creatinine, _tokens
+from eventide.catalog.segments import stats_sql
+from eventide.catalog.sequences import _MIN, _TOKENS, _VOCAB, _creatinine, _tokens, _vocab
 from eventide.functions import numbers as N
 from eventide.functions import text as T
 from eventide.operators import bins, encode, joins, labels, windows
@@ -86,12 +87,6 @@ def join_12(spark: SparkSession, d: str) -> DataFrame:
     return extra.join(known, "hospitalization_id", "left").na.fill(False, ["found"])
 
 
-@query("agg_11_matched_edges")
-def agg_11(spark: SparkSession, d: str) -> DataFrame:
-    """Edges filled up where ties leave too few (no SQL: farthest-point selection)."""
-    return bins.matched_edges(read(spark, d, "patient_assessments").select("assessment_category", F.col("numerical_value").alias("x")), "assessment_category", "x", 9)
-
-
 @query(
     "bin_04_binning_source",
     """WITH v AS (SELECT lab_category AS concept, lab_value_numeric AS x FROM labs WHERE lab_value_numeric IS NOT NULL AND NOT isnan(lab_value_numeric) UNION ALL SELECT assessment_category, numerical_value FROM patient_assessments WHERE numerical_value IS NOT NULL)
@@ -113,12 +108,13 @@ def bin_09(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "enc_04_value_channel",
-    f"""WITH {_TOKENS}, s AS (SELECT split_part(token, '=', 1) AS c, CAST(split_part(token, '=', 2) AS DOUBLE) AS v, h, tm, i FROM t), m AS (SELECT c, quantile_cont(v, 0.5) AS md, (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.349 AS sp FROM s GROUP BY 1)
-        SELECT h, string_agg(s.c, ',' ORDER BY tm, i) AS tokens, round(sum(CASE WHEN sp > 0 AND abs((v - md) / sp) <= 5 THEN (v - md) / sp ELSE 0 END), 5) AS z_sum FROM s JOIN m ON m.c = s.c GROUP BY 1""",
+    f"""WITH s AS (SELECT assessment_category AS c, numerical_value AS v, hospitalization_id AS h, recorded_dttm AS tm, assessment_id AS i FROM patient_assessments WHERE hospitalization_id IS NOT NULL AND recorded_dttm IS NOT NULL AND numerical_value IS NOT NULL AND NOT isnan(numerical_value)), m AS {stats_sql('s', 'c', 'v')}
+        SELECT h, string_agg(s.c, ',' ORDER BY tm, i) AS tokens, round(sum(CASE WHEN abs((v - center) / spread) <= 5 THEN (v - center) / spread ELSE 0 END), 5) AS z_sum FROM s JOIN m ON m.c = s.c GROUP BY 1""",
 )
 def enc_04(spark: SparkSession, d: str) -> DataFrame:
     """Tokens without their bins, beside a channel of normalised values."""
-    t = _tokens(spark, d).select("h", "at", "i", F.split_part("token", F.lit("="), F.lit(1)).alias("c"), F.split_part("token", F.lit("="), F.lit(2)).cast("double").alias("v"))
+    rows = read(spark, d, "patient_assessments").where("hospitalization_id is not null and recorded_dttm is not null").where(N.finite(F.col("numerical_value")))
+    t = rows.select(F.col("hospitalization_id").alias("h"), F.col("recorded_dttm").alias("at"), F.col("assessment_id").alias("i"), F.col("assessment_category").alias("c"), F.col("numerical_value").alias("v"))
     stats = bins.robust_stats(t, "c", "v")
     z = t.join(stats, "c").withColumn("z", F.coalesce(N.z_score(F.col("v"), F.col("center"), F.col("spread"), 5), F.lit(0.0)))
     packed = z.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("at", "i", "c", "z"))).alias("a"))
@@ -244,5 +240,5 @@ def cfg_04(spark: SparkSession, d: str) -> DataFrame:
 @query("enc_03_prompt_at_anchor", f"WITH {_TOKENS}, {_VOCAB}, f AS (SELECT h, min(tm) AS a FROM t GROUP BY 1) SELECT h, COUNT(*) FILTER (epoch_us(tm) // 60000000 <= epoch_us(a) // 60000000 + 720) AS prompt, COUNT(*) AS whole FROM t JOIN f USING (h) GROUP BY 1")
 def enc_03_prompt(spark: SparkSession, d: str) -> DataFrame:
     t = _tokens(spark, d).withColumn("at_min", F.expr("unix_micros(at) div 60000000"))
-    s = encode.encode(t, encode.vocabulary(t, "token", "h", 3), "h", ["at", "i"], ["at_min"]).withColumn("whole", F.size("token").cast("bigint"))
+    s = encode.encode(t, _vocab(t), "h", ["at", "i"], ["at_min"]).withColumn("whole", F.size("token").cast("bigint"))
     return encode.cut_at(s, ["token"], "at_min", F.array_min("at_min") + 720).select("h", F.size("token").cast("bigint").alias("prompt"), "whole")

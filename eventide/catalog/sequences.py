@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventide.catalog.registry import query
+from eventide.catalog.segments import CATEGORY, NAMED
 from eventide.functions import numbers as N
 from eventide.functions import text as T
 from eventide.operators import bins, encode, intervals, labels, windows
@@ -168,16 +169,6 @@ def agg_10(spark: SparkSession, d: str) -> DataFrame:
     return edges.select("lab_category", F.explode("edges").alias("edge"))
 
 
-@query(
-    "agg_12_robust_stats",
-    """SELECT lab_category, COUNT(*) AS n, round(quantile_cont(x, 0.5), 6) AS center, round(CASE WHEN quantile_cont(x, 0.75) > quantile_cont(x, 0.25) THEN (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.349 ELSE stddev_pop(x) END, 6) AS spread
-       FROM (SELECT lab_category, lab_value_numeric AS x FROM labs WHERE lab_value_numeric IS NOT NULL AND NOT isnan(lab_value_numeric)) GROUP BY 1""",
-)
-def agg_12(spark: SparkSession, d: str) -> DataFrame:
-    s = bins.robust_stats(read(spark, d, "labs").select("lab_category", F.col("lab_value_numeric").alias("x")), "lab_category", "x")
-    return s.select("lab_category", "n", F.round("center", 6).alias("center"), F.round("spread", 6).alias("spread"))
-
-
 @query(
     "bin_03_binned_by_edges",
     f"""WITH {_RANKED}, e AS (SELECT DISTINCT c, x FROM r, (SELECT unnest(range(1, 5)) AS k) WHERE i = floor((n - 1) * k / 5.0 + 0.5))
@@ -189,34 +180,26 @@ def bin_03(spark: SparkSession, d: str) -> DataFrame:
     return labs.join(segments, "lab_category").select("lab_id", bins.bin_index(F.col("x"), F.col("s")).alias("bin"))
 
 
-@query(
-    "bin_06_soft_bins",
-    """WITH b AS (SELECT p_partkey, p_size % 5 AS h FROM part), j AS (SELECT p_partkey, h, unnest([-1, 0, 1]) AS o FROM b), w AS (SELECT *, CASE WHEN h + o BETWEEN 0 AND 4 THEN exp(-0.5 * pow(o / 0.5, 2)) ELSE 0 END AS r FROM j)
-       SELECT p_partkey, CASE WHEN h + o BETWEEN 0 AND 4 THEN h + o ELSE h END AS bin, o AS slot, round(r / sum(r) OVER (PARTITION BY p_partkey), 9) AS weight FROM w""",
-)
-def bin_06(spark: SparkSession, d: str) -> DataFrame:
-    h = F.col("p_size") % 5
-    soft = bins.soft_bins(h, h.cast("double"), F.lit(5), 1)
-    return read(spark, d, "part").select("p_partkey", F.posexplode(soft).alias("i", "x")).select("p_partkey", "x.bin", (F.col("i") - 1).alias("slot"), F.round("x.weight", 9).alias("weight"))
-
-
-_TOKENS = "t AS (SELECT hospitalization_id AS h, recorded_dttm AS tm, assessment_id AS i, assessment_category || '=' || CAST(CAST(numerical_value AS INTEGER) AS VARCHAR) AS token FROM patient_assessments WHERE hospitalization_id IS NOT NULL AND recorded_dttm IS NOT NULL AND numerical_value IS NOT NULL AND NOT isnan(numerical_value))"
-_VOCAB = "v AS (SELECT token, row_number() OVER (ORDER BY token) + 3 AS id FROM (SELECT token FROM t GROUP BY 1 HAVING COUNT(DISTINCT h) >= 3))"
+_TOKENS = f"""a AS (SELECT h, tm, i, x IS NULL OR isnan(x) AS held, CASE WHEN x IS NULL OR isnan(x) THEN {NAMED} ELSE c || '=' || CAST(CAST(x AS INTEGER) AS VARCHAR) END AS token FROM {CATEGORY} WHERE h IS NOT NULL AND tm IS NOT NULL),
+       t AS (SELECT * FROM a WHERE token IS NOT NULL)"""
+_VOCAB = "v AS (SELECT token, row_number() OVER (ORDER BY token) + 3 AS id FROM (SELECT token FROM t GROUP BY 1 HAVING COUNT(DISTINCT h) >= 3 OR NOT bool_and(held)))"
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "patient_assessments").where("hospitalization_id is not null and recorded_dttm is not null").where(N.finite(F.col("numerical_value")))
-    return rows.select(F.col("hospitalization_id").alias("h"), F.col("recorded_dttm").alias("at"), F.col("assessment_id").alias("i"), F.concat("assessment_category", F.lit("="), F.round("numerical_value").cast("int").cast("string")).alias("token"))
+    """One token per assessment of a stay: its whole number, else its category; ``held``: only kept if seen in several stays."""
+    rows = read(spark, d, "patient_assessments").where("hospitalization_id is not null and recorded_dttm is not null")
+    number = F.coalesce(N.finite(F.col("numerical_value")), F.lit(False))
+    token = F.when(number, F.concat("assessment_category", F.lit("="), F.round("numerical_value").cast("int").cast("string"))).otherwise(T.categorical_token(F.col("assessment_category"), F.col("categorical_value")))
+    return rows.select(F.col("hospitalization_id").alias("h"), F.col("recorded_dttm").alias("at"), F.col("assessment_id").alias("i"), (~number).alias("held"), token.alias("token")).where("token is not null")
 
 
-@query("bin_08_vocabulary", f"WITH {_TOKENS}, {_VOCAB} SELECT token, id FROM v")
-def bin_08(spark: SparkSession, d: str) -> DataFrame:
-    return encode.vocabulary(_tokens(spark, d), "token", "h", 3)
+def _vocab(tokens: DataFrame) -> DataFrame:
+    return encode.vocabulary(tokens, "token", "h", 3, F.col("held"))
 
 
 def _sequences(spark: SparkSession, d: str) -> DataFrame:
     t = _tokens(spark, d).withColumn("at_min", F.expr("unix_micros(at) div 60000000"))
-    return encode.encode(t, encode.vocabulary(t, "token", "h", 3), "h", ["at", "i"], ["at_min"])
+    return encode.encode(t, _vocab(t), "h", ["at", "i"], ["at_min"])
 
 
 @query(
@@ -232,11 +215,11 @@ def enc_01(spark: SparkSession, d: str) -> DataFrame:
     "enc_02_framed_windows",
     f"""WITH {_TOKENS}, {_VOCAB}, s AS (SELECT h, list_concat(list_concat([1], list(coalesce(v.id, 3) ORDER BY tm, i)), [2]) AS a FROM t LEFT JOIN v ON v.token = t.token GROUP BY 1),
         w AS (SELECT h, a, unnest(range(0, len(a), 8)) AS st FROM s)
-        SELECT h, CAST(st // 8 AS INTEGER) AS continuation_index, CAST(st AS INTEGER) AS source_start, CAST(least(st + 8, len(a)) AS INTEGER) AS source_end, st > 0 AS continues_from_previous, st + 8 < len(a) AS continues_to_next, array_to_string(a[st + 1 : st + 8], ',') AS ids FROM w""",
+        SELECT h, CAST(st // 8 AS INTEGER) AS continuation_index, CAST(st AS INTEGER) AS source_start, CAST(least(st + 8, len(a)) AS INTEGER) AS source_end, CAST(ceil(len(a) / 8.0) AS INTEGER) AS n_windows, st > 0 AS continues_from_previous, st + 8 < len(a) AS continues_to_next, array_to_string(a[st + 1 : st + 8], ',') AS ids FROM w""",
 )
 def enc_02(spark: SparkSession, d: str) -> DataFrame:
     t = _tokens(spark, d)
-    w = encode.encode_windows(t, encode.vocabulary(t, "token", "h", 3), "h", ["at", "i"], [], 8, framed=True)
+    w = encode.encode_windows(t, _vocab(t), "h", ["at", "i"], [], 8, framed=True)
     return w.withColumn("ids", F.array_join(F.transform("token", lambda x: x.cast("string")), ",")).drop("token")
 
 

@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventide.functions.numbers import finite
+from eventide.functions.text import bin_token
+from eventide.operators.bins import bin_index, soft_bins
+
 SPECIALS = ("<pad>", "<bos>", "<eos>", "<unk>")
 
 
@@ -15,15 +19,71 @@ def total_order(*columns: str) -> Column:
     return F.struct(*[x for c in columns for x in (F.col(c).isNull().alias(f"{c}_null"), F.col(c).alias(c))])
 
 
-def vocabulary(tokens: DataFrame, token: str, entity: str, floor: int = 1) -> DataFrame:
-    """(token, id): tokens seen in at least ``floor`` entities, in order of name, after the specials.
+def vocabulary(tokens: DataFrame, token: str, entity: str, floor: int = 1, floored: Column | None = None) -> DataFrame:
+    """(token, id): tokens in order of name, after the specials; those ``floored`` (all, if not given) only if seen in at least ``floor`` entities.
 
     The numbering runs over the distinct tokens only.
     """
-    kept = tokens.where(F.col(token).isNotNull()).groupBy(token).agg(F.count_distinct(entity).alias("n")).where(F.col("n") >= floor)
+    held = F.lit(True) if floored is None else floored
+    seen = tokens.where(F.col(token).isNotNull()).groupBy(token).agg(F.count_distinct(entity).alias("n"), F.bool_and(held).alias("__held"))
+    kept = seen.where((F.col("n") >= floor) | ~F.col("__held"))
     return kept.select(F.col(token).alias("token"), (F.row_number().over(Window.orderBy(token)) + len(SPECIALS) - 1).cast("bigint").alias("id"))
 
 
+def segment_vocabulary(events: DataFrame, segments: DataFrame, entity: str, floor: int, fixed: Sequence[str] = ()) -> DataFrame:
+    """(token, id) of the fitting ``events`` (concept, cat_token, entity) and ``segments`` (concept, segments).
+
+    After the specials and the fixed tokens, concept by concept in order of
+    name: one token for every segment, seen or not, or the bare concept where
+    it has none, then its category tokens seen in at least ``floor`` entities.
+    """
+    binned = segments.select("concept", F.size("segments").alias("bins"))
+    known = events.where("concept is not null").select("concept").distinct().join(binned, "concept", "full")
+    numbers = F.when(F.col("bins") > 0, F.transform(F.sequence(F.lit(0), F.col("bins") - 1), lambda i: F.struct(i.alias("bin"), bin_token(F.col("concept"), i).alias("token"))))
+    bare = F.array(F.struct(F.lit(0).alias("bin"), F.col("concept").alias("token")))
+    own = known.select("concept", F.lit(0).alias("kind"), F.inline(F.coalesce(numbers, bare)))
+    categories = events.where("cat_token is not null and concept is not null").groupBy("concept", F.col("cat_token").alias("token")).agg(F.count_distinct(entity).alias("n")).where(F.col("n") >= floor)
+    every = own.unionByName(categories.select("concept", F.lit(1).alias("kind"), F.lit(0).alias("bin"), "token"))
+    place = F.struct("concept", "kind", "bin")
+    one = every.groupBy("token").agg(F.min(place).alias("place"))
+    first = len(SPECIALS) + len(fixed)
+    named = one.select("token", (F.row_number().over(Window.orderBy("place", "token")) + first - 1).cast("bigint").alias("id"))
+    if not fixed:
+        return named
+    return events.sparkSession.createDataFrame([(t, len(SPECIALS) + i) for i, t in enumerate(fixed)], "token string, id bigint").unionByName(named)
+
+
+def encode_events(events: DataFrame, segments: DataFrame, vocab: DataFrame, kernel: int) -> DataFrame:
+    """``events`` (concept, value, cat_token, ..) with id, soft_token and soft_weight of 2 * kernel + 1 slots, bin, and value null where it stands for nothing.
+
+    A finite value of a binned concept takes its segment's token, softly those
+    around it; other rows take their category token, else the bare concept.
+    What the vocabulary lacks is <unk>.  Rows of a binned concept with neither
+    are dropped.
+    """
+    unk = F.lit(SPECIALS.index("<unk>")).cast("bigint")
+    firsts = segments.withColumn("__t", bin_token(F.col("concept"), F.lit(0))).join(vocab.select(F.col("token").alias("__t"), F.col("id").alias("__first")), "__t", "left").drop("__t")
+    placed = events.join(firsts.select("concept", "segments", "__first"), "concept", "left")
+    number = finite(F.col("value"))
+    binned = F.coalesce(F.size("segments") > 0, F.lit(False))
+    placed = placed.withColumn("bin", F.when(number & binned, bin_index(F.col("value"), F.col("segments"))))
+    text = F.when(F.col("bin").isNull(), F.when(~F.coalesce(number, F.lit(False)) & F.col("cat_token").isNotNull(), F.col("cat_token")).when(~binned, F.col("concept")))
+    named = placed.withColumn("__text", text).where(F.col("bin").isNotNull() | F.col("__text").isNotNull())
+    coded = named.join(vocab.select(F.col("token").alias("__text"), F.col("id").alias("__id")), "__text", "left")
+    coded = coded.withColumn("id", F.when(F.col("bin").isNotNull(), F.coalesce(F.col("__first") + F.col("bin"), unk)).otherwise(F.coalesce("__id", unk)))
+    width = 2 * kernel + 1
+    soft = soft_bins(F.col("value"), F.col("bin"), F.col("segments"), kernel)
+    spread = F.col("bin").isNotNull() & F.col("__first").isNotNull()
+    hard = F.array(F.lit(1.0), *[F.lit(0.0)] * (width - 1))
+    return (
+        coded.withColumn("__soft", F.when(spread, soft))
+        .withColumn("soft_token", F.when(spread, F.transform("__soft", lambda x: F.col("__first") + x["bin"])).otherwise(F.array_repeat("id", width)))
+        .withColumn("soft_weight", F.when(spread, F.transform("__soft", lambda x: x["weight"])).otherwise(hard))
+        .withColumn("value", F.when((F.col("id") != unk) & number, F.col("value")))
+        .drop("segments", "__first", "__text", "__id", "__soft")
+    )
+
+
 def encode(events: DataFrame, vocab: DataFrame, entity: str, order: Sequence[str], payload: Sequence[str]) -> DataFrame:
     """One row per entity: parallel arrays ``token`` and the payload columns in the total order; tokens outside the vocabulary become <unk>."""
     known = events.join(vocab.withColumnRenamed("token", "__token"), events["token"] == F.col("__token"), "left")
@@ -32,27 +92,65 @@ def encode(events: DataFrame, vocab: DataFrame, entity: str, order: Sequence[str
     return packed.select(entity, F.col("a.token_id").alias("token"), *[F.col(f"a.{c}").alias(c) for c in payload], F.size("a").cast("bigint").alias("n_events"))
 
 
-def encode_windows(events: DataFrame, vocab: DataFrame, entity: str, order: Sequence[str], payload: Sequence[str], width: int, framed: bool = False) -> DataFrame:
-    """Windows of at most ``width`` tokens of each entity, ``framed`` between <bos> and <eos>, without ever building a whole sequence.
+def _numbered(body: DataFrame, by: str, at: Column, order: Sequence[Column | str]) -> DataFrame:
+    """``body`` with ``__i``, the place of a row in its entity from 0, and ``__n``, the rows of the entity.
 
-    Events are numbered in their total order (a sort that spills), and only
-    the events of one window are collected, so an entity with a third of all
-    events gives many bounded rows.  Payload columns are null at the frame.
+    ``at`` sorts no later than ``order`` does; rows are numbered within a time
+    shard and start from the counts of the shards before, so no task orders a
+    whole entity.
     """
-    known = events.join(vocab.withColumnRenamed("token", "__token"), events["token"] == F.col("__token"), "left")
-    body = known.select(F.col(entity).alias("__e"), F.lit(0).alias("__r"), total_order(*order).alias("__o"), F.coalesce("id", F.lit(SPECIALS.index("<unk>")).cast("bigint")).alias("token"), *payload)
-    if framed:
-        ends = F.explode(F.array(F.struct(F.lit(-1).alias("r"), F.lit(1).cast("bigint").alias("t")), F.struct(F.lit(1).alias("r"), F.lit(2).cast("bigint").alias("t")))).alias("x")
+    rows = body.withColumn("__shard", at)
+    counts = rows.groupBy(by, "__shard").agg(F.count("*").alias("__k"))
+    whole = Window.partitionBy(by)
+    ahead = whole.orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(by, "__shard", F.coalesce(F.sum("__k").over(ahead), F.lit(0)).alias("__start"), F.sum("__k").over(whole).alias("__n"))
+    joined = rows.join(starts, [by, "__shard"])
+    return joined.withColumn("__i", F.col("__start") + F.row_number().over(Window.partitionBy(by, "__shard").orderBy(*order)) - 1).drop("__shard", "__start")
+
+
+def _shard_of(df: DataFrame, column: str) -> Column:
+    """Week of a time, or block of a number; nulls come last."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind.startswith("timestamp"):
+        c = F.col(column).cast("timestamp")
+        number = F.unix_micros(c) / (7 * 86_400_000_000)
+    else:
+        number = F.col(column).cast("double") / 10_080
+    return F.coalesce(F.floor(number).cast("bigint"), F.lit(1 << 60))
+
+
+def encode_windows(
+    events: DataFrame, vocab: DataFrame, entity: str, order: Sequence[str], payload: Sequence[str], width: int, framed: bool = False, frames: DataFrame | None = None
+) -> DataFrame:
+    """Windows of at most ``width`` tokens of each entity, without ever building a whole sequence.
+
+    ``framed`` puts <bos> and <eos> around; ``frames`` (entity, head, tail and
+    payload columns, arrays of ids and of payloads of the same length) puts
+    these, also around entities without events.  Events have a ``token`` that
+    the vocabulary numbers, or an ``id``.  They are numbered in their total
+    order within time shards, and only the events of one window are collected,
+    so an entity with a third of all events gives many bounded rows.
+    """
+    unk = F.lit(SPECIALS.index("<unk>")).cast("bigint")
+    known = events.withColumn("__id", F.col("id")) if "id" in events.columns else events.join(vocab.select(F.col("token").alias("__token"), F.col("id").alias("__id")), events["token"] == F.col("__token"), "left")
+    body = known.select(F.col(entity).alias("__e"), F.lit(0).alias("__r"), _shard_of(events, order[0]).alias("__at"), total_order(*order).alias("__o"), F.coalesce("__id", unk).alias("token"), *payload)
+    if framed and frames is None:
+        one = lambda r, t: F.struct(F.lit(r).alias("r"), F.lit(t).cast("bigint").alias("t"))
+        ends = F.explode(F.array(one(-1, 1), one(1, 2))).alias("x")
         marks = events.select(F.col(entity).alias("__e")).distinct().select("__e", ends).select("__e", F.col("x.r").alias("__r"), F.col("x.t").alias("token"))
-        body = body.unionByName(marks, allowMissingColumns=True)
-    w = Window.partitionBy("__e")
-    placed = body.withColumn("__i", F.row_number().over(w.orderBy("__r", "__o")) - 1).withColumn("__next", F.lead("__r").over(w.orderBy("__r", "__o")).isNotNull())
+        body = body.unionByName(marks.withColumn("__at", F.col("__r") * F.lit(1 << 61)), allowMissingColumns=True)
+    if frames is not None:
+        for part, sign in (("head", -1), ("tail", 1)):
+            rows = frames.select(F.col(entity).alias("__e"), F.posexplode(F.arrays_zip(F.col(part).alias("token"), *[F.col(f"{part}_{p}").alias(p) for p in payload])).alias("__k", "x"))
+            rank = F.col("__k") - 1000 if sign < 0 else F.col("__k") + 1
+            body = body.unionByName(rows.select("__e", rank.alias("__r"), F.lit(sign * (1 << 61)).alias("__at"), F.col("x.token").alias("token"), *[F.col(f"x.{p}").alias(p) for p in payload]), allowMissingColumns=True)
+    placed = _numbered(body, "__e", F.col("__at"), ["__r", "__o"])
     item = F.struct("__i", "token", *payload)
-    packed = placed.groupBy("__e", F.floor(F.col("__i") / width).cast("int").alias("continuation_index")).agg(F.array_sort(F.collect_list(item)).alias("a"), F.max_by("__next", "__i").alias("__more"))
+    packed = placed.groupBy("__e", F.floor(F.col("__i") / width).cast("int").alias("continuation_index")).agg(F.array_sort(F.collect_list(item)).alias("a"), F.max("__n").alias("__n"))
     start = F.col("continuation_index") * width
     return packed.select(
-        F.col("__e").alias(entity), "continuation_index", start.cast("int").alias("source_start"), (start + F.size("a")).cast("int").alias("source_end"),
-        (F.col("continuation_index") > 0).alias("continues_from_previous"), F.col("__more").alias("continues_to_next"),
+        F.col("__e").alias(entity), "continuation_index", F.ceil(F.col("__n") / width).cast("int").alias("n_windows"), start.cast("int").alias("source_start"), (start + F.size("a")).cast("int").alias("source_end"),
+        (F.col("continuation_index") > 0).alias("continues_from_previous"), (start + F.size("a") < F.col("__n")).alias("continues_to_next"),
         F.col("a.token").alias("token"), *[F.col(f"a.{c}").alias(c) for c in payload],
     )
 

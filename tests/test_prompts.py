@@ -24,7 +24,7 @@ def test_classes_hold_all_pairs(spark):
 
 
 def test_every_stay_is_simulated(spark, sf):
-    stays = spark.read.parquet(f"{sf}/patient_assessments.parquet").where("hospitalization_id is not null and recorded_dttm is not null and numerical_value is not null and not isnan(numerical_value)")
+    stays = spark.read.parquet(f"{sf}/patient_assessments.parquet").where("hospitalization_id is not null and recorded_dttm is not null and (coalesce(numerical_value, double('nan')) <> double('nan') or trim(categorical_value) <> '')")
     long = stays.groupBy("hospitalization_id").count().where("count >= 3").count()
     classes = catalog.queries()["gen_01_prompt_classes"](spark, sf).toPandas()
     members = catalog.queries()["gen_01_prompt_members"](spark, sf)
