@@ -182,54 +182,12 @@ def lab_02(spark: SparkSession, d: str) -> DataFrame:
     return out.select("h", F.array_join(F.transform("l", lambda x: x["m"].cast("string")), ",").alias("outcomes"))
 
 
-@query(
-    "srt_04_token_batches",
-    f"WITH {_TOKENS}, {_VOCAB}, n AS (SELECT h, COUNT(*) AS n FROM t GROUP BY 1), b AS (SELECT h, n, CAST(ceil(n / 16.0) AS BIGINT) AS width FROM n) SELECT width, COUNT(*) AS sequences, CAST(sum(n) AS BIGINT) AS tokens, CAST(ceil(COUNT(*) / greatest(floor(256 / (width * 16.0)), 1)) AS BIGINT) AS batches FROM b GROUP BY 1",
-)
-def srt_04(spark: SparkSession, d: str) -> DataFrame:
-    """Batches under a token budget from sequences grouped by length: batch size times the group's width stays within 256."""
-    n = _tokens(spark, d).groupBy("h").agg(F.count("*").alias("n")).withColumn("width", F.ceil(F.col("n") / 16))
-    g = n.groupBy("width").agg(F.count("*").alias("sequences"), F.sum("n").alias("tokens"))
-    return g.select("width", "sequences", "tokens", F.ceil(F.col("sequences") / F.greatest(F.floor(F.lit(256) / (F.col("width") * 16)), F.lit(1))).alias("batches"))
-
-
 @query("sta_26_best", "SELECT lab_category, arg_min(lab_id, (lab_value_numeric, lab_id)) AS best FROM labs WHERE lab_value_numeric IS NOT NULL AND NOT isnan(lab_value_numeric) GROUP BY 1")
 def sta_26(spark: SparkSession, d: str) -> DataFrame:
     """Row of the lowest finite value per group."""
     return read(spark, d, "labs").where(N.finite(F.col("lab_value_numeric"))).groupBy("lab_category").agg(F.min_by("lab_id", F.struct("lab_value_numeric", "lab_id")).alias("best"))
 
 
-@query(
-    "sta_24_transport_matrix",
-    "WITH s AS (SELECT hospital_id AS fit, avg(CASE WHEN discharge_category = 'Expired' THEN 1.0 ELSE 0.0 END) AS rate FROM hospitalization WHERE age_at_admission % 2 = 0 AND hospital_id IS NOT NULL GROUP BY 1), t AS (SELECT hospital_id AS test, CASE WHEN discharge_category = 'Expired' THEN 1 ELSE 0 END AS y FROM hospitalization WHERE age_at_admission % 2 = 1 AND hospital_id IS NOT NULL) SELECT fit, test, COUNT(*) AS n, round(avg(pow(rate - y, 2)), 9) AS brier FROM s, t GROUP BY 1, 2",
-)
-def sta_24(spark: SparkSession, d: str) -> DataFrame:
-    """Error of every site's rate on every other site: sites are few, and each test row meets the collected rates inside its own row."""
-    rows = read(spark, d, "hospitalization").where("hospital_id is not null").withColumn("y", F.when(F.col("discharge_category") == "Expired", 1).otherwise(0))
-    rates = rows.where("age_at_admission % 2 = 0").groupBy(F.col("hospital_id").alias("fit")).agg(F.avg(F.col("y").cast("double")).alias("rate"))
-    per = rows.where("age_at_admission % 2 = 1").groupBy(F.col("hospital_id").alias("test")).agg(F.count("*").alias("n"), F.sum("y").alias("k"))
-    table = F.array_sort(F.collect_list(F.struct("fit", "rate")))
-    pairs = per.withColumn("one", F.lit(1)).join(rates.agg(table.alias("rates")).withColumn("one", F.lit(1)), "one").select("test", "n", "k", F.inline("rates"))
-    brier = (F.col("k") * F.pow(F.col("rate") - 1, F.lit(2.0)) + (F.col("n") - F.col("k")) * F.pow("rate", F.lit(2.0))) / F.col("n")
-    return pairs.select("fit", "test", "n", F.round(brier, 9).alias("brier"))
-
-
-@query(
-    "sta_21_sequence_rules",
-    """WITH s AS (SELECT user_id, COUNT(*) AS n, COUNT(DISTINCT event_type) AS kinds, max(c) AS most FROM (SELECT user_id, event_type, COUNT(*) OVER (PARTITION BY user_id, event_type) AS c FROM events) GROUP BY 1) SELECT user_id, CAST(n >= 3 AS INTEGER) + CAST(kinds >= 2 AS INTEGER) + CAST(most <= n * 0.8 AS INTEGER) AS passed FROM s""",
-)
-def sta_21(spark: SparkSession, d: str) -> DataFrame:
-    """Plausibility score of sequences: number of rules passed."""
-    per = read(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("c")).groupBy("user_id").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"), F.max("c").alias("most"))
-    return per.select("user_id", ((F.col("n") >= 3).cast("int") + (F.col("kinds") >= 2).cast("int") + (F.col("most") <= F.col("n") * 0.8).cast("int")).alias("passed"))
-
-
-@query("rpt_03_preflight", f"WITH {_TOKENS}, n AS (SELECT h, COUNT(*) AS n FROM t GROUP BY 1) SELECT COUNT(*) AS stays, CAST(sum(n) AS BIGINT) AS tokens, min(n) AS shortest, max(n) AS longest FROM n")
-def rpt_03(spark: SparkSession, d: str) -> DataFrame:
-    n = _tokens(spark, d).groupBy("h").agg(F.count("*").alias("n"))
-    return n.agg(F.count("*").alias("stays"), F.sum("n").alias("tokens"), F.min("n").alias("shortest"), F.max("n").alias("longest"))
-
-
 @query("cfg_04_dry_run", "SELECT 'adt' AS source, COUNT(*) AS n FROM adt UNION ALL SELECT 'labs', COUNT(*) FROM labs WHERE hospitalization_id IS NOT NULL AND lab_result_dttm IS NOT NULL AND lab_category IS NOT NULL AND lab_value_numeric IS NOT NULL")
 def cfg_04(spark: SparkSession, d: str) -> DataFrame:
     """Rows that each declared source would give; nothing is written."""

@@ -133,11 +133,6 @@ def agg_16(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "labs").join(origin, "lab_category", "left").groupBy(F.coalesce("lab_order_category", F.lit("none")).alias("origin")).agg(F.count("*").alias("n"))
 
 
-@query("agg_20_held_out_shares", "SELECT sex_category AS arm, COUNT(*) AS n, round(avg(CASE WHEN hospital_id IN ('HSP01', 'HSP02') THEN 1.0 ELSE 0.0 END), 9) AS held_out FROM patient GROUP BY 1")
-def agg_20(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "patient").groupBy(F.col("sex_category").alias("arm")).agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("hospital_id").isin("HSP01", "HSP02"), 1.0).otherwise(0.0)), 9).alias("held_out"))
-
-
 @query(
     "bin_07_edge_distance",
     """WITH r AS (SELECT lab_category AS c, lab_value_numeric AS x, row_number() OVER (PARTITION BY lab_category ORDER BY lab_value_numeric) - 1 AS i, COUNT(*) OVER (PARTITION BY lab_category) AS n FROM labs WHERE lab_value_numeric IS NOT NULL AND NOT isnan(lab_value_numeric)),

@@ -447,15 +447,6 @@ def join_13(spark: SparkSession, d: str) -> DataFrame:
     return out.select("c_custkey", F.array_join(F.transform("l", lambda x: x["o_orderkey"].cast("string")), ",").alias("orders"))
 
 
-@query(
-    "join_14_aligned_runs",
-    """SELECT l_partkey % 50 AS cell, COUNT(DISTINCT l_linestatus) AS labels, COUNT(DISTINCT l_returnflag) AS runs, CASE WHEN COUNT(DISTINCT l_linestatus) = 1 THEN 'aligned' ELSE 'refused' END AS verdict FROM lineitem GROUP BY 1""",
-)
-def join_14(spark: SparkSession, d: str) -> DataFrame:
-    cells = read(spark, d, "lineitem").groupBy((F.col("l_partkey") % 50).alias("cell")).agg(F.count_distinct("l_linestatus").alias("labels"), F.count_distinct("l_returnflag").alias("runs"))
-    return cells.withColumn("verdict", F.when(F.col("labels") == 1, "aligned").otherwise("refused"))
-
-
 @query(
     "agg_02_first_per_key",
     "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1",

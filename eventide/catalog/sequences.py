@@ -308,12 +308,6 @@ def spl_03(spark: SparkSession, d: str) -> DataFrame:
     return labels.leaks(rows, "entity", "part")
 
 
-@query("spl_02_stratified_pick", "SELECT patient_id, sex_category FROM patient QUALIFY row_number() OVER (PARTITION BY sex_category ORDER BY sha256('r:' || patient_id), patient_id) <= 10")
-def spl_02(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("sex_category").orderBy(F.sha2(F.concat(F.lit("r:"), "patient_id"), 256), "patient_id")
-    return read(spark, d, "patient").select("patient_id", "sex_category", F.row_number().over(w).alias("r")).where("r <= 10").drop("r")
-
-
 @query(
     "up_01_previous_id",
     "SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous FROM orders WHERE o_totalprice > 0",

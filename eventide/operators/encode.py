@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventide.functions.numbers import finite
 from eventide.functions.text import bin_token
 from eventide.operators.bins import bin_index, soft_bins
+from eventide.operators.windows import numbered
 
 SPECIALS = ("<pad>", "<bos>", "<eos>", "<unk>")
 
@@ -92,22 +93,6 @@ def encode(events: DataFrame, vocab: DataFrame, entity: str, order: Sequence[str
     return packed.select(entity, F.col("a.token_id").alias("token"), *[F.col(f"a.{c}").alias(c) for c in payload], F.size("a").cast("bigint").alias("n_events"))
 
 
-def _numbered(body: DataFrame, by: str, at: Column, order: Sequence[Column | str]) -> DataFrame:
-    """``body`` with ``__i``, the place of a row in its entity from 0, and ``__n``, the rows of the entity.
-
-    ``at`` sorts no later than ``order`` does; rows are numbered within a time
-    shard and start from the counts of the shards before, so no task orders a
-    whole entity.
-    """
-    rows = body.withColumn("__shard", at)
-    counts = rows.groupBy(by, "__shard").agg(F.count("*").alias("__k"))
-    whole = Window.partitionBy(by)
-    ahead = whole.orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(by, "__shard", F.coalesce(F.sum("__k").over(ahead), F.lit(0)).alias("__start"), F.sum("__k").over(whole).alias("__n"))
-    joined = rows.join(starts, [by, "__shard"])
-    return joined.withColumn("__i", F.col("__start") + F.row_number().over(Window.partitionBy(by, "__shard").orderBy(*order)) - 1).drop("__shard", "__start")
-
-
 def _shard_of(df: DataFrame, column: str) -> Column:
     """Week of a time, or block of a number; nulls come last."""
     kind = df.schema[column].dataType.simpleString()
@@ -144,7 +129,7 @@ def encode_windows(
             rows = frames.select(F.col(entity).alias("__e"), F.posexplode(F.arrays_zip(F.col(part).alias("token"), *[F.col(f"{part}_{p}").alias(p) for p in payload])).alias("__k", "x"))
             rank = F.col("__k") - 1000 if sign < 0 else F.col("__k") + 1
             body = body.unionByName(rows.select("__e", rank.alias("__r"), F.lit(sign * (1 << 61)).alias("__at"), F.col("x.token").alias("token"), *[F.col(f"x.{p}").alias(p) for p in payload]), allowMissingColumns=True)
-    placed = _numbered(body, "__e", F.col("__at"), ["__r", "__o"])
+    placed = numbered(body, ["__e"], F.col("__at"), ["__r", "__o"])
     item = F.struct("__i", "token", *payload)
     packed = placed.groupBy("__e", F.floor(F.col("__i") / width).cast("int").alias("continuation_index")).agg(F.array_sort(F.collect_list(item)).alias("a"), F.max("__n").alias("__n"))
     start = F.col("continuation_index") * width

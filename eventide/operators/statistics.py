@@ -276,15 +276,21 @@ def folds(entity: Column, k: int, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), entity), F.lit(k)).cast("int")
 
 
-def cluster_bootstrap(df: DataFrame, cluster: str, value: str, draws: int, seed: int = 0) -> DataFrame:
-    """(draw, mean): means over draws that resample clusters, by Poisson(1) weights from a hash of cluster and draw, so nothing is gathered or shipped."""
-    per = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(cluster), F.col("draw")), F.lit(1 << 53)).cast("double") / float(1 << 53)
+def poisson_weight(*parts: Column) -> Column:
+    """Poisson(1) draw from a hash of the parts."""
+    u = F.pmod(F.xxhash64(*parts), F.lit(1 << 53)).cast("double") / float(1 << 53)
     total, p, weight = 0.0, math.exp(-1), F.lit(0)
-    for k in range(8):  # inverse of the Poisson(1) distribution function
+    for k in range(8):  # inverse of the distribution function
         total += p / math.factorial(k)
         weight = weight + F.when(u >= total, 1).otherwise(0)
-    return per.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", weight).groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("mean"))
+    return weight
+
+
+def cluster_bootstrap(df: DataFrame, cluster: str, value: str, draws: int, seed: int = 0) -> DataFrame:
+    """(draw, mean): means over draws that resample clusters, by Poisson(1) weights from a hash of cluster and draw, so nothing is gathered or shipped."""
+    per = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    drawn = per.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", poisson_weight(F.lit(seed), F.col(cluster), F.col("draw")))
+    return drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("mean"))
 
 
 def cause_incidence(hazards: Column) -> Column:

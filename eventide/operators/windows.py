@@ -38,6 +38,25 @@ def after_first(df: DataFrame, key: Sequence[str], order: Sequence[str], event:
     return df.withColumn(out, F.sum(event.cast("int")).over(w) > 0)
 
 
+def numbered(df: DataFrame, by: Sequence[str], shard: Column, order: Sequence[Column | str]) -> DataFrame:
+    """``df`` with ``__i``, the place of a row in its group from 0, and ``__n``, the rows of the group.
+
+    ``shard`` sorts no later than ``order`` does; rows are numbered within a
+    shard and start from the counts of the shards before, so no task orders a
+    whole group.
+    """
+    rows = df.withColumn("__shard", shard)
+    counts = rows.groupBy(*by, "__shard").agg(F.count("*").alias("__k"))
+    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    ahead = whole.orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__shard").alias("__s"), F.coalesce(F.sum("__k").over(ahead), F.lit(0)).alias("__start"), F.sum("__k").over(whole).alias("__n"))
+    same = F.col("__shard").eqNullSafe(F.col("__s"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    joined = rows.join(starts, same).drop(*[f"__by_{c}" for c in by], "__s")
+    return joined.withColumn("__i", F.col("__start") + F.row_number().over(Window.partitionBy(*by, "__shard").orderBy(*order)) - 1).drop("__shard", "__start")
+
+
 SHARDS_OF = 7 * 1440  # minutes
 
 
