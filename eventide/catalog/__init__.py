@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from eventide.catalog import artifacts, evidence, models, relational, segments, sequences, statistics
+from eventide.catalog import artifacts, evidence, models, relational, release, segments, sequences, statistics
 from eventide.catalog.registry import ORACLES, QUERIES
 
-__all__ = ["artifacts", "evidence", "models", "oracle_sql", "queries", "relational", "segments", "sequences", "statistics"]
+__all__ = ["artifacts", "evidence", "models", "oracle_sql", "queries", "relational", "release", "segments", "sequences", "statistics"]
 
 
 def queries() -> dict:

@@ -188,13 +188,6 @@ def sta_26(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "labs").where(N.finite(F.col("lab_value_numeric"))).groupBy("lab_category").agg(F.min_by("lab_id", F.struct("lab_value_numeric", "lab_id")).alias("best"))
 
 
-@query("cfg_04_dry_run", "SELECT 'adt' AS source, COUNT(*) AS n FROM adt UNION ALL SELECT 'labs', COUNT(*) FROM labs WHERE hospitalization_id IS NOT NULL AND lab_result_dttm IS NOT NULL AND lab_category IS NOT NULL AND lab_value_numeric IS NOT NULL")
-def cfg_04(spark: SparkSession, d: str) -> DataFrame:
-    """Rows that each declared source would give; nothing is written."""
-    labs = tables.events_of(read(spark, d, "labs"), tables.LABS).agg(F.count("*").alias("n")).select(F.lit("labs").alias("source"), "n")
-    return read(spark, d, "adt").agg(F.count("*").alias("n")).select(F.lit("adt").alias("source"), "n").unionByName(labs)
-
-
 @query("enc_03_prompt_at_anchor", f"WITH {_TOKENS}, {_VOCAB}, f AS (SELECT h, min(tm) AS a FROM t GROUP BY 1) SELECT h, COUNT(*) FILTER (epoch_us(tm) // 60000000 <= epoch_us(a) // 60000000 + 720) AS prompt, COUNT(*) AS whole FROM t JOIN f USING (h) GROUP BY 1")
 def enc_03_prompt(spark: SparkSession, d: str) -> DataFrame:
     t = _tokens(spark, d).withColumn("at_min", F.expr("unix_micros(at) div 60000000"))

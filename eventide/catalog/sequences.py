@@ -374,6 +374,47 @@ def stm_01(spark: SparkSession, d: str) -> DataFrame:
     """WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders) SELECT o_custkey, o_orderkey, o_orderstatus AS state FROM o WHERE p IS NULL OR p <> o_orderstatus""",
 )
 def stm_02(spark: SparkSession, d: str) -> DataFrame:
-    """State changes per entity by a stateful stream that keeps the last state only."""
-    rows = live.open_table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
-    return live.run_to_end(live.state_changes(rows, "o_custkey", "o_orderkey", "o_orderstatus"), mode="append").select("o_custkey", "o_orderkey", F.col("state"))
+    """State changes per entity by a stateful stream that keeps the last state only, in four micro-batches."""
+    rows = read(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return live.run_to_end(live.state_changes(live.replay(rows, "o_orderkey", 4), "o_custkey", "o_orderkey", "o_orderstatus"), mode="append").select("o_custkey", "o_orderkey", F.col("state"))
+
+
+@query("stm_03_carry_forward", "SELECT o_custkey, o_orderkey, last_value(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS carried FROM orders")
+def stm_03(spark: SparkSession, d: str) -> DataFrame:
+    """The last value known at every row, carried from one micro-batch to the next."""
+    rows = read(spark, d, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice")).alias("v"))
+    return live.run_to_end(live.carry_forward(live.replay(rows, "o_orderkey", 4), "o_custkey", "o_orderkey", "v"), mode="append")
+
+
+@query(
+    "stm_04_sustained",
+    f"""WITH b AS (SELECT h, m, bool_or(v > 1.5) AS x FROM {_MIN} GROUP BY 1, 2), k AS (SELECT *, sum(CASE WHEN x THEN 0 ELSE 1 END) OVER (PARTITION BY h ORDER BY m ROWS UNBOUNDED PRECEDING) AS g FROM b),
+        s AS (SELECT h, m, lag(m, 2) OVER (PARTITION BY h, g ORDER BY m) AS st FROM k WHERE x) SELECT h, min(m) AS completed_min FROM s WHERE m - st <= 4320 GROUP BY 1""",
+)
+def stm_04(spark: SparkSession, d: str) -> DataFrame:
+    """Sustained crossings found by a stream, whose streaks reach over micro-batches."""
+    rows = _creatinine(spark, d).groupBy("h", "m").agg(F.bool_or(F.col("v") > 1.5).alias("x"))
+    return live.run_to_end(live.sustained_crossings(live.replay(rows, "m", 5), "h", "m", "x", readings=3, within=4320), mode="append")
+
+
+@query(
+    "stm_05_sessions",
+    """WITH e AS (SELECT user_id, epoch_us(ts) AS t, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 86400000000 THEN 0 ELSE 1 END AS f FROM events), g AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM e)
+       SELECT user_id, min(t) AS start_us, max(t) + 86400000000 AS end_us, COUNT(*) AS n FROM g GROUP BY user_id, g""",
+)
+def stm_05(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of each user by a stream."""
+    out = live.run_to_end(live.sessions(live.open_table(spark, d, "events"), "user_id", "ts", "1 day"))
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query(
+    "stm_06_stay_window",
+    """WITH s AS (SELECT hospitalization_id AS h, min(admission_dttm) AS lo FROM hospitalization WHERE hospitalization_id IS NOT NULL GROUP BY 1)
+       SELECT assessment_id, (epoch_us(recorded_dttm + INTERVAL 15 MINUTE) - epoch_us(lo)) // 60000000 AS pos_min FROM patient_assessments JOIN s ON h = hospitalization_id WHERE recorded_dttm + INTERVAL 15 MINUTE BETWEEN lo AND lo + INTERVAL 24 HOUR""",
+)
+def stm_06(spark: SparkSession, d: str) -> DataFrame:
+    """Readings that became available, a lag after they were charted, within a day of the admission: a stream joined with the table of stays."""
+    stays = read(spark, d, "hospitalization").where("hospitalization_id is not null").groupBy("hospitalization_id").agg(F.min("admission_dttm").alias("lo")).withColumn("hi", tables.with_lag(F.col("lo"), 1440))
+    rows = live.available(live.open_table(spark, d, "patient_assessments").select("assessment_id", "hospitalization_id", "recorded_dttm"), "recorded_dttm", 15, "30 days")
+    return live.run_to_end(live.in_window(rows, stays, "hospitalization_id", "available_at", "lo", "hi").select("assessment_id", "pos_min"), mode="append")

@@ -25,7 +25,7 @@ def clustered_contrast(df: DataFrame, outcome: str, treated: str, weight: str, c
     rows = df.where(F.col(outcome).isNotNull() & F.col(treated).isin(0, 1) & F.col(weight).isNotNull() & F.col(cluster).isNotNull())
     arm = lambda a, x: F.sum(F.when(F.col(treated) == a, x).otherwise(0.0))
     w, y = F.col(weight).cast("double"), F.col(outcome).cast("double")
-    per = rows.groupBy(cluster).agg(*[x for a in (1, 0) for x in (arm(a, w).alias(f"w{a}"), arm(a, w * y).alias(f"y{a}"))])
+    per = rows.groupBy(F.col(cluster).alias("__c")).agg(*[x for a in (1, 0) for x in (arm(a, w).alias(f"w{a}"), arm(a, w * y).alias(f"y{a}"))])
     total = [v if v is not None else 0.0 for v in per.agg(*[F.sum(c) for c in ("w1", "y1", "w0", "y0")], F.count("*")).first()]
     w1, y1, w0, y0, n = total
     if not w1 or not w0 or n < 2:
@@ -113,7 +113,7 @@ def _predict_by_fold(rows: DataFrame, arm: str, features: Sequence[str], cluster
 
 
 def _clustered_mean(df: DataFrame, value: str, cluster: str) -> DataFrame:
-    per = stage(df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n")))
+    per = stage(df.groupBy(F.col(cluster).alias("__c")).agg(F.sum(value).alias("s"), F.count(value).alias("n")))
     total, n, clusters = per.agg(F.sum("s"), F.sum("n"), F.count("*")).first()
     mean = (total or 0.0) / n if n else None
     factor = clusters / (clusters - 1) if clusters and clusters > 1 else None
@@ -161,9 +161,10 @@ def decile_slope(df: DataFrame, p: str, y: str, least: int = 5) -> DataFrame:
 
 def paired_bootstrap(df: DataFrame, cluster: str, seed_column: str, a: str, b: str, draws: int, seed: int = 0) -> DataFrame:
     """(draw, difference): mean of a - b when clusters and training seeds are resampled together, the same way in both arms; Poisson weights from hashes."""
-    per = df.groupBy(cluster, seed_column).agg(F.sum(F.col(a) - F.col(b)).alias("s"), F.count(F.col(a) - F.col(b)).alias("n"))
+    gap = F.col(a) - F.col(b)
+    per = df.groupBy(F.col(cluster).alias("__c"), F.col(seed_column).alias("__r")).agg(F.sum(gap).alias("s"), F.count(gap).alias("n"))
     drawn = per.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    w = S.poisson_weight(F.lit(seed), F.lit("c"), F.col(cluster), F.col("draw")) * S.poisson_weight(F.lit(seed), F.lit("s"), F.col(seed_column), F.col("draw"))
+    w = S.poisson_weight(F.lit(seed), F.lit("c"), F.col("__c"), F.col("draw")) * S.poisson_weight(F.lit(seed), F.lit("s"), F.col("__r"), F.col("draw"))
     return drawn.withColumn("w", w).groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("difference"))
 
 

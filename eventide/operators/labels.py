@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,6 +51,17 @@ def time_share(df: DataFrame, key: str, at: str, ties: Sequence[str], condition:
     return spans.groupBy(key).agg(F.sum(F.when(condition, F.col("__d")).otherwise(0)).alias("x"), F.sum("__d").alias("all")).where(F.col("all") > 0).select(key, F.round(F.col("x") / F.col("all"), 9).alias("share"))
 
 
+def _nearest_readings(anchors: DataFrame, readings: DataFrame, key: str, beyond: Column) -> DataFrame:
+    """(key, m, now, next, later) of every anchor m: whether the last minute up to it is beyond, and the minutes of the next hit and the next reading."""
+    minute = readings.where(F.col("minute").isNotNull()).groupBy(key, "minute").agg(F.max(F.coalesce(beyond, F.lit(False)).cast("int")).alias("hit"))
+    both = minute.select(key, F.col("minute").alias("m"), F.lit(0).alias("side"), "hit").unionByName(
+        anchors.where(F.col("anchor_min").isNotNull()).select(key, F.col("anchor_min").alias("m"), F.lit(1).alias("side")).distinct(), allowMissingColumns=True
+    )
+    read = F.col("side") == 0
+    seen = nearest(both, [key], "m", "side", earlier={"now": F.when(read, F.col("hit"))}, later={"next": F.when(read & (F.col("hit") == 1), F.col("m")), "later": F.when(read, F.col("m"))})
+    return seen.where("side = 1").drop("side", "hit")
+
+
 def at_anchors(anchors: DataFrame, readings: DataFrame, key: str, beyond: Column, *, horizon_min: int | None = None) -> DataFrame:
     """Labels of many anchors per entity: anchors (key, anchor_min), readings (key, minute, ..).
 
@@ -60,15 +72,49 @@ def at_anchors(anchors: DataFrame, readings: DataFrame, key: str, beyond: Column
     it and the nearest reading and hit after it, so anchors never multiply
     readings.
     """
-    minute = readings.where(F.col("minute").isNotNull()).groupBy(key, "minute").agg(F.max(F.coalesce(beyond, F.lit(False)).cast("int")).alias("hit"))
-    both = minute.select(key, F.col("minute").alias("m"), F.lit(0).alias("side"), "hit").unionByName(
-        anchors.where(F.col("anchor_min").isNotNull()).select(key, F.col("anchor_min").alias("m"), F.lit(1).alias("side")).distinct(), allowMissingColumns=True
-    )
-    read = F.col("side") == 0
-    seen = nearest(both, [key], "m", "side", earlier={"now": F.when(read, F.col("hit"))}, later={"next": F.when(read & (F.col("hit") == 1), F.col("m")), "later": F.when(read, F.col("m"))})
+    seen = _nearest_readings(anchors, readings, key, beyond)
     within = lambda c: F.coalesce(F.col(c).isNotNull() & (F.lit(True) if horizon_min is None else F.col(c) <= F.col("m") + horizon_min), F.lit(False))
     status = F.when(F.col("now") == 1, "prevalent").when(within("next"), "positive").when(within("later"), "negative").otherwise("censored")
-    return seen.where("side = 1").select(key, F.col("m").alias("anchor_min"), status.alias("status"), F.when(status == "positive", F.col("next") - F.col("m")).alias("after_min"))
+    return seen.select(key, F.col("m").alias("anchor_min"), status.alias("status"), F.when(status == "positive", F.col("next") - F.col("m")).alias("after_min"))
+
+
+def stream_labels(anchors: DataFrame, readings: DataFrame, ends: DataFrame, key: str, beyond: Column, *, horizon_min: int) -> DataFrame:
+    """(key, anchor_min, status, after_min) of anchors in a stream that ends at each entity's ``end_min``.
+
+    ended: the stream ends by the anchor; prevalent: the last minute up to the
+    anchor has a reading beyond; positive: a later one within horizon and
+    stream has; not_ascertainable: there is no later reading there; censored:
+    the stream ends before the horizon; negative: else.  Entities without an
+    end have no labels.
+    """
+    found = _nearest_readings(anchors, readings, key, beyond).join(ends.select(key, "end_min"), key)
+    last = F.least(F.col("m") + horizon_min, F.col("end_min"))
+    within = lambda c: F.coalesce(F.col(c) <= last, F.lit(False))
+    status = (
+        F.when(F.col("end_min") <= F.col("m"), "ended").when(F.col("now") == 1, "prevalent").when(within("next"), "positive")
+        .when(~within("later"), "not_ascertainable").when(F.col("end_min") < F.col("m") + horizon_min, "censored").otherwise("negative")
+    )
+    return found.select(key, F.col("m").alias("anchor_min"), status.alias("status"), F.when(status == "positive", F.col("next") - F.col("m")).alias("after_min"))
+
+
+def task_states(stays: DataFrame, observations: DataFrame, key: str, tasks: dict[str, Sequence[tuple[str, str, float]]]) -> DataFrame:
+    """``stays`` (key, anchor, end; one row per key) with a status per task: any of its (concept, '>' or '<', threshold) up to or after the anchor.
+
+    not_at_risk: the stay ends by the anchor; prevalent: beyond a threshold by
+    then; positive: later, up to the end; negative: measured later, never
+    beyond; not_ascertainable: not measured later.  One aggregation serves all
+    tasks.
+    """
+    both = stays.select(key, "anchor", "end").join(observations.select(key, "at", "concept", "value"), key, "left")
+    before, after = F.col("at") <= F.col("anchor"), (F.col("at") > F.col("anchor")) & (F.col("at") <= F.col("end"))
+    any_ = lambda conditions: F.coalesce(F.bool_or(reduce(lambda a, b: a | b, conditions)), F.lit(False))
+    hit = lambda c, op, x: (F.col("concept") == c) & ((F.col("value") > x) if op == ">" else (F.col("value") < x))
+    sums = [x for t, rules in tasks.items() for x in (
+        any_([before & hit(*r) for r in rules]).alias(f"__p_{t}"), any_([after & hit(*r) for r in rules]).alias(f"__q_{t}"), any_([after & (F.col("concept") == r[0]) for r in rules]).alias(f"__s_{t}"),
+    )]
+    g = both.groupBy(key).agg(F.bool_or(F.col("end") <= F.col("anchor")).alias("__gone"), *sums)
+    state = lambda t: F.when(F.col("__gone"), "not_at_risk").when(F.col(f"__p_{t}"), "prevalent").when(F.col(f"__q_{t}"), "positive").when(F.col(f"__s_{t}"), "negative").otherwise("not_ascertainable")
+    return g.select(key, *[state(t).alias(t) for t in tasks])
 
 
 def sample_anchors(readings: DataFrame, key: str, per_entity: int, seed: int) -> DataFrame:

@@ -250,7 +250,7 @@ def calibration_histogram(df: DataFrame, score: str, n_bins: int = 10) -> DataFr
     counts = df.where(F.col(score).between(0, 1)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
     every = df.sparkSession.range(n_bins).withColumnRenamed("id", "bin").join(counts, "bin", "left").na.fill(0, ["n"])
     e = F.sum("n").over(Window.partitionBy()) / n_bins
-    return every.withColumn("expected", e).withColumn("chi2", F.pow(F.col("n") - F.col("expected"), F.lit(2.0)) / F.col("expected"))
+    return every.withColumn("expected", e).withColumn("chi2", F.try_divide(F.pow(F.col("n") - F.col("expected"), F.lit(2.0)), F.col("expected")))
 
 
 def clones(df: DataFrame, arm: str, at: str, arms: Sequence[str], grace: float) -> DataFrame:
@@ -288,8 +288,8 @@ def poisson_weight(*parts: Column) -> Column:
 
 def cluster_bootstrap(df: DataFrame, cluster: str, value: str, draws: int, seed: int = 0) -> DataFrame:
     """(draw, mean): means over draws that resample clusters, by Poisson(1) weights from a hash of cluster and draw, so nothing is gathered or shipped."""
-    per = df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    drawn = per.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", poisson_weight(F.lit(seed), F.col(cluster), F.col("draw")))
+    per = df.groupBy(F.col(cluster).alias("__c")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    drawn = per.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", poisson_weight(F.lit(seed), F.col("__c"), F.col("draw")))
     return drawn.groupBy("draw").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("mean"))
 
 

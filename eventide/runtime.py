@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -11,37 +12,34 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def _shared(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; on a local master without it, one of our own that goes when Python ends."""
+    global _own
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if _own is None:
+        _own = tempfile.mkdtemp(prefix="eventide-")
+        atexit.register(shutil.rmtree, _own, True)
+    return _own
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    folder of our own is set only where none is configured (local tests).
-    """
-    spark = df.sparkSession
-    _ensure_dir(spark)
-    return df.checkpoint(eager=True)
 
+_own: str | None = None
 
-def _ensure_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="eventide-checkpoint-")
-    sc.setCheckpointDir(named)
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(_shared(df.sparkSession))
+    return df.checkpoint(eager=True)
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for files written and read again: under the cluster's shared folder, a temporary one on a local master only."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared}/eventide-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="eventide-scratch-")
+    """A new folder for files written and read again, under the shared folder."""
+    return f"{_shared(spark)}/eventide-{uuid.uuid4().hex}"
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
@@ -83,7 +81,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_eventide_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="eventide-ship-")) / "eventide_pkg.zip"
+    folder = tempfile.mkdtemp(prefix="eventide-ship-")
+    atexit.register(shutil.rmtree, folder, True)
+    target = Path(folder) / "eventide_pkg.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
