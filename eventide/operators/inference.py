@@ -160,7 +160,7 @@ def decile_slope(df: DataFrame, p: str, y: str, least: int = 5) -> DataFrame:
 
 
 def paired_bootstrap(df: DataFrame, cluster: str, seed_column: str, a: str, b: str, draws: int, seed: int = 0) -> DataFrame:
-    """(draw, difference): mean of a - b when clusters and training seeds are resampled together, the same way in both arms; Poisson weights from hashes."""
+    """(draw, difference): mean of a - b when clusters and training seeds are resampled together, the same way in both arms; Poisson weights from hashes. A draw that takes nothing is null."""
     gap = F.col(a) - F.col(b)
     per = df.groupBy(F.col(cluster).alias("__c"), F.col(seed_column).alias("__r")).agg(F.sum(gap).alias("s"), F.count(gap).alias("n"))
     drawn = per.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))

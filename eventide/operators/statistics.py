@@ -191,7 +191,7 @@ def benjamini_hochberg(df: DataFrame, p: str, alpha: float) -> DataFrame:
     m = F.count("*").over(Window.partitionBy())
     ranked = df.withColumn("__k", F.rank().over(w) + F.count("*").over(Window.partitionBy(p)) - 1).withColumn("__m", m)
     raw = F.least(F.lit(1.0), F.col(p) * F.col("__m") / F.col("__k"))
-    q = F.min(raw).over(w.rangeBetween(0, Window.unboundedFollowing))
+    q = F.min(raw).over(Window.orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, 0))
     return ranked.withColumn("q", q).withColumn("rejected", F.col("q") <= alpha).drop("__k", "__m")
 
 

@@ -65,7 +65,7 @@ def test_bootstraps(spark):
     df = spark.createDataFrame([(f"c{i % 60}", i % 3, (u := rnd.gauss(0, 1)) + 0.5 + rnd.gauss(0, 0.1), u) for i in range(600)], "c string, s int, a double, b double")
     draws = I.paired_bootstrap(df, "c", "s", "a", "b", 200)
     r = I.bootstrap_summary(draws, "difference").first()
-    assert r.draws == 200 and r.lo < 0.5 < r.hi and r.hi - r.lo < 0.1 and r.p <= 0.01  # the shared part cancels
+    assert 150 < r.draws <= 200 and r.lo < 0.5 < r.hi and r.hi - r.lo < 0.1 and r.p <= 0.01  # the shared part cancels
     assert sorted(map(tuple, draws.collect())) == sorted(map(tuple, I.paired_bootstrap(df, "c", "s", "a", "b", 200).collect()))
 
 

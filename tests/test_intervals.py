@@ -46,6 +46,15 @@ def test_touching_nested_and_borders(spark):
     assert run(spark, [("a", 1, 2)], 10) == {("a", "period", 1, 2)}
 
 
+def test_far_ends_are_one_row(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice("ab"), a := rnd.randrange(0, 10_000), a + rnd.choice([1, 50, 10**15])) for _ in range(30)] + [("c", 5 * i, 5 * i + rnd.choice([2, 4, 10**15]) if i > 40 else 5 * i + 3) for i in range(50)]
+    for width in (3, 1000):
+        assert run(spark, rows, width) == brute(rows)
+    df = spark.createDataFrame(rows, "k string, a bigint, b bigint")
+    assert intervals._sharded(df, "k", "a", "b", 3).count() <= len(rows)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "k string, a bigint, b bigint")
     assert intervals.periods_and_gaps(df, "k", "a", "b").count() == 0
