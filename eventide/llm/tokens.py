@@ -16,8 +16,9 @@ so the most frequent word is no hot key; a text's positions travel as one
 array of small numbers.  A block is bounded but for a single text longer than
 it.  Nothing is collected or broadcast by hand, and no text is cut twice.
 
-Decoding explodes ids with their positions, joins the token-byte table, whose
-size is that of the vocabulary file, and puts the bytes back by position.
+Decoding goes the same way: a block's distinct tokens are exploded with their
+numbers, joined to the token-byte table, whose size is that of the vocabulary
+file, and the bytes put back by position.
 
 Defined results: null, empty texts give an empty list; blank texts their
 white-space tokens; repeated rows each get their row; texts of any length are
@@ -161,16 +162,20 @@ def _positions(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
 
 
-def _reassemble(rows: DataFrame, carry: Sequence[str], path: str, out: str, kind: str, fill: Callable[[pa.Table, pa.Table], pa.Array]) -> DataFrame:
-    """Carried columns and ``out`` of every text, ``fill`` making a block's values from its texts and its coded words."""
-    blocks = _blocks(rows, carry)
+def _reassemble(blocks: DataFrame, coded: DataFrame, carry: Sequence[str], out: str, kind: str, fill: Callable[[pa.Table, pa.Table], pa.Array]) -> DataFrame:
+    """Carried columns and ``out`` of every text, ``fill`` making a block's values from its texts and its coded words (__b, ..)."""
     texts = blocks.where("__words is null").select(*carry, "__block", "__at")
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.table([*[left.column(c) for c in carry], fill(left, right)], names=[*carry, out])
 
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry) + f", {out} {kind}"
-    return texts.groupBy("__block").cogroup(_coded(blocks, path).groupBy("__b")).applyInArrow(one, schema)
+    schema = ", ".join(f"`{c}` {blocks.schema[c].dataType.simpleString()}" for c in carry) + f", {out} {kind}"
+    return texts.groupBy("__block").cogroup(coded.groupBy("__b")).applyInArrow(one, schema)
+
+
+def _encoded(rows: DataFrame, carry: Sequence[str], path: str, kind: str, fill: Callable[[pa.Table, pa.Table], pa.Array]) -> DataFrame:
+    blocks = _blocks(rows, carry)
+    return _reassemble(blocks, _coded(blocks, path), carry, "__out", kind, fill)
 
 
 def _fill_ids(texts: pa.Table, coded: pa.Table) -> pa.Array:
@@ -195,31 +200,69 @@ def _fill_counts(texts: pa.Table, coded: pa.Table) -> pa.Array:
 def encode(df: DataFrame, key: str, text: str, path: str | None = None, out: str = "ids") -> DataFrame:
     """(key, ids) of every row of ``df``."""
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return _reassemble(rows, ["key"], path or default_path(), "__out", "array<int>", _fill_ids).select(F.col("key").alias(key), F.col("__out").alias(out))
+    return _encoded(rows, ["key"], path or default_path(), "array<int>", _fill_ids).select(F.col("key").alias(key), F.col("__out").alias(out))
 
 
 def count(df: DataFrame, text: str, path: str | None = None, out: str = "n_tokens") -> DataFrame:
     """The columns of ``df`` but ``text``, which ``out`` replaces: the number of its tokens. No ids move to the texts, only their numbers."""
     carry = [c for c in df.columns if c not in (text, out)]
     rows = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text).alias("text"))
-    counted = _reassemble(rows, [f"c{i}" for i in range(len(carry))], path or default_path(), "__out", "bigint", _fill_counts)
+    counted = _encoded(rows, [f"c{i}" for i in range(len(carry))], path or default_path(), "bigint", _fill_counts)
     return counted.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], F.col("__out").alias(out))
 
 
 def token_bytes(spark, path: str | None = None) -> DataFrame:
-    """(token, hex): the bytes of every token of a vocabulary file, as hexadecimal digits."""
-    return spark.createDataFrame([(i, b.hex()) for b, i in _vocabulary(path or default_path()).items()], "token int, hex string")
+    """(token, bytes) of every token of a vocabulary file."""
+    return spark.createDataFrame([(i, bytearray(b)) for b, i in _vocabulary(path or default_path()).items()], "token int, bytes binary")
+
+
+def _token_batches(block_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of rows of ids, like those of texts: distinct tokens as __words, places as __at; null ids have null places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            keys, lists = batch.column("key"), batch.column("ids")
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < len(lists):
+                n = max(1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + block_tokens, "right")) - start)
+                part = lists.slice(start, n)
+                tokens, at = np.unique(part.flatten().to_numpy(), return_inverse=True)
+                null = np.asarray(part.is_null())
+                offsets = np.concatenate([[0], np.cumsum(part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32)
+                places = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(null, False)), pa.array(at.astype(np.int32)))
+                words = pa.array([tokens.tolist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([
+                    pa.concat_arrays([keys.slice(start, n), pa.nulls(1, keys.type)]), pa.array([block] * (n + 1), pa.int64()), pa.concat_arrays([pa.nulls(n, words.type), words]), pa.concat_arrays([places, pa.nulls(1, places.type)]),
+                ], ["key", "__block", "__words", "__at"])
+                block += 1
+                start += n
+
+    return run
+
+
+def _fill_bytes(texts: pa.Table, coded: pa.Table) -> pa.Array:
+    lists = texts.column("__at").combine_chunks()
+    at = lists.flatten().to_numpy()
+    held = coded.sort_by("__k").column("__bytes").to_pylist() if coded.num_rows else []
+    if None in held:
+        raise ValueError("id outside the vocabulary")
+    data, length = np.frombuffer(b"".join(held), np.uint8), np.array([len(x) for x in held], np.int64)
+    n = length[at] if len(at) else np.zeros(0, np.int64)
+    stop = np.cumsum(n)
+    first = (np.cumsum(length) - length)[at] if len(at) else n
+    whole = data[np.repeat(first - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)].tobytes()
+    ends = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])].tolist()
+    null = lists.is_null().to_pylist()
+    return pa.array([None if gone else whole[a:b].decode("utf-8", "replace") for gone, a, b in zip(null, ends, ends[1:])], pa.string())
 
 
 def decode(df: DataFrame, key: str, ids: str = "ids", path: str | None = None, out: str = "text") -> DataFrame:
     """(key, text) of rows of ids, equal rows each theirs; null ids give null, ids outside the vocabulary are an error."""
-    table = token_bytes(df.sparkSession, path)
-    rows = df.groupBy(F.col(key).alias("key"), F.col(ids).alias("ids")).agg(F.count("*").alias("n")).withColumn("h", F.xxhash64("ids"))
-    # one row more than there are tokens holds rows without any
-    asked = rows.select("key", "h", "n", F.size("ids").alias("size"), F.posexplode_outer("ids").alias("at", "token"))
-    found = asked.join(table, "token", "left")
-    whole = found.groupBy("key", "h", "n", "size").agg(F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("at", "hex")))).alias("p"))
-    ordered = F.array_join(F.transform("p", lambda x: x["hex"]), "")
-    complete = F.when(F.exists("p", lambda x: x["hex"].isNull()), F.raise_error(F.lit("id outside the vocabulary")).cast("string")).otherwise(ordered)
-    text = F.when(F.col("size") >= 0, F.make_valid_utf8(F.unhex(complete).cast("string")))
-    return whole.select("key", text.alias("text"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i")).select(F.col("key").alias(key), F.col("text").alias(out))
+    rows = df.select(F.col(key).alias("key"), F.col(ids).cast("array<int>").alias("ids"))
+    kind = rows.schema["key"].dataType.simpleString()
+    blocks = stage(rows.mapInArrow(_token_batches(BLOCK_WORDS), f"key {kind}, __block bigint, __words array<int>, __at array<int>"))
+    asked = blocks.where("__words is not null").select(F.col("__block").alias("__b"), F.posexplode("__words").alias("__k", "token"))
+    known = asked.join(token_bytes(df.sparkSession, path), "token", "left").select("__b", "__k", F.col("bytes").alias("__bytes"))
+    return _reassemble(blocks, known, ["key"], "__out", "string", _fill_bytes).select(F.col("key").alias(key), F.col("__out").alias(out))
