@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm import tokens
-from eventide.runtime import checkpoint
+from eventide.runtime import stage
 
 LEAVES = 1 << 16
 FAN = 256
@@ -49,7 +49,7 @@ def _pool(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str,
     """(hash, key, source, cap, size) of every usable distinct text."""
     listed = targets.where("target_share > 0 and max_repeats >= 1").select(F.col("source").alias("__s"), F.col("max_repeats").alias("cap"))
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\S"))
-    usable = rows.join(listed, F.col(source) == F.col("__s")).select(F.sha2(text, 256).alias("hash"), F.col(key).alias("key"), F.col("__s").alias("source"), "cap", F.col(text).alias("text"))
+    usable = rows.join(listed, F.col(source) == F.col("__s")).select(F.unhex(F.sha2(text, 256)).alias("hash"), F.col(key).alias("key"), F.col("__s").alias("source"), "cap", F.col(text).alias("text"))
     sized = tokens.count(usable, "text", path, out="size")
     owners = sized.groupBy("hash").agg(F.min(F.struct("key", "source")).alias("o"), F.min("cap").cast("bigint").alias("cap"), F.max("size").alias("size"))
     return owners.where("size > 0").select("hash", "o.key", "o.source", "cap", "size")
@@ -104,7 +104,7 @@ def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([held], columns=["source", "bucket", "hash", "size", "p", "u"])
 
 
-_ITEM = "source string, bucket bigint, hash string, size bigint, p double, u double"
+_ITEM = "source string, bucket bigint, hash binary, size bigint, p double, u double"
 
 
 def pivotal(items: DataFrame, seed: int) -> DataFrame:
@@ -115,7 +115,7 @@ def pivotal(items: DataFrame, seed: int) -> DataFrame:
     open_rows = items.select("source", bucket(buckets), "hash", "size", "p", uniform(0).alias("u"))
     while True:
         ordered = open_rows.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "size", "hash")
-        rounded = checkpoint(ordered.mapInPandas(_stream, _ITEM))
+        rounded = stage(ordered.mapInPandas(_stream, _ITEM))
         ended = rounded.where("p <= 0 or p >= 1").select("hash", (F.col("p") >= 1).cast("int").alias("up"))
         done = ended if done is None else done.unionByName(ended)
         left = rounded.where("p > 0 and p < 1")
@@ -133,7 +133,7 @@ def select(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", text: st
     ``targets`` has source (key), target_share and max_repeats; it is read to
     the driver up to MAX_SOURCES rows, as are the sources' totals.
     """
-    pool = checkpoint(_pool(docs, targets, key, text, source, path))
+    pool = stage(_pool(docs, targets, key, text, source, path))
     goals = {r["source"]: r["target_share"] for r in targets.where("source is not null").limit(MAX_SOURCES + 1).collect()}
     if len(goals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventide.llm import mix, names, quality, splits, tokens
-from eventide.runtime import checkpoint, read, stage
+from eventide.runtime import read, stage
 
 #: Table, its key and its typed column of each list.
 TYPED = {
@@ -93,7 +93,7 @@ def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def p9_selection(spark: SparkSession, d: str) -> DataFrame:
     """Documents used in the mix, how often, and the share their source reaches."""
     targets = read(spark, d, "mix_targets")
-    chosen = checkpoint(mix.select(read(spark, d, "documents").select("doc_id", "text", "source"), targets))
+    chosen = stage(mix.select(read(spark, d, "documents").select("doc_id", "text", "source"), targets))
     reached = mix.shares(chosen, targets).select("source", "target_share", "reached_share")
     return chosen.join(reached, "source").select("doc_id", "source", "n_tokens", "copies", "target_share", "reached_share")
 
@@ -101,7 +101,7 @@ def p9_selection(spark: SparkSession, d: str) -> DataFrame:
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Shares asked for and reached by every target source."""
     targets = read(spark, d, "mix_targets")
-    return mix.shares(checkpoint(mix.select(read(spark, d, "documents").select("doc_id", "text", "source"), targets)), targets)
+    return mix.shares(stage(mix.select(read(spark, d, "documents").select("doc_id", "text", "source"), targets)), targets)
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -104,6 +104,19 @@ class _Numbers(dict):
         return n
 
 
+_BLOCK = ["__block", "__words", "__size", "__at"]
+_BLOCK_SCHEMA = "__block bigint, __words array<{}>, __size tinyint, __at binary"
+
+
+def _block_columns(block: int, words: pa.Array, at: np.ndarray, ends: np.ndarray, null: np.ndarray | None = None) -> list[pa.Array]:
+    """Columns _BLOCK of a block: per row its word numbers as bytes, two a number where the block's words allow, and a last row with the words."""
+    n, size = len(ends) - 1, 2 if len(words[0]) <= 1 << 16 else 4
+    data = at.astype(f"<u{size}").tobytes()
+    offsets = (ends * size).astype(np.int64)
+    places = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None if null is None else pa.array(~null).buffers()[1], pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]).cast(pa.binary())
+    return [pa.array([block] * (n + 1), pa.int64()), pa.concat_arrays([pa.nulls(n, words.type), words]), pa.array([size] * n + [None], pa.int8()), pa.concat_arrays([places, pa.nulls(1, pa.binary())])]
+
+
 def _cut_batches(carry: Sequence[str], block_words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 33
@@ -120,11 +133,10 @@ def _cut_batches(carry: Sequence[str], block_words: int) -> Callable[[Iterator[p
                     if len(flat) >= block_words:
                         break
                 n = len(ends) - 1
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else [], pa.int32()))
                 words = pa.array([list(numbers)], pa.list_(pa.string()))
                 columns = [pa.concat_arrays([kept.column(c).slice(start, n), pa.nulls(1, kept.column(c).type)]) for c in carry]
-                columns += [pa.array([block] * (n + 1), pa.int64()), pa.concat_arrays([pa.nulls(n, words.type), words]), pa.concat_arrays([lists, pa.nulls(1, lists.type)])]
-                yield pa.RecordBatch.from_arrays(columns, [*carry, "__block", "__words", "__at"])
+                columns += _block_columns(block, words, np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32), np.array(ends))
+                yield pa.RecordBatch.from_arrays(columns, [*carry, *_BLOCK])
                 block += 1
                 start += n
 
@@ -134,7 +146,7 @@ def _cut_batches(carry: Sequence[str], block_words: int) -> Callable[[Iterator[p
 def _blocks(rows: DataFrame, carry: Sequence[str]) -> DataFrame:
     """Staged table: per text its carried columns, __block and __at (numbers of its words); per block one row with __words."""
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry)
-    return stage(rows.select(*carry, "text").mapInArrow(_cut_batches(carry, BLOCK_WORDS), f"{kinds}, __block bigint, __words array<string>, __at array<int>"))
+    return stage(rows.select(*carry, "text").mapInArrow(_cut_batches(carry, BLOCK_WORDS), f"{kinds}, {_BLOCK_SCHEMA.format('string')}"))
 
 
 def _coded(blocks: DataFrame, path: str) -> DataFrame:
@@ -158,13 +170,17 @@ def _by_number(coded: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _positions(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(word numbers of all texts of a block, where each text ends)."""
-    lists = table.column("__at").combine_chunks()
-    return lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    rows = table.column("__at").combine_chunks().cast(pa.large_binary())
+    size = next((x for x in table.column("__size").to_pylist() if x), 2)
+    offsets = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset : rows.offset + len(rows) + 1]
+    data = rows.buffers()[2]
+    at = np.frombuffer(data, f"<u{size}", (offsets[-1] - offsets[0]) // size, offsets[0]) if data is not None and len(offsets) else np.zeros(0, np.uint16)
+    return at.astype(np.int64), (offsets - offsets[0]) // size
 
 
 def _reassemble(blocks: DataFrame, coded: DataFrame, carry: Sequence[str], out: str, kind: str, fill: Callable[[pa.Table, pa.Table], pa.Array]) -> DataFrame:
     """Carried columns and ``out`` of every text, ``fill`` making a block's values from its texts and its coded words (__b, ..)."""
-    texts = blocks.where("__words is null").select(*carry, "__block", "__at")
+    texts = blocks.where("__words is null").select(*carry, "__block", "__size", "__at")
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.table([*[left.column(c) for c in carry], fill(left, right)], names=[*carry, out])
@@ -230,12 +246,9 @@ def _token_batches(block_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 part = lists.slice(start, n)
                 tokens, at = np.unique(part.flatten().to_numpy(), return_inverse=True)
                 null = np.asarray(part.is_null())
-                offsets = np.concatenate([[0], np.cumsum(part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int32)
-                places = pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(null, False)), pa.array(at.astype(np.int32)))
-                words = pa.array([tokens.tolist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([
-                    pa.concat_arrays([keys.slice(start, n), pa.nulls(1, keys.type)]), pa.array([block] * (n + 1), pa.int64()), pa.concat_arrays([pa.nulls(n, words.type), words]), pa.concat_arrays([places, pa.nulls(1, places.type)]),
-                ], ["key", "__block", "__words", "__at"])
+                sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                columns = _block_columns(block, pa.array([tokens.tolist()], pa.list_(pa.int32())), at, np.concatenate([[0], np.cumsum(sizes)]), null)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([keys.slice(start, n), pa.nulls(1, keys.type)]), *columns], ["key", *_BLOCK])
                 block += 1
                 start += n
 
@@ -243,8 +256,7 @@ def _token_batches(block_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], It
 
 
 def _fill_bytes(texts: pa.Table, coded: pa.Table) -> pa.Array:
-    lists = texts.column("__at").combine_chunks()
-    at = lists.flatten().to_numpy()
+    at, ends = _positions(texts)
     held = coded.sort_by("__k").column("__bytes").to_pylist() if coded.num_rows else []
     if None in held:
         raise ValueError("id outside the vocabulary")
@@ -253,16 +265,16 @@ def _fill_bytes(texts: pa.Table, coded: pa.Table) -> pa.Array:
     stop = np.cumsum(n)
     first = (np.cumsum(length) - length)[at] if len(at) else n
     whole = data[np.repeat(first - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)].tobytes()
-    ends = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])].tolist()
-    null = lists.is_null().to_pylist()
-    return pa.array([None if gone else whole[a:b].decode("utf-8", "replace") for gone, a, b in zip(null, ends, ends[1:])], pa.string())
+    places = np.concatenate([[0], stop])[ends].tolist()
+    null = texts.column("__at").is_null().to_pylist()
+    return pa.array([None if gone else whole[a:b].decode("utf-8", "replace") for gone, a, b in zip(null, places, places[1:])], pa.string())
 
 
 def decode(df: DataFrame, key: str, ids: str = "ids", path: str | None = None, out: str = "text") -> DataFrame:
     """(key, text) of rows of ids, equal rows each theirs; null ids give null, ids outside the vocabulary are an error."""
     rows = df.select(F.col(key).alias("key"), F.col(ids).cast("array<int>").alias("ids"))
     kind = rows.schema["key"].dataType.simpleString()
-    blocks = stage(rows.mapInArrow(_token_batches(BLOCK_WORDS), f"key {kind}, __block bigint, __words array<int>, __at array<int>"))
+    blocks = stage(rows.mapInArrow(_token_batches(BLOCK_WORDS), f"key {kind}, {_BLOCK_SCHEMA.format('int')}"))
     asked = blocks.where("__words is not null").select(F.col("__block").alias("__b"), F.posexplode("__words").alias("__k", "token"))
     known = asked.join(token_bytes(df.sparkSession, path), "token", "left").select("__b", "__k", F.col("bytes").alias("__bytes"))
     return _reassemble(blocks, known, ["key"], "__out", "string", _fill_bytes).select(F.col("key").alias(key), F.col("__out").alias(out))
