@@ -54,10 +54,9 @@ def prj_17(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "crrt_therapy").select("crrt_id", F.round(F.when((q > 0) & ratio.between(0.05, 1), ratio), 9).alias("ratio"))
 
 
-@query("prj_20_split_sequence", "SELECT canonical_id, array_to_string(regexp_extract_all(canonical_name, '(Critical Care|\\S+)', 1), '|') AS tokens FROM canonical_names WHERE list_name IN ('location', 'device')")
+@query("prj_20_split_sequence", "SELECT canonical_id, array_to_string(regexp_extract_all(canonical_name, '(Critical Care|\\S+)', 1), '|') AS tokens FROM canonical_names")
 def prj_20(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "canonical_names").where("list_name in ('location', 'device')")
-    return rows.select("canonical_id", F.array_join(T.split_sequence(F.col("canonical_name"), ["Critical Care"]), "|").alias("tokens"))
+    return read(spark, d, "canonical_names").select("canonical_id", F.array_join(T.split_sequence(F.col("canonical_name"), ["Critical Care"]), "|").alias("tokens"))
 
 
 @query("prj_21_describe", "SELECT lab_category, replace(lab_category, '_', ' ') || ' 1.5 to 2.5 ' || reference_unit AS text FROM clif_lab_categories")
@@ -182,6 +181,22 @@ def lab_02(spark: SparkSession, d: str) -> DataFrame:
     return out.select("h", F.array_join(F.transform("l", lambda x: x["m"].cast("string")), ",").alias("outcomes"))
 
 
+@query(
+    "lab_02_outcome_slots",
+    f"""WITH {_TOKENS}, s AS (SELECT DISTINCT h FROM t), o AS (SELECT DISTINCT h, m, 0 AS slot, 1 AS bin FROM {_MIN} WHERE v > 2 UNION ALL SELECT DISTINCT hospitalization_id, epoch_us(lab_result_dttm) // 60000000, 1, 2 FROM labs WHERE lab_category = 'potassium' AND lab_value_numeric > 5.5 AND NOT isnan(lab_value_numeric) AND lab_result_dttm IS NOT NULL AND hospitalization_id IS NOT NULL),
+        l AS (SELECT h, string_agg(CAST(slot AS VARCHAR) || ':' || CAST(bin AS VARCHAR) || ':' || CAST(m AS VARCHAR), ',' ORDER BY slot, m) AS x FROM o GROUP BY 1) SELECT s.h, coalesce(x, '') AS outcomes FROM s LEFT JOIN l ON l.h = s.h""",
+)
+def lab_02_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes of several causes joined onto sequences: cause slot, the bin on the threshold's event side, and the minute."""
+    segments = {"creatinine": bins.merge_partition([(None, 2.0, False, True), (2.0, None, False, False)]), "potassium": bins.merge_partition([(None, 3.5, False, False), (3.5, 5.5, True, True), (5.5, None, False, False)])}
+    side = lambda c, t: bins.threshold_bin(t, segments[c], above=True)
+    first = _creatinine(spark, d).where("v > 2").select("h", "m", F.lit(0).alias("slot"), F.lit(side("creatinine", 2.0)).alias("bin"))
+    labs = read(spark, d, "labs").where("lab_category = 'potassium' and lab_result_dttm is not null and hospitalization_id is not null").where(N.finite(F.col("lab_value_numeric")) & (F.col("lab_value_numeric") > 5.5))
+    second = labs.select(F.col("hospitalization_id").alias("h"), F.expr("unix_micros(lab_result_dttm) div 60000000").alias("m"), F.lit(1).alias("slot"), F.lit(side("potassium", 5.5)).alias("bin"))
+    out = joins.lists_per_key(_tokens(spark, d).select("h").distinct(), first.unionByName(second).distinct(), "h", ["slot", "m", "bin"], "l")
+    return out.select("h", F.array_join(F.transform("l", lambda x: F.concat_ws(":", x["slot"].cast("string"), x["bin"].cast("string"), x["m"].cast("string"))), ",").alias("outcomes"))
+
+
 @query("sta_26_best", "SELECT lab_category, arg_min(lab_id, (lab_value_numeric, lab_id)) AS best FROM labs WHERE lab_value_numeric IS NOT NULL AND NOT isnan(lab_value_numeric) GROUP BY 1")
 def sta_26(spark: SparkSession, d: str) -> DataFrame:
     """Row of the lowest finite value per group."""

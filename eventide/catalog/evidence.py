@@ -75,6 +75,24 @@ def rsh_07(spark: SparkSession, d: str) -> DataFrame:
     return p.select("h", "at_us", F.coalesce("g", banded).alias("total"), F.col("g").isNull().alias("imputed")).where("total is not null")
 
 
+@query(
+    "rsh_07_not_testable",
+    """WITH e AS (SELECT assessment_id AS i, hospitalization_id AS h, recorded_dttm AS t, assessment_category AS c, numerical_value AS v, categorical_value AS x FROM patient_assessments WHERE hospitalization_id IS NOT NULL AND recorded_dttm IS NOT NULL AND assessment_category IS NOT NULL),
+       k AS (SELECT h, t, CASE WHEN min(v) FILTER (c = 'rass') = max(v) FILTER (c = 'rass') AND min(v) FILTER (c = 'nrs_pain') = max(v) FILTER (c = 'nrs_pain') THEN min(v) FILTER (c = 'rass') + min(v) FILTER (c = 'nrs_pain') END AS em FROM e GROUP BY 1, 2 HAVING bool_or(c = 'cam_total' AND lower(trim(x)) = 'unable')),
+       m AS (SELECT e.*, k.h IS NOT NULL AS u, em + CASE WHEN em BETWEEN -5 AND 2 THEN 1.0 WHEN em BETWEEN 3 AND 14 THEN 3.0 END AS total FROM e LEFT JOIN k ON k.h = e.h AND k.t = e.t)
+       SELECT i AS assessment_id, c AS concept, CASE WHEN c = 'gcs_total' AND u THEN total WHEN c = 'cam_total' AND lower(trim(x)) = 'unable' THEN NULL ELSE v END AS value, CASE WHEN c = 'cam_total' AND lower(trim(x)) = 'unable' THEN 'not_testable' ELSE x END AS cat_value FROM m WHERE NOT (c = 'gcs_total' AND u AND total IS NULL)
+       UNION ALL SELECT NULL, 'total_source', NULL, 'imputed' FROM (SELECT DISTINCT h, t FROM m WHERE c = 'gcs_total' AND u AND total IS NOT NULL)""",
+)
+def rsh_07_not_testable(spark: SparkSession, d: str) -> DataFrame:
+    """Scores that could not be tested: recoded, and the total of that time imputed and marked, or dropped."""
+    from eventide.operators import reshape
+
+    rows = read(spark, d, "patient_assessments").where("hospitalization_id is not null and recorded_dttm is not null and assessment_category is not null")
+    events = rows.select("assessment_id", F.col("hospitalization_id").alias("hosp_id"), F.col("recorded_dttm").alias("dttm"), F.col("assessment_category").alias("concept"), F.col("numerical_value").alias("value"), F.col("categorical_value").alias("cat_value"))
+    out = reshape.not_testable(events, verbal="cam_total", eye="rass", motor="nrs_pain", total="gcs_total", codes=["unable"], numbers=[], bands=[(-5, 2, 1), (3, 14, 3)])
+    return out.select("assessment_id", "concept", "value", "cat_value")
+
+
 @query(
     "rsh_08_marker_events",
     """WITH e AS (SELECT DISTINCT hospitalization_id AS h, recorded_dttm AS t, device_category AS m FROM ecmo_mcs WHERE hospitalization_id IS NOT NULL AND recorded_dttm IS NOT NULL AND device_category IS NOT NULL)

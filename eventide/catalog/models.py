@@ -180,6 +180,22 @@ def join_14_scores(spark: SparkSession, d: str) -> DataFrame:
     return out.select("cell", "pair", "label", *[F.round(F.col(f"`{r}`"), 9).alias(r) for r in ("0", "1", "2")])
 
 
+@query(
+    "sta_12_weighted_clones",
+    """WITH p AS (SELECT o_orderkey AS k, o_orderstatus AS arm, CAST(o_orderkey % 50 AS DOUBLE) AS t, CASE WHEN o_totalprice > 150000 THEN 1.0 ELSE 0.0 END AS y FROM orders), c AS (SELECT *, unnest(['F', 'O']) AS a FROM p),
+       x AS (SELECT a, y, NOT (t <= 24 AND arm = a) AS cens, least(t, 24) AS t FROM c), g AS (SELECT a, t, COUNT(*) AS n, COUNT(*) FILTER (cens) AS c FROM x GROUP BY 1, 2),
+       r AS (SELECT *, sum(n) OVER (PARTITION BY a ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS risk FROM g), s AS (SELECT a, t, coalesce(sum(CASE WHEN c < risk THEN ln(1 - c / risk) ELSE -700 END) OVER (PARTITION BY a ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM r)
+       SELECT a AS clone_arm, COUNT(*) AS clones, COUNT(*) FILTER (NOT cens) AS followed, round(sum(exp(-b)) FILTER (NOT cens), 4) AS weight, round(sum(exp(-b) * y) FILTER (NOT cens) / sum(exp(-b)) FILTER (NOT cens), 8) AS risk FROM x JOIN s USING (a, t) GROUP BY 1""",
+)
+def sta_12_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Risk of the clones that follow their arm, weighted for those censored when they left it."""
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("arm"), (F.col("o_orderkey") % 50).cast("double").alias("t"), F.when(F.col("o_totalprice") > 150000, 1.0).otherwise(0.0).alias("y"))
+    clones = S.clones(rows, "arm", "t", ["F", "O"], 24).withColumn("at", F.coalesce("censored_at", "t")).withColumn("left", ~F.col("follows"))
+    w = S.censoring_weights(clones.select("clone_arm", "at", "left", "y"), "clone_arm", "at", "left")
+    g = w.groupBy("clone_arm").agg(F.count("*").alias("clones"), F.count_if(~F.col("left")).alias("followed"), F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("y")).alias("s"))
+    return g.select("clone_arm", "clones", "followed", F.round("w", 4).alias("weight"), F.round(F.col("s") / F.col("w"), 8).alias("risk"))
+
+
 _CLUSTERED = "(SELECT CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END AS a, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS y, 0.2 + l_discount * 5 AS e, l_suppkey AS c FROM lineitem)"
 
 

@@ -85,9 +85,11 @@ def sch_03(spark: SparkSession, d: str) -> DataFrame:
     return tables.null_report(read(spark, d, "hospitalization"), ["patient_id", "hospitalization_id", "discharge_dttm"])
 
 
-@query("sch_04_single_source", "SELECT hospitalization_id, COUNT(DISTINCT hospital_id) AS n_hospitals FROM adt WHERE hospitalization_id IS NOT NULL GROUP BY 1 HAVING COUNT(DISTINCT hospital_id) > 1")
+@query("sch_04_single_source", "SELECT patient_id, COUNT(DISTINCT hospital_id) AS n_hospitals, COUNT(DISTINCT hospital_id) > 1 AS refused FROM hospitalization WHERE patient_id IS NOT NULL GROUP BY 1")
 def sch_04(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "adt").where("hospitalization_id is not null").groupBy("hospitalization_id").agg(F.count_distinct("hospital_id").alias("n_hospitals")).where("n_hospitals > 1")
+    """Patients with the number of hospitals that filed them; more than one is refused."""
+    n = read(spark, d, "hospitalization").where("patient_id is not null").groupBy("patient_id").agg(F.count_distinct("hospital_id").alias("n_hospitals"))
+    return n.withColumn("refused", F.col("n_hospitals") > 1)
 
 
 @query("sch_07_row_hash", "SELECT canonical_id, sha256(concat_ws('|', list_name, canonical_id, canonical_name)) AS row_sha FROM canonical_names")
@@ -143,12 +145,23 @@ def prj_06(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "crrt_therapy").select("crrt_id", N.scale(F.col("blood_flow_rate").cast("double"), 0.001).alias("litres"), N.scale(F.col("dialysate_flow_rate").cast("double"), 24).alias("per_day"))
 
 
-@query("prj_07_unit_parse")
+_DOSE_UNITS = [
+    ("mcg/kg/min", "mass", 1.0, True, 1.0), ("MG / hr", "mass", 1000.0, False, 60.0), ("Units/hour", "units", 1.0, False, 60.0), ("milliunits/min", "units", 0.001, False, 1.0),
+    ("g", "mass", 1e6, False, None), ("ml/kg/h", "volume", 1.0, True, 60.0), ("l/day", "volume", 1000.0, False, 1440.0), ("meq", "charge", 1.0, False, None), ("mg/furlong", None, None, None, None), ("per dose", None, None, None, None),
+]
+
+
+@query("prj_07_unit_parse", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) if isinstance(v, bool) else f"{v}::DOUBLE" for v in r) + ")" for r in _DOSE_UNITS) + ") AS t(text, kind, factor, per_kg, minutes)")
 def prj_07(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct delivered units with their declared conversion (no SQL: a grammar)."""
-    from eventide.problems import unit_sources
+    """Spelled dose units with what they measure, how much of it, per weight or not, and in how many minutes."""
+    from eventide.operators import doses
 
-    return unit_sources(spark, d).select("quantity", "key", "n", "declared")
+    rows = []
+    for text, *_ in _DOSE_UNITS:
+        powers, size = doses.dimensions(text) or (None, None)
+        minutes = doses.minutes_of(text) if powers and "time" in powers else None
+        rows.append((text, next(iter(powers)), size * (minutes or 1.0), "weight" in powers, minutes) if powers else (text, None, None, None, None))
+    return spark.createDataFrame(rows, "text string, kind string, factor double, per_kg boolean, minutes double")
 
 
 @query("prj_09_split_measure", "SELECT DISTINCT event_type AS name, CASE WHEN regexp_full_match(event_type, '.+_(in|out)') THEN regexp_extract(event_type, '^(.+)_(in|out)$', 1) ELSE event_type END AS what, CASE WHEN regexp_full_match(event_type, '.+_(in|out)') THEN regexp_extract(event_type, '^(.+)_(in|out)$', 2) END AS unit FROM events")
@@ -236,7 +249,7 @@ def prj_19(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "prj_22_redact",
-    """SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?:/[A-Za-z0-9._-]+){2,}', '<path>', 'g'), '"[^"]*"', '"<text>"', 'g'), '[0-9]{5,}', '<number>', 'g') AS clean FROM documents""",
+    """SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(^|[^a-z0-9_])(patient_id|hospitalization_id|hosp_id|encounter_id|subject_id|stay_id|mrn)[\t ]*[=:][\t ]*[^\t\n\r\f ]+', '\\1\\2=<redacted>', 'g'), '(?:/[A-Za-z0-9._-]+){2,}', '<path>', 'g'), '"[^"]*"', '"<text>"', 'g'), '[0-9]{5,}', '<number>', 'g') AS clean FROM documents""",
 )
 def prj_22(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", T.redact(F.col("text")).alias("clean"))

@@ -79,8 +79,10 @@ def split_measure(name: Column, units: Sequence[str]) -> Column:
 
 
 def redact(x: Column) -> Column:
-    """Hides paths, long digit runs and quoted strings in log text."""
-    out = F.regexp_replace(x, r"(?:/[A-Za-z0-9._-]+){2,}", "<path>")
+    """Hides values of identifier keys, paths, long digit runs and quoted strings in log text."""
+    keys = "patient_id|hospitalization_id|hosp_id|encounter_id|subject_id|stay_id|mrn"
+    out = F.regexp_replace(x, rf"(?i)(^|[^a-z0-9_])({keys})[\t ]*[=:][\t ]*[^\t\n\r\f ]+", "$1$2=<redacted>")
+    out = F.regexp_replace(out, r"(?:/[A-Za-z0-9._-]+){2,}", "<path>")
     out = F.regexp_replace(out, r'"[^"]*"', '"<text>"')
     return F.regexp_replace(out, r"[0-9]{5,}", "<number>")
 

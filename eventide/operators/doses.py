@@ -40,6 +40,11 @@ def dimensions(text: str | None) -> tuple[dict[str, int], float] | None:
     return powers, math.prod(size ** powers[kind] for kind, size in bases)
 
 
+def minutes_of(text: str) -> float | None:
+    """Minutes of the time a dose unit is per, None without one."""
+    return next((TIMES[w] for w in re.split(r"/", re.sub(r"[\s.]+", "", text.lower())) if w in TIMES), None)
+
+
 def dose_plan(source: str | None, target: str) -> tuple[float | None, int, str]:
     """(factor, power of the weight, status) from one dose unit to another: their dimensions may differ by the weight only."""
     units = dimensions(source), dimensions(target)

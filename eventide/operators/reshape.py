@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventide.functions.numbers import finite
+
 
 def melt(df: DataFrame, ids: Sequence[str], columns: Sequence[str], *, concept: str = "concept", value: str = "value", kind: str = "double", qualifier: Column | None = None) -> DataFrame:
     """One row per filled cell: ids, concept (lower-case column name, after the qualifier if one is given; 'unknown' where it is null), value.
@@ -65,3 +67,29 @@ def explode_aligned(df: DataFrame, keys: Sequence[str], arrays: Sequence[str]) -
     """One row per position of parallel arrays, with the position from 0."""
     zipped = df.select(*keys, F.posexplode(F.arrays_zip(*arrays)).alias("pos", "x"))
     return zipped.select(*keys, "pos", *[F.col(f"x.{a}").alias(a) for a in arrays])
+
+
+def not_testable(events: DataFrame, *, verbal: str, eye: str, motor: str, total: str, codes: Sequence[str], numbers: Sequence[float], bands: Sequence[tuple[float, float, float]], value: str = "not_testable", marker: str = "total_source") -> DataFrame:
+    """Events (hosp_id, dttm, concept, value, cat_value, ..) with scores that could not be tested made plain.
+
+    A verbal score of one of the codes or numbers becomes the category
+    ``value``.  A total charted then is no score: it is replaced by eye + motor
+    + the verbal score that the bands (lo, hi of eye + motor, verbal) impute,
+    and told by a marker event 'imputed' at that time; where eye and motor do
+    not each have one value then, or no band holds their sum, it is dropped.
+    """
+    is_ = lambda c: F.col("concept") == c
+    folded = F.regexp_replace(F.lower(F.trim("cat_value")), r"[\s_]+", "_")
+    untested = F.coalesce(is_(verbal) & (F.coalesce(F.col("value").isin(*numbers), F.lit(False)) | F.coalesce(folded.isin(*codes), F.lit(False))), F.lit(False))
+    of = lambda c: F.when(is_(c) & finite(F.col("value")), F.col("value"))
+    one = lambda c: F.when(F.min(of(c)) == F.max(of(c)), F.min(of(c)))
+    at = events.where(is_(verbal) | is_(eye) | is_(motor)).groupBy("hosp_id", "dttm").agg(F.bool_or(untested).alias("__u"), (one(eye) + one(motor)).alias("__em")).where("__u")
+    band = F.lit(None).cast("double")
+    for lo, hi, score in reversed(bands):
+        band = F.when(F.col("__em").between(lo, hi), float(score)).otherwise(band)
+    marked = events.withColumn("__nt", untested).join(at.select("hosp_id", "dttm", "__u", (F.col("__em") + band).alias("__total")), ["hosp_id", "dttm"], "left")
+    replaced = is_(total) & F.col("__u")
+    kept = marked.where(~F.coalesce(replaced & F.col("__total").isNull(), F.lit(False)))
+    clean = kept.withColumn("value", F.when(F.col("__nt"), None).when(replaced, F.col("__total")).otherwise(F.col("value"))).withColumn("cat_value", F.when(F.col("__nt"), value).otherwise(F.col("cat_value")))
+    marks = marked.where(replaced & F.col("__total").isNotNull()).select("hosp_id", "dttm").distinct().withColumn("concept", F.lit(marker)).withColumn("cat_value", F.lit("imputed"))
+    return clean.drop("__nt", "__u", "__total").unionByName(marks, allowMissingColumns=True)

@@ -265,6 +265,21 @@ def clones(df: DataFrame, arm: str, at: str, arms: Sequence[str], grace: float)
     return cloned.withColumn("follows", F.coalesce(follows, F.lit(False))).withColumn("censored_at", F.when(~F.col("follows"), F.when(within, F.col(at)).otherwise(F.lit(float(grace)))))
 
 
+def censoring_weights(df: DataFrame, arm: str, at: str, censored: str) -> DataFrame:
+    """``df`` with ``weight``: for rows that were not censored the inverse of the probability, within the arm, of staying uncensored until before their time; 0 for the others.
+
+    The probabilities are those of the product-limit estimate; censoring at a
+    time comes after the events of that time.
+    """
+    grid = df.groupBy(arm, at).agg(F.count("*").cast("double").alias("n"), F.count_if(censored).cast("double").alias("c"))
+    total = grid.groupBy(F.col(arm).alias("__a")).agg(F.sum("n").alias("__all"))
+    g = _prefix(grid, [arm], at, ["n"]).join(total, F.col(arm).eqNullSafe(F.col("__a"))).withColumn("h", F.col("c") / (F.col("__all") - F.col("before_n")))
+    g = _prefix(g.select(arm, at, F.when(F.col("h") < 1, F.log1p(-F.col("h"))).otherwise(F.lit(-700.0)).alias("log")), [arm], at, ["log"])
+    w = g.select(F.col(arm).alias("__a"), F.col(at).alias("__t"), F.exp(-F.col("before_log")).alias("__w"))
+    joined = df.join(w, F.col(arm).eqNullSafe(F.col("__a")) & (F.col(at) == F.col("__t")))
+    return joined.withColumn("weight", F.when(F.col(censored), 0.0).otherwise(F.col("__w"))).drop("__a", "__t", "__w")
+
+
 def doubly_robust(df: DataFrame, outcome: str, follows: str, probability: str, prediction: str, groups: Sequence[str] = ()) -> DataFrame:
     """(groups, risk, se): augmented inverse probability risk from fitted columns, with the standard error of its scores."""
     score = F.col(prediction) + F.when(F.col(follows) == 1, (F.col(outcome) - F.col(prediction)) / F.col(probability)).otherwise(0.0)
