@@ -7,8 +7,10 @@ letters, numbers and remarks in brackets.  Features are ordered from rare to
 common over all names; two sets of Jaccard similarity t or more must share one
 of their first |x| - ceil(t |x|) + 1 features, so only these are joined.  Pairs
 pass a length filter and a positional filter, their Jaccard similarity is
-computed exactly, and the most similar entry is kept; a name that is less than
-t similar to all entries has none.
+computed exactly, and the most similar entry is kept.  Names that are less than
+t similar to all entries, as those written without their vowels are, go through
+the same join once more by the pairs of consonants alone; what that leaves has
+no entry.
 
 What people write around a name ("now", "per md", "bed") is learned from the
 names: words at an end of names, alone or in twos, that at least MIN_RESTS
@@ -41,6 +43,7 @@ from pyspark.sql import types as T
 from eventide.runtime import stage
 
 MIN_JACCARD = 0.35  # on the test lists, names meant for an entry have less only when an acronym or several letters are lost
+MIN_CONSONANTS = 0.45  # the same of consonants alone
 MIN_RESTS = 5
 ROUNDS = 4  # wrappings taken off a name, at most
 NO_ENTRY = "none"
@@ -151,8 +154,15 @@ def best_entries(names: DataFrame, entries: DataFrame, t: float = MIN_JACCARD) -
     canonical_id is 'none' and jaccard null where no entry is meant.
     """
     left, right = tokenised(names, entries)
-    best = similar(left, right, t).groupBy("list_name", "name").agg(F.min(F.struct((-F.col("jaccard")).alias("j"), "canonical_id")).alias("b"))
-    return stage(left.join(best, ["list_name", "name"], "left").select("list_name", "name", F.coalesce("b.canonical_id", F.lit(NO_ENTRY)).alias("canonical_id"), (-F.col("b.j")).alias("jaccard")))
+
+    def best(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+        return similar(a, b, least).groupBy("list_name", "name").agg(F.min(F.struct((-F.col("jaccard")).alias("j"), "canonical_id")).alias("b"))
+
+    first = stage(left.join(best(left, right, t), ["list_name", "name"], "left").select("list_name", "name", "tokens", "b"))
+    consonants = lambda d: d.withColumn("tokens", F.filter("tokens", lambda x: x.startswith("c")))
+    second = best(consonants(first.where("b is null").drop("b")), consonants(right), MIN_CONSONANTS).withColumnRenamed("b", "c")
+    chosen = first.join(second, ["list_name", "name"], "left").withColumn("b", F.coalesce("b", "c"))
+    return stage(chosen.select("list_name", "name", F.coalesce("b.canonical_id", F.lit(NO_ENTRY)).alias("canonical_id"), (-F.col("b.j")).alias("jaccard")))
 
 
 def map_rows(rows: DataFrame, entries: DataFrame) -> DataFrame:

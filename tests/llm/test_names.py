@@ -50,6 +50,10 @@ def test_similarity_join_is_complete(spark, entries):
     assert got == want and want
 
 
+def test_consonants_alone(spark, entries):
+    assert run(spark, entries, [("loc", "Hrbrvw Stpdwn"), ("loc", "Ldr Mdcl C"), ("loc", "Srgcl Brch"), ("loc", "qqq"), ("loc", "aei")]) == {0: "L3", 1: "L1", 2: "L2", 3: "none", 4: "none"}
+
+
 def test_features(spark):
     cases = {("aid", "er"): {"fai", "fid", "fde", "fer", "cdr"}, ("boot",): {"fbo", "fot", "cbt"}, ("a",): {"fa"}, ("ii",): {"fi"}, ("mg",): {"fmg", "cmg"}, (): set()}
     df = spark.createDataFrame([(list(k),) for k in cases], "w array<string>")
